@@ -6,7 +6,7 @@ import importlib
 
 from .base import ORACLES, QUERIES
 
-MODULES = ("drift_queries",)
+MODULES = ("drift_queries", "quality_queries")
 
 
 def _load() -> None:
