@@ -282,8 +282,8 @@ def numeric_describe(t: Tables):
 @query(
     "top_values",
     f"""WITH {DIRTY_SQL}, l AS (SELECT 'o_orderstatus' AS column, o_orderstatus AS value FROM d UNION ALL SELECT 'o_orderpriority', o_orderpriority FROM d UNION ALL SELECT 'code', code FROM d)
-    SELECT "column", value, count, rank FROM (SELECT "column", value, count(*) AS count, row_number() OVER (PARTITION BY "column" ORDER BY count(*) DESC, value) AS rank
-      FROM l WHERE value IS NOT NULL GROUP BY ALL) WHERE rank <= 5""",
+    SELECT "column", value, count, rank FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY count DESC, value) AS rank
+      FROM (SELECT "column", value, count(*) AS count FROM l WHERE value IS NOT NULL GROUP BY 1, 2)) WHERE rank <= 5""",
 )
 def top_values(t: Tables):
     out = profile.top5(dirty(t).select("o_orderstatus", "o_orderpriority", "code", "o_totalprice"))

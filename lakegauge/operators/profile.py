@@ -66,7 +66,8 @@ def top5(df: DataFrame, sensitive: Sequence[str] = (), k: int = 5) -> DataFrame:
 
 def content_hash(df: DataFrame) -> DataFrame:
     """16 hex digits that depend on the rows but not on their order or partitioning."""
-    row_hash = F.xxhash64(*[F.col(c) for c in df.columns])
+    # The hash skips NULLs, so which columns are NULL goes in as well.
+    row_hash = F.xxhash64(*[e for c in df.columns for e in (F.col(c).isNull(), F.col(c))])
     low, high = row_hash.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(row_hash, 32)
     parts = df.agg(F.count("*").alias("n"), F.sum(low).alias("lo"), F.sum(high).alias("hi"), F.bit_xor(row_hash).alias("x"))
     return parts.select("n", F.substring(F.sha2(F.concat_ws("|", "n", "lo", "hi", "x"), 256), 1, 16).alias("data_hash"))
