@@ -27,25 +27,34 @@ def bucket_cuts(
     return approx_cuts(df, cols, parts)
 
 
+def _summed(
+    df: DataFrame, cols: Sequence[str], sums: Mapping[str, Column], cuts: Mapping[str, Sequence[float]], carry: Sequence[str]
+) -> DataFrame:
+    """Long rows with the summands; with ``carry`` columns the summands are built after the unpivot."""
+    if carry:
+        return melt(with_buckets(df.select(*cols, *carry), cuts), cols, extra=carry).withColumns(dict(sums))
+    wide = with_buckets(df.select(*cols, *[e.alias(name) for name, e in sums.items()]), cuts)
+    return melt(wide, cols, extra=list(sums))
+
+
 def value_counts(
     df: DataFrame,
     cols: Sequence[str],
     sums: Mapping[str, Column],
     cuts: Mapping[str, Sequence[float]],
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """``(feature, bucket, x, <sums>)``: one row per distinct value, summed map-side before the shuffle."""
-    wide = with_buckets(df.select(*cols, *[e.alias(name) for name, e in sums.items()]), cuts)
-    long = melt(wide, cols, extra=list(sums))
+    long = _summed(df, cols, sums, cuts, carry)
     return long.groupBy("feature", "bucket", "x").agg(*[F.sum(s).alias(s) for s in sums])
 
 
 def bucket_totals(
-    df: DataFrame, cols: Sequence[str], sums: Mapping[str, Column], cuts: Mapping[str, Sequence[float]]
+    df: DataFrame, cols: Sequence[str], sums: Mapping[str, Column], cuts: Mapping[str, Sequence[float]], carry: Sequence[str] = ()
 ) -> dict[str, dict[int, dict]]:
     """Per feature and bucket the sums, smallest and largest value, on the driver (``features x buckets`` rows)."""
-    wide = with_buckets(df.select(*cols, *[e.alias(name) for name, e in sums.items()]), cuts)
     rows = (
-        melt(wide, cols, extra=list(sums))
+        _summed(df, cols, sums, cuts, carry)
         .groupBy("feature", "bucket")
         .agg(*[F.sum(s).alias(s) for s in sums], F.min("x").alias("lo"), F.max("x").alias("hi"))
         .collect()
