@@ -6,7 +6,7 @@ import importlib
 
 from .base import ORACLES, QUERIES
 
-MODULES = ("drift_queries", "quality_queries", "prep_queries", "model_queries")
+MODULES = ("drift_queries", "quality_queries", "prep_queries", "model_queries", "monitor_queries")
 
 
 def _load() -> None:

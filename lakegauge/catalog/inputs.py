@@ -73,4 +73,5 @@ def from_sql(t: Tables, cte: str, name: str) -> DataFrame:
         if table in cte:
             getattr(t, table).createOrReplaceTempView(f"lg_{table}")
             cte = cte.replace(f"FROM {table}", f"FROM lg_{table}").replace(f"JOIN {table}", f"JOIN lg_{table}")
+    cte = cte.replace('"', "`")
     return t.spark.sql(f"WITH {cte} SELECT * FROM {name}")

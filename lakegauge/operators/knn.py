@@ -125,8 +125,9 @@ def _neighbours(gaps: DataFrame, pool: DataFrame, cols: list[str], k: int, block
                                 rows.append(i)
                                 picked.append(b)
                 out = pdf.iloc[rows][["unit", "j", *cols]].reset_index(drop=True)
-                out["block"] = [names[b] for b in picked]
-                yield out
+                out["block"] = np.array([names[b] for b in picked], dtype=object)
+                if rows:
+                    yield out
 
         return choose
 
