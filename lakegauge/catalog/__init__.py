@@ -6,7 +6,7 @@ import importlib
 
 from .base import ORACLES, QUERIES
 
-MODULES = ("drift_queries", "quality_queries", "prep_queries", "model_queries", "monitor_queries", "train_queries", "stream_queries")
+MODULES = ("drift_queries", "quality_queries", "prep_queries", "model_queries", "monitor_queries", "train_queries", "stream_queries", "plan_queries")
 
 
 def _load() -> None:

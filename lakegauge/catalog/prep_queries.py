@@ -316,12 +316,18 @@ def passthrough_columns(t: Tables):
     return out.groupBy(F.col("l_linenumber").cast("double").alias("l_linenumber")).agg(F.count("*").alias("n"))
 
 
-@query("knn_imputation")
+@query(
+    "knn_imputation",
+    f"""WITH {DIRTY_SQL}, d2 AS (SELECT qty, price, l_linenumber FROM d WHERE price BETWEEN 0 AND 1000000), gaps AS (SELECT DISTINCT price FROM d2 WHERE qty IS NULL),
+    near AS (SELECT g.price, (g.price - p.price) ** 2 AS d, p.qty AS v, row_number() OVER (PARTITION BY g.price ORDER BY (g.price - p.price) ** 2, p.qty) AS k FROM gaps g JOIN (
+        SELECT qty, price FROM d2 WHERE qty IS NOT NULL) p ON abs(g.price - p.price) <= 400),
+    fill AS (SELECT price, CASE WHEN min(d) = 0 THEN avg(v) FILTER (d = 0) ELSE sum(v / sqrt(d)) / sum(1 / sqrt(d)) END AS v FROM near WHERE k <= 5 GROUP BY 1 HAVING count(*) = 5)
+    SELECT l_linenumber, count(coalesce(qty, v)) AS n, round(avg(coalesce(qty, v)), 5) AS mean_qty FROM d2 LEFT JOIN fill USING (price) GROUP BY 1""",
+)
 def knn_imputation(t: Tables):
-    d = dirty(t).where("price < double('Infinity')").select("qty", F.abs("price").alias("price"), F.col("l_linenumber").cast("double").alias("line"))
-    holes = d.withColumn("price", F.when(F.col("price") < 60000, F.col("price")))
-    filled = knn_impute(holes, holes, ["qty", "line"])
-    return rounded(filled.groupBy("line").agg(F.count("qty").alias("n"), F.avg("qty").alias("mean_qty")), 4)
+    d = dirty(t).where("price BETWEEN 0 AND 1000000").select("qty", "price", "l_linenumber")
+    filled = knn_impute(d, d, ["qty", "price"])
+    return rounded(filled.groupBy("l_linenumber").agg(F.count("qty").alias("n"), F.avg("qty").alias("mean_qty")), 5)
 
 
 # deduplicate, fit on the reference, apply to production: clip + median + robust, one-hot, ordinal, frequency

@@ -18,11 +18,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.frames import local_frame
 from ..functions.quantiles import approx_cuts, clean_double, with_buckets
+from ..session import materialize
 
-BLOCK_ROWS = 20_000
-UNIT_ROWS = 200_000
+BLOCK_ROWS = 3_000
+TASK_ROWS = 50_000
+UNIT_ROWS = 100_000
 GRID_COLUMNS = 3
-MAX_BLOCKS = 4096
+MAX_BLOCKS = 8192
+UNITS_AT_ONCE = 500
 PAIRS_AT_ONCE = 2_000_000
 
 
@@ -60,6 +63,7 @@ def _any(conditions) -> Column:
 def _neighbours(gaps: DataFrame, pool: DataFrame, cols: list[str], k: int, block_rows: int) -> DataFrame | None:
     """``(cols..., fills)``: the filled values per distinct incomplete row."""
     spark = pool.sparkSession
+    pool = materialize(pool, "donor-pool")
     total = pool.count()
     if total == 0:
         return None
@@ -79,18 +83,18 @@ def _neighbours(gaps: DataFrame, pool: DataFrame, cols: list[str], k: int, block
     lo = np.array([[np.nan if b[f"lo|{c}"] is None else b[f"lo|{c}"] for c in cols] for b in boxes])
     hi = np.array([[np.nan if b[f"hi|{c}"] is None else b[f"hi|{c}"] for c in cols] for b in boxes])
     have = np.array([[b[f"n|{c}"] for c in cols] for b in boxes])
-    subs = {b["block"]: math.ceil(b["rows"] / block_rows) for b in boxes}
+    subs = {b["block"]: math.ceil(b["rows"] / TASK_ROWS) for b in boxes}
     sub_frame = local_frame(spark, list(subs.items()), "block string, subs int")
     placed = placed.join(F.broadcast(sub_frame), "block").withColumn("sub", F.pmod(F.xxhash64(*cols), "subs").cast("int")).drop("subs")
 
     # one unit per incomplete row and missing column
     wanted = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(i)) for i, c in enumerate(cols)]))
     name = F.concat_ws("|", F.col("j"), *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in cols])
-    units = gaps.select(*cols, F.explode(wanted).alias("j")).withColumn("unit", F.md5(name))
+    units = materialize(gaps.select(*cols, F.explode(wanted).alias("j")).withColumn("unit", F.md5(name)), "units")
 
     def visit(nearest_only: bool):
         def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
+            for pdf in (b.iloc[i : i + UNITS_AT_ONCE] for b in batches for i in range(0, len(b), UNITS_AT_ONCE)):
                 q = pdf[cols].to_numpy(dtype=float)
                 j = pdf["j"].to_numpy()
                 seen = ~np.isnan(q)
@@ -162,7 +166,8 @@ def _neighbours(gaps: DataFrame, pool: DataFrame, cols: list[str], k: int, block
 
     def evaluate(visits: DataFrame) -> DataFrame:
         """Candidates of each visited block; hot blocks are split on both sides."""
-        load = visits.groupBy("block").agg(F.ceil(F.count("*") / F.lit(UNIT_ROWS)).cast("int").alias("salts")).join(F.broadcast(sub_frame), "block")
+        salts = {r["block"]: math.ceil(r["n"] / UNIT_ROWS) for r in visits.groupBy("block").agg(F.count("*").alias("n")).collect()}
+        load = local_frame(spark, [(b, n, subs[b]) for b, n in salts.items()], "block string, salts int, subs int")
         left = visits.join(F.broadcast(load), "block").select(
             "unit", "j", *cols, "block", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"), F.pmod(F.xxhash64("unit"), "salts").cast("int").alias("salt")
         )
@@ -172,13 +177,13 @@ def _neighbours(gaps: DataFrame, pool: DataFrame, cols: list[str], k: int, block
         keys = ["block", "sub", "salt"]
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "unit string, d double, v double, n long")
 
-    first_visits = units.mapInPandas(visit(True), schema)
-    first = evaluate(first_visits)
+    first_visits = materialize(units.mapInPandas(visit(True), schema), "visits")
+    first = materialize(evaluate(first_visits), "candidates")
     best = F.sort_array(F.collect_list(F.struct("d", "v", "n")))
     reach = first.groupBy("unit").agg(best.alias("c")).select("unit", _radius(F.col("c"), k).alias("radius"))
     done = first_visits.groupBy("unit").agg(F.collect_set("block").alias("visited"))
     again = units.join(done, "unit").join(reach, "unit", "left").withColumn("radius", F.coalesce("radius", F.lit(float("inf"))))
-    second = evaluate(again.mapInPandas(visit(False), schema))
+    second = evaluate(materialize(again.mapInPandas(visit(False), schema), "visits"))
     merged = first.unionAll(second).groupBy("unit").agg(best.alias("c")).select("unit", _weighted(F.col("c"), k).alias("fill"))
     return (
         units.join(merged, "unit")

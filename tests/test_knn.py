@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from lakegauge.operators import knn
 from lakegauge.operators.knn import knn_impute
 
 
@@ -29,8 +30,9 @@ def brute_force(q, d, k):
     return out
 
 
-@pytest.mark.parametrize("block_rows", [10_000, 7])
-def test_matches_brute_force(spark, block_rows):
+@pytest.mark.parametrize(("block_rows", "task_rows"), [(10_000, 10_000), (7, 10_000), (30, 4)])
+def test_matches_brute_force(spark, monkeypatch, block_rows, task_rows):
+    monkeypatch.setattr(knn, "TASK_ROWS", task_rows)
     rng = np.random.default_rng(3)
     d = rng.normal(size=(120, 3))
     d[40:50] = d[0]
