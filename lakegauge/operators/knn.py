@@ -67,8 +67,19 @@ def _neighbours(gaps: DataFrame, pool: DataFrame, cols: list[str], k: int, block
     total = pool.count()
     if total == 0:
         return None
+    # one unit per incomplete row and missing column
+    wanted = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(i)) for i, c in enumerate(cols)]))
+    name = F.concat_ws("|", F.col("j"), *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in cols])
+    units = materialize(gaps.select(*cols, F.explode(wanted).alias("j")).withColumn("unit", F.md5(name)), "units")
+
+    # the grid takes the columns that incomplete rows have most often
+    seen = units.agg(*[F.count(c).alias(c) for c in cols]).first().asDict()
+    grid = sorted((c for c in cols if seen[c]), key=lambda c: -seen[c])[:GRID_COLUMNS]
+    if not grid:
+        return None
+    widest = seen[grid[0]]
+    grid = [c for c in grid if seen[c] * 4 >= widest]
     blocks = min(MAX_BLOCKS, math.ceil(total / block_rows))
-    grid = cols[:GRID_COLUMNS]
     parts = math.ceil(blocks ** (1 / len(grid)))
     cuts = approx_cuts(pool, grid, {c: parts for c in grid})
     placed = with_buckets(pool, cuts)
@@ -87,11 +98,6 @@ def _neighbours(gaps: DataFrame, pool: DataFrame, cols: list[str], k: int, block
     sub_frame = local_frame(spark, list(subs.items()), "block string, subs int")
     placed = placed.join(F.broadcast(sub_frame), "block").withColumn("sub", F.pmod(F.xxhash64(*cols), "subs").cast("int")).drop("subs")
 
-    # one unit per incomplete row and missing column
-    wanted = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(i)) for i, c in enumerate(cols)]))
-    name = F.concat_ws("|", F.col("j"), *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in cols])
-    units = materialize(gaps.select(*cols, F.explode(wanted).alias("j")).withColumn("unit", F.md5(name)), "units")
-
     def visit(nearest_only: bool):
         def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in (b.iloc[i : i + UNITS_AT_ONCE] for b in batches for i in range(0, len(b), UNITS_AT_ONCE)):
