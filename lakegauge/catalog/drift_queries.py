@@ -55,12 +55,12 @@ def ks_statistic(t: Tables):
 
 @query("psi_numeric", BASE + f", {HIST} SELECT feature, round(psi, 6) AS psi FROM div")
 def psi_numeric(t: Tables):
-    return rounded(drift.two_sample_statistics(*sides(t, COLS), FEATURES).select("feature", "psi"))
+    return rounded(drift.histogram_divergences(*sides(t, COLS), FEATURES).select("feature", "psi"))
 
 
 @query("jensen_shannon", BASE + f", {HIST} SELECT feature, round(jsd, 6) AS jsd FROM div")
 def jensen_shannon(t: Tables):
-    return rounded(drift.two_sample_statistics(*sides(t, COLS), FEATURES).select("feature", "jsd"))
+    return rounded(drift.histogram_divergences(*sides(t, COLS), FEATURES).select("feature", "jsd"))
 
 
 @query(

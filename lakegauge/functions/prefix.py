@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .frames import local_frame
 from .quantiles import approx_cuts, counts_of, melt, with_buckets
 
-ROWS_PER_BUCKET = 250_000
+ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 2048
 
 

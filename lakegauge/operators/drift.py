@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
 from ..functions.frames import local_frame
-from ..functions.prefix import bucket_cuts, bucket_totals, running_totals, value_counts
+from ..functions.prefix import ROWS_PER_BUCKET, bucket_cuts, bucket_totals, running_totals, value_counts
 from ..functions.pvalues import chi2_sf, ks_pvalue
 from ..functions.quantiles import clean_double, exact_quantiles
 
@@ -94,11 +94,16 @@ def distances(both: DataFrame, cols: Sequence[str], moments, breakpoints: dict[s
     from the bucket totals alone.
     """
     n = {c: moments[True][c]["n"] + moments[False][c]["n"] for c in cols}
-    cuts = bucket_cuts(both, cols, n=n)
+    sums = {"ref": F.col("is_ref").cast("long"), "prod": (~F.col("is_ref")).cast("long")}
+    # The breakpoints already are about equal-count buckets; more cuts are for large tables.
+    parts = max((len(b) for b in (breakpoints or {}).values()), default=1)
+    cuts = bucket_cuts(both, cols, n=n) if max(n.values()) > parts * ROWS_PER_BUCKET else {c: [] for c in cols}
     if breakpoints:
         cuts = {c: sorted({*cuts[c], *bin_cuts(breakpoints[c])}) for c in cols}
-    sums = {"ref": F.col("is_ref").cast("long"), "prod": (~F.col("is_ref")).cast("long")}
-    totals = bucket_totals(both, cols, sums, cuts)
+    if any(cuts.values()):
+        totals = bucket_totals(both, cols, sums, cuts)
+    else:
+        totals = {c: {0: {"ref": moments[True][c]["n"], "prod": moments[False][c]["n"], "lo": None, "hi": None}} for c in cols}
     run = running_totals(value_counts(both, cols, sums, cuts), list(sums), totals)
     gap = F.abs(
         (F.col("before_ref") + F.col("ref")) / F.col("all_ref") - (F.col("before_prod") + F.col("prod")) / F.col("all_prod")
@@ -108,11 +113,28 @@ def distances(both: DataFrame, cols: Sequence[str], moments, breakpoints: dict[s
     )
     if not breakpoints:
         return shape
+    hist = _histogram_rows(cols, totals, cuts, breakpoints)
+    return shape.join(F.broadcast(local_frame(both.sparkSession, hist, "feature string, psi double, jsd double")), "feature")
+
+
+def _histogram_rows(cols, totals, cuts, breakpoints) -> list[tuple]:
     rows = []
     for c in cols:
         r, p = histograms(totals[c], cuts[c], breakpoints[c])
         rows.append((c, population_stability(r, p), jensen_shannon(r, p)))
-    return shape.join(F.broadcast(local_frame(both.sparkSession, rows, "feature string, psi double, jsd double")), "feature")
+    return rows
+
+
+def histogram_divergences(ref: DataFrame, prod: DataFrame, cols: Sequence[str], limits: DriftThresholds = DriftThresholds()) -> DataFrame:
+    """``(feature, psi, jsd)`` alone: bin counts only, so nothing but one row per bin and task is shuffled."""
+    both = _tagged(ref, prod, cols)
+    moments = sample_moments(both, cols)
+    cols = usable_features(moments, cols, limits.min_values)
+    breakpoints = reference_breakpoints(ref, cols, limits.bins, {c: moments[True][c]["n"] for c in cols})
+    cuts = {c: bin_cuts(breakpoints[c]) for c in cols}
+    sums = {"ref": F.col("is_ref").cast("long"), "prod": (~F.col("is_ref")).cast("long")}
+    hist = _histogram_rows(cols, bucket_totals(both, cols, sums, cuts), cuts, breakpoints)
+    return local_frame(ref.sparkSession, hist, "feature string, psi double, jsd double")
 
 
 def bin_cuts(breakpoints: Sequence[float]) -> list[float]:

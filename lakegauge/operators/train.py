@@ -15,6 +15,7 @@ from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegres
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.frames import local_frame
+from ..session import materialize
 from . import dataset, evaluate, registry
 
 MAX_STRATA = 50
@@ -222,7 +223,7 @@ def search(
     if not classification:
         space.pop("class_weight", None)
     data = assemble(df, features).select("features", label, "fold")
-    data = (dataset.with_class_weights(data, label, "balanced_weight") if classification else data).cache()
+    data = spread(dataset.with_class_weights(data, label, "balanced_weight") if classification else data)
     sizes = {r["fold"]: r["count"] for r in data.groupBy("fold").count().collect()}
     rows = sum(sizes.values())
     found: list[Trial] = []
@@ -268,8 +269,15 @@ def cv_summary(scores: DataFrame, by: Sequence[str], score: str = "score") -> Da
 
 def fit(df: DataFrame, features: Sequence[str], label: str, family: str, params: Mapping, classification: bool, weight: str | None = None, seed: int = 42) -> PipelineModel:
     assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
-    data = assembler.transform(df)
-    return PipelineModel([assembler, estimator(family, params, classification, df.count(), label, weight, seed).fit(data)])
+    data = spread(assembler.transform(df).select("features", label, *([weight] if weight else [])))
+    model = estimator(family, params, classification, data.count(), label, weight, seed).fit(data)
+    data.unpersist()
+    return PipelineModel([assembler, model])
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The training table over all cores, cached: an iterative fit reads it many times."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism).cache()
 
 
 def score_rows(model: Model, df: DataFrame, classification: bool = True, probabilities: bool = False) -> DataFrame:
@@ -358,7 +366,7 @@ def auto_train(
     spark = df.sparkSession
     about = dataset.with_strategy(dataset.profile(df, features, target)).first()
     classification, category = about["is_classification"], about["category"]
-    split = train_validation_split(df, key, target if classification else None, seed=seed)
+    split = materialize(train_validation_split(df, key, target if classification else None, seed=seed), "split")
     training, validation = split.where("NOT is_validation"), split.where("is_validation")
     folds = fold_count(minority_count(training, target), about["cv_folds"]) if classification else about["cv_folds"]
     folded = with_folds(training, key, folds, target if classification else None, seed)

@@ -11,6 +11,7 @@ from pyspark.sql.types import NumericType
 
 from ..functions.frames import local_frame
 from ..functions.quantiles import clean_double, exact_quantiles
+from ..session import materialize, scratch_path
 from . import clean
 from .knn import knn_impute
 from .profile import ColumnConfig, check_config, route_columns
@@ -155,8 +156,6 @@ class Lookup:
 
 def make_lookup(df: DataFrame, default: float, limit: int = LOOKUP_LIMIT) -> Lookup:
     """Collect a (lk, lv) table if it is small, else write it below the shared folder."""
-    from ..session import scratch_path
-
     head = df.limit(limit + 1).collect()
     if len(head) <= limit:
         return Lookup(default, rows=sorted([r["lk"], r["lv"]] for r in head))
@@ -390,8 +389,6 @@ def fit_preparation(
     min_variance: float = 1e-8,
 ) -> Preparation:
     """Learn every parameter on the reference, one stage after the other."""
-    from ..session import scratch_path
-
     for cfg in configs.values():
         check_config(cfg)
     features, target = clean.split_target(ref, target)
@@ -435,6 +432,7 @@ def prepare(
 ) -> tuple[Preparation, DataFrame, DataFrame]:
     """Deduplicate the reference, fit on it, apply to both tables."""
     features, _ = clean.split_target(ref, target)
-    distinct = clean.keep_first(ref, features, order_by or [c for c in ref.columns])
+    # every fitting stage reads the distinct rows again, so the shuffle behind them runs once
+    distinct = materialize(clean.keep_first(ref, features, order_by or [c for c in ref.columns]), "reference")
     prep = fit_preparation(distinct, configs, target)
     return prep, prep.transform(distinct), prep.transform(prod)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.frames import local_frame
 from ..operators import compare, decide, drift, evaluate, profile, registry, train, transform, validate
+from ..session import materialize
 from ..sources import versions
 
 
@@ -65,8 +66,8 @@ def run_cycle(
     features = [c for c in reference.columns if c not in key]
     configs = profile.auto_config(reference.select(*features), target)
     prep = transform.fit_preparation(reference.select(*features), configs, target)
-    ref_ready = prep.transform(reference.select(*features))
-    prod_ready = prep.transform(production.select(*features))
+    ref_ready = materialize(prep.transform(reference.select(*features)), "reference-ready")
+    prod_ready = materialize(prep.transform(production.select(*features)), "production-ready")
     names = [c for c in prod_ready.columns if c != target]
     out.steps.append(("prepare", f"{len(names)} features"))
 
@@ -97,20 +98,19 @@ def run_cycle(
 
 def _retrain(out, prep, production, target, key, model_id, version, stage_log, at, champion, trials, families, overrides, names) -> None:
     spark = production.sparkSession
-    training, held_out = evaluate.holdout(production, key)
-    keyed = lambda df: _with_key(prep, df, key, target)
-    model, out.trials, _, _ = train.auto_train(keyed(training), names, target, key, trials, families, overrides)
+    training, held_out = (materialize(_with_key(prep, df, key, target), "keyed") for df in evaluate.holdout(production, key))
+    model, out.trials, _, _ = train.auto_train(training, names, target, key, trials, families, overrides)
     out.steps.append(("train", type(model.stages[-1]).__name__))
-    scored = train.score_rows(model, keyed(held_out))
+    scored = train.score_rows(model, held_out)
     new = compare.snapshot_of(scored, model_id, target, "pred", "prob")
     if champion is None:
         paired = compare.pair(new.where("false"), new)
         p_values = local_frame(spark, [(model_id, 0.0)], "model_id string, p_value double")
     else:
-        old_scored = train.score_rows(champion, keyed(held_out)).select(*key, F.col("pred").alias("a"))
+        old_scored = train.score_rows(champion, held_out).select(*key, F.col("pred").alias("a"))
         both = scored.join(old_scored, list(key))
         p = compare.significance(compare.bootstrap_f1(both, target, "a", "pred")).first()["p_value"]
-        paired = compare.pair(compare.snapshot_of(train.score_rows(champion, keyed(held_out)), model_id, target, "pred", "prob"), new)
+        paired = compare.pair(compare.snapshot_of(train.score_rows(champion, held_out), model_id, target, "pred", "prob"), new)
         p_values = local_frame(spark, [(model_id, p)], "model_id string, p_value double")
     out.comparison = compare.decide(paired, p_values)
     wins = out.comparison.first()["challenger_wins"]

@@ -70,6 +70,7 @@ def reference_statistics(r, p, bins=20):
 @pytest.mark.parametrize("rows_per_bucket", [250_000, 60])
 def test_two_sample_statistics(spark, monkeypatch, rows_per_bucket):
     monkeypatch.setattr(prefix.bucket_cuts, "__defaults__", (rows_per_bucket, None))
+    monkeypatch.setattr(drift, "ROWS_PER_BUCKET", rows_per_bucket)
     rng = np.random.default_rng(2)
     r = {"a": skewed(rng, 1500), "b": rng.integers(0, 30, 1500).astype(float)}
     p = {"a": skewed(rng, 700) * 1.2, "b": rng.integers(5, 40, 700).astype(float)}
