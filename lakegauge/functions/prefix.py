@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .frames import local_frame
 from .quantiles import approx_cuts, counts_of, melt, with_buckets
 
-ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 2048
+ROWS_PER_BUCKET = 100_000
+MAX_BUCKETS = 4096
 
 
 def bucket_cuts(
@@ -24,7 +24,7 @@ def bucket_cuts(
     """Cut points that leave about ``rows_per_bucket`` rows between them (fewer distinct values still)."""
     n = n or counts_of(df, cols)
     parts = {c: min(MAX_BUCKETS, max(1, -(-n[c] // rows_per_bucket))) for c in cols}
-    return approx_cuts(df, cols, parts)
+    return approx_cuts(df, cols, parts, n)
 
 
 def _summed(

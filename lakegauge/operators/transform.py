@@ -91,11 +91,11 @@ def fit_fills(df: DataFrame, configs: Mapping[str, tuple[str, object]]) -> dict[
     by = lambda kind: [c for c, (s, _) in configs.items() if s == kind]
     out: dict[str, float] = {}
     means, medians, modes = by("mean"), by("median"), by("mode")
-    if means:
-        row = df.agg(*[F.avg(c).alias(c) for c in means]).first()
+    if means or medians:
+        row = df.agg(*[F.avg(c).alias(c) for c in means], *[F.count(c).alias(f"n|{c}") for c in medians]).first()
         out.update({c: row[c] for c in means})
-    if medians:
-        out.update({c: v[0] if v else None for c, v in exact_quantiles(df, {c: [0.5] for c in medians}).items()})
+        found = exact_quantiles(df, {c: [0.5] for c in medians}, n={c: row[f"n|{c}"] for c in medians})
+        out.update({c: v[0] if v else None for c, v in found.items()})
     if modes:
         out.update(fit_modes(df, modes))
     out.update({c: float(configs[c][1] or 0) for c in by("constant")})
@@ -110,8 +110,11 @@ def fit_scalers(df: DataFrame, strategies: Mapping[str, str]) -> dict[str, dict]
             aggs += [F.avg(c).alias(f"a|{c}"), F.stddev_pop(c).alias(f"b|{c}")]
         elif s == "minmax":
             aggs += [F.min(c).alias(f"a|{c}"), F.max(c).alias(f"b|{c}")]
+        elif s == "robust":
+            aggs.append(F.count(c).alias(f"n|{c}"))
     row = df.agg(*aggs).first().asDict() if aggs else {}
-    quantiles = exact_quantiles(df, {c: [0.25, 0.5, 0.75] for c, s in strategies.items() if s == "robust"})
+    robust = [c for c, s in strategies.items() if s == "robust"]
+    quantiles = exact_quantiles(df, {c: [0.25, 0.5, 0.75] for c in robust}, n={c: row[f"n|{c}"] for c in robust})
     out = {}
     for c, s in strategies.items():
         if s == "standard":
@@ -175,6 +178,22 @@ def category_counts(df: DataFrame, col: str) -> DataFrame:
     return df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("string").alias("lk")).agg(F.count("*").alias("n"))
 
 
+def small_counts(df: DataFrame, cols: Sequence[str], limit: int = LOOKUP_LIMIT) -> dict[str, dict[str, int]] | None:
+    """Counts per category of several columns in one pass, or ``None`` if there are more than ``limit`` in all."""
+    if not cols:
+        return {}
+    cells = ", ".join(f"`{c}`" for c in cols)
+    texts = df.select(*[F.col(c).cast("string").alias(c) for c in cols])
+    long = df.sparkSession.sql(f"SELECT column, value FROM {{t}} UNPIVOT (value FOR column IN ({cells}))", t=texts)
+    rows = long.groupBy("column", "value").count().limit(limit + 1).collect()
+    if len(rows) > limit:
+        return None
+    out: dict[str, dict[str, int]] = {c: {} for c in cols}
+    for r in rows:
+        out[r["column"]][r["value"]] = r["count"]
+    return out
+
+
 def fit_frequency(df: DataFrame, col: str, unknown: str = "zero", limit: int = LOOKUP_LIMIT) -> Lookup:
     """Share of each category among the non-null values."""
     total = df.agg(F.count(col).alias("n")).first()["n"]
@@ -412,21 +431,44 @@ def fit_preparation(
     scaling = {c: prep.configs[c].scaling for c in plain} | {c: "robust" for c in prep.routes["knn"]}
     prep.scalers = fit_scalers(filled, scaling)
     cats = prep.routes["ordinal"] + prep.routes["onehot"] + prep.routes["frequency"] + prep.routes["target"]
-    modes = fit_modes(fixed, cats)
-    prep.fills.update(modes)
+    counts = small_counts(fixed, cats)
+    if counts is not None:
+        _encode_from_counts(prep, counts, fixed)
+        modes = {c: prep.fills[c] for c in cats}
+    else:
+        modes = fit_modes(fixed, cats)
+        prep.fills.update(modes)
     seen = fixed.withColumns({c: F.coalesce(F.col(c), F.lit(m)) for c, m in modes.items() if m is not None}) if modes else fixed
-    for c in prep.routes["ordinal"]:
-        prep.lookups[c] = fit_ordinal(seen, c, prep.configs[c].ordinal_categories)
-    for c in prep.routes["onehot"]:
-        prep.onehot[c] = fit_onehot(seen, c, prep.configs[c].onehot_max)
-    for c in prep.routes["frequency"]:
-        prep.lookups[c] = fit_frequency(seen, c)
+    if counts is None:
+        for c in prep.routes["ordinal"]:
+            prep.lookups[c] = fit_ordinal(seen, c, prep.configs[c].ordinal_categories)
+        for c in prep.routes["onehot"]:
+            prep.onehot[c] = fit_onehot(seen, c, prep.configs[c].onehot_max)
+        for c in prep.routes["frequency"]:
+            prep.lookups[c] = fit_frequency(seen, c)
     for c in prep.routes["target"]:
         prep.lookups[c] = fit_target(seen, c, f"__{target}")
     prep.constants = constant_columns(prep.transform(ref), [target] if target else [])
     return prep
 
 
+def _encode_from_counts(prep: Preparation, counts: dict[str, dict[str, int]], fixed: DataFrame) -> None:
+    """Modes and encoders of all categorical columns from their counts; missing values count for the mode."""
+    rows = fixed.count() if counts else 0
+    for c, n in counts.items():
+        mode = min(n, key=lambda v: (-n[v], v)) if n else None
+        prep.fills[c] = mode
+        if c in prep.routes["ordinal"]:
+            given = prep.configs[c].ordinal_categories
+            prep.lookups[c] = Lookup(-1.0, rows=[[str(v), float(i)] for i, v in enumerate(given if given is not None else sorted(n))])
+        elif c in prep.routes["onehot"]:
+            prep.onehot[c] = sorted(n)
+        elif c in prep.routes["frequency"]:
+            missing = rows - sum(n.values()) if mode is not None else 0
+            filled = {v: k + (missing if v == mode else 0) for v, k in n.items()}
+            prep.lookups[c] = Lookup(0.0, rows=sorted([v, k / max(1, sum(filled.values()))] for v, k in filled.items()))
+
+
 def prepare(
     ref: DataFrame, prod: DataFrame, configs: Mapping[str, ColumnConfig], target: str | None = None, order_by: Sequence[str] | None = None
 ) -> tuple[Preparation, DataFrame, DataFrame]:
