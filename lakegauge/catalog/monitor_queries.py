@@ -122,7 +122,7 @@ def alert_routing(t: Tables):
 @query(
     "combined_monitoring",
     f"""WITH {DEGRADED_SQL}, q AS (SELECT count(*) FILTER (o_totalprice IS NULL) = 0 AND count(*) >= 100 AS ok FROM orders), s AS (SELECT avg((l_returnflag = 'A')::INT) > 0.5 AS drifted FROM lineitem)
-    SELECT CASE WHEN ok THEN 'ok' ELSE 'alert' END AS quality, CASE WHEN drifted THEN 'alert' ELSE 'ok' END AS drift, CASE WHEN (SELECT count(*) FROM d WHERE change > 0.05) > 0 THEN 'alert' ELSE 'ok' END AS performance,
+    SELECT CASE WHEN ok THEN 'ok' ELSE 'alert' END AS quality, CASE WHEN drifted THEN 'alert' ELSE 'ok' END AS drift, CASE WHEN (SELECT count(*) FROM d) = 0 THEN 'missing' WHEN (SELECT count(*) FROM d WHERE change > 0.05) > 0 THEN 'alert' ELSE 'ok' END AS performance,
       NOT ok OR drifted OR (SELECT count(*) FROM d WHERE change > 0.05) > 0 AS any_alert, drifted OR (SELECT count(*) FROM d WHERE change > 0.05) > 0 AS retrain_recommended FROM q, s""",
 )
 def combined_monitoring(t: Tables):

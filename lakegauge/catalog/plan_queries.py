@@ -11,19 +11,19 @@ from ..session import scratch_path
 from .base import Tables, query, rounded
 from .drift_queries import HIST, KS_P, SHAPE
 from .inputs import order_sides, order_sides_sql
-from .monitor_queries import STATE_SQL, matched, predictions, stage_log
+from .monitor_queries import STATE_SQL, WINDOW_SQL, matched, predictions, stage_log
 
 
 @query(
     "monitoring_run",
-    f"""WITH {order_sides_sql("o_totalprice, o_orderstatus")}, both_long AS (SELECT 'o_totalprice' AS feature, o_totalprice AS x, 1 AS is_ref FROM ref UNION ALL SELECT 'o_totalprice', o_totalprice, 0 FROM prod),
+    f"""WITH {WINDOW_SQL}, latest AS (SELECT model_version, arg_max(f1, window_start) AS f1 FROM win GROUP BY 1), {order_sides_sql("o_totalprice, o_orderstatus")}, both_long AS (SELECT 'o_totalprice' AS feature, o_totalprice AS x, 1 AS is_ref FROM ref UNION ALL SELECT 'o_totalprice', o_totalprice, 0 FROM prod),
     {SHAPE}, {HIST}, num AS (SELECT {KS_P} < 0.05 OR psi > 0.2 AS drifted FROM shape JOIN mom USING (feature) JOIN div USING (feature)),
     st AS (SELECT o_orderstatus, sum(r) AS r, sum(p) AS p FROM (SELECT o_orderstatus, 1 AS r, 0 AS p FROM ref UNION ALL SELECT o_orderstatus, 0, 1 FROM prod) GROUP BY 1),
     cat AS (SELECT exp(-sum((p - e) ** 2 / e) / 2) < 0.05 AS drifted FROM (SELECT p, r / sum(r) OVER () * sum(p) OVER () AS e FROM st)),
     share AS (SELECT avg(drifted::INT) AS s FROM (SELECT * FROM num UNION ALL SELECT * FROM cat)),
     p AS (SELECT count(*) AS n, avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS s FROM ref), c AS (SELECT count(*) AS n, avg(o_totalprice) AS m FROM prod)
     SELECT 'quality' AS monitor, CASE WHEN c.n BETWEEN floor(p.n * 0.5) AND floor(p.n * 2.0) AND abs(c.m - p.m) <= 3 * p.s THEN 'ok' ELSE 'alert' END AS status, false AS retrain_recommended FROM c, p
-    UNION ALL SELECT 'drift', CASE WHEN s > 0.3 THEN 'alert' ELSE 'ok' END, s > 0.3 FROM share UNION ALL SELECT 'performance', 'alert', true FROM p""",
+    UNION ALL SELECT 'drift', CASE WHEN s > 0.3 THEN 'alert' ELSE 'ok' END, s > 0.3 FROM share UNION ALL SELECT 'performance', CASE WHEN count(*) = 0 THEN 'missing' WHEN count(*) FILTER (f1 < 0.99 * 0.95) > 0 THEN 'alert' ELSE 'ok' END, count(*) FILTER (f1 < 0.99 * 0.95) > 0 FROM latest""",
 )
 def monitoring(t: Tables):
     ref, prod = order_sides(t, "o_totalprice, o_orderstatus")

@@ -276,7 +276,7 @@ def encode_target(t: Tables):
     "WITH t AS (SELECT p_brand, p_partkey % 5 AS fold, p_retailprice AS y FROM part), f AS (SELECT DISTINCT fold FROM t), "
     "w AS (SELECT f.fold, avg(y) AS m, var_pop(y) AS v FROM f JOIN t ON t.fold <> f.fold GROUP BY 1), "
     "c AS (SELECT f.fold, p_brand, count(*) AS n, avg(y) AS mean, var_pop(y) AS var FROM f JOIN t ON t.fold <> f.fold GROUP BY ALL) "
-    f"SELECT p_brand, fold, round({SHRINK}, 3) AS code, (SELECT count(*) FROM t WHERE t.p_brand = c.p_brand AND t.fold = c.fold) AS rows FROM c JOIN w USING (fold)",
+    f"SELECT p_brand, fold, round({SHRINK}, 3) AS code, k.rows FROM c JOIN w USING (fold) JOIN (SELECT p_brand, fold, count(*) AS rows FROM t GROUP BY ALL) k USING (p_brand, fold)",
 )
 def encode_target_cross_fit(t: Tables):
     p = t.part.withColumn("fold", F.col("p_partkey") % 5)

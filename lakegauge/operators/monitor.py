@@ -9,6 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.quantiles import order_statistics
 from . import evaluate
 from .decide import relative_change
 from .evaluate import split_point
@@ -53,9 +54,21 @@ def match_feedback(predictions: DataFrame, feedback: DataFrame, horizon: str = "
     )
 
 
-def newest(log: DataFrame, n: int = 100_000, stamp: str = "timestamp", tie: str = "request_id") -> DataFrame:
-    """The newest ``n`` rows: the bounded buffer, as a top-k."""
-    return log.orderBy(F.desc(stamp), F.desc(tie)).limit(n)
+def newest(log: DataFrame, n: int = 100_000, stamp: str = "timestamp", tie: str = "request_id", small_rows: int = 5_000_000) -> DataFrame:
+    """The newest ``n`` rows: the bounded buffer.
+
+    A top-k keeps ``n`` rows in every task and merges them in one. On a large log the exact time of the n-th
+    newest row is found first; only rows at that very time still compete.
+    """
+    total = log.count()
+    if total <= max(n, small_rows):
+        return log.orderBy(F.desc(stamp), F.desc(tie)).limit(n)
+    at = F.unix_micros(F.col(stamp)).cast("double")
+    times = log.select(at.alias("us"))
+    edge = order_statistics(times, {"us": {total - n}}, {"us": total})["us"][total - n]
+    later = log.where(at > edge)
+    left = n - later.count()
+    return later.unionByName(log.where(at == edge).orderBy(F.desc(tie)).limit(left))
 
 
 def window_metrics(

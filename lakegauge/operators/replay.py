@@ -15,6 +15,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.frames import local_frame
+
 KEY_ROWS = 500_000
 
 # Scope -> (capacity, tokens per second).
@@ -160,25 +162,34 @@ def breaker_apply(transfer: dict, state: int, failed_at: int) -> tuple[int, int]
 
 def _slices(log: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
     """The rows of busy keys with a slice number; slices are equally long in time per key."""
-    return log.join(F.broadcast(hot), list(keys)).withColumn("slice", F.floor((F.col("us") - F.col("first_us")) / F.col("slice_us")).cast("long"))
+    return log.join(hot, list(keys)).withColumn("slice", F.floor((F.col("us") - F.col("first_us")) / F.col("slice_us")).cast("long"))
+
 
+def _hot_keys(log: DataFrame, keys: Sequence[str], key_rows: int, limit: int = 50_000) -> DataFrame | None:
+    """Keys with more than ``key_rows`` rows and the width of their slices, ``None`` without any.
 
-def _hot_keys(log: DataFrame, keys: Sequence[str], key_rows: int) -> tuple[DataFrame, bool]:
-    """Keys with more than ``key_rows`` rows: at most rows / key_rows of them."""
+    Up to ``limit`` keys become a local table that is broadcast; more are joined without a hint.
+    """
     hot = log.groupBy(*keys).agg(F.count("*").alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us")).where(F.col("n") > key_rows)
     width = F.greatest(F.floor((F.col("last_us") - F.col("first_us")) / F.ceil(4 * F.col("n") / F.lit(key_rows))), F.lit(1))
     hot = hot.select(*keys, "first_us", width.alias("slice_us"))
-    return hot, bool(hot.take(1))
+    head = hot.limit(limit + 1).collect()
+    if not head:
+        return None
+    if len(head) > limit:
+        return hot
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hot.schema.fields)
+    return F.broadcast(local_frame(log.sparkSession, [tuple(r) for r in head], kinds))
 
 
 def _replayed(
     log: DataFrame, keys: Sequence[str], schema: str, whole: Callable, transfer: Callable, chain: Callable, resume: Callable, key_rows: int
 ) -> DataFrame:
     keys = list(keys)
-    hot, any_hot = _hot_keys(log, keys, key_rows)
-    if not any_hot:
+    hot = _hot_keys(log, keys, key_rows)
+    if hot is None:
         return log.groupBy(*keys).applyInPandas(whole, schema)
-    cold = log.join(F.broadcast(hot.select(*keys)), keys, "left_anti").groupBy(*keys).applyInPandas(whole, schema)
+    cold = log.join(hot.select(*keys), keys, "left_anti").groupBy(*keys).applyInPandas(whole, schema)
     rows = _slices(log, keys, hot)
     kinds = ", ".join(f"`{k}` {log.schema[k].dataType.simpleString()}" for k in keys)
     functions = rows.groupBy(*keys, "slice").applyInPandas(transfer, f"{kinds}, slice long, first long, last long, body string")

@@ -67,3 +67,14 @@ def test_sliced_run_equals_whole_run(spark):
             elif s < 5:
                 is_open = False
     assert len(spans) == expected
+
+
+def test_newest_rows_by_threshold(spark):
+    from lakegauge.operators import monitor
+
+    rng = np.random.default_rng(9)
+    ts = pd.to_datetime(rng.integers(0, 60, 900) * 1_000_000 + 1_700_000_000_000_000, unit="us")
+    log = spark.createDataFrame(pd.DataFrame({"request_id": [f"r{i:04d}" for i in range(900)], "timestamp": ts}))
+    plain = {r.request_id for r in monitor.newest(log, 100).collect()}
+    cut = monitor.newest(log, 100, small_rows=10).collect()
+    assert len(cut) == 100 and {r.request_id for r in cut} == plain
