@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import drift
 from .base import Tables, query, rounded
-from .inputs import FEATURES, SPLIT, order_sides, order_sides_sql, sides, sides_sql
+from .inputs import FEATURES, order_sides, order_sides_sql, sides, sides_sql
 
 LONG = (
     "both_long AS (SELECT feature, x, is_ref FROM (SELECT *, 1 AS is_ref FROM ref UNION ALL SELECT *, 0 AS is_ref FROM prod) "

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.frames import local_frame
 from ..operators import compare, dataset, decide, evaluate
 from .base import Tables, query, rounded
 from .inputs import MULTI_SQL, REGRESSION_SQL, SCORED_SQL, from_sql

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import drift, registry, validate
+from ..operators import drift, registry
 from ..plans.cycle import run_cycle
 from ..plans.monitoring import monitoring_run
 from ..session import scratch_path

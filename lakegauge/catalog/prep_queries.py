@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
-from ..operators import clean, profile, transform
+from ..operators import clean, transform
 from ..operators.knn import knn_impute
 from ..operators.profile import ColumnConfig
 from .base import Tables, query, rounded

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.frames import local_frame
 from ..operators import monitor
 from ..session import scratch_path
 from ..sources import tables, versions
 from ..streaming import streams
 from .base import Tables, query, rounded
-from .monitor_queries import FEED_SQL, MATCH_SQL, PRED_SQL, RATE_SQL, is_error
+from .monitor_queries import MATCH_SQL, PRED_SQL, RATE_SQL, is_error
 
 TOTALS_SQL = "SELECT o_orderstatus, count(*) AS n, sum(o_custkey)::BIGINT AS keys, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1"
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakegauge.operators import registry, validate
-from lakegauge.operators.validate import BETWEEN, COLUMN_SET, IN_SET, MEAN_BETWEEN, NOT_NULL, OF_TYPE, ROW_COUNT, UNIQUE, ColumnRule, Expectation, TableRules
+from lakegauge.operators.validate import BETWEEN, COLUMN_SET, IN_SET, MEAN_BETWEEN, NOT_NULL, OF_TYPE, ROW_COUNT, UNIQUE, Expectation, TableRules
 from lakegauge.sources import synthetic, tables, versions
 
 
