@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .fertility import fertility_report
+from .kneser_ney import classifier_report
+from .lattice import embedding_links
 from .packing import pack_documents
 from .piece_codec import piece_report
 from .rans_files import token_file_report
@@ -23,9 +25,17 @@ def over(name: str, table: str, report: Callable[[DataFrame], DataFrame]) -> Non
 
 
 over("op1_secret_scan", "documents", secret_report)
+over("op2_lattice_near_dedup", "embeddings", embedding_links)
 over("op4_simhash_near_dedup", "documents", simhash_report)
 over("op9_best_fit_packing", "documents", pack_documents)
 over("op10_rans_token_files", "documents", token_file_report)
 over("op5_sentencepiece_codec", "documents", piece_report)
 over("op6_tokeniser_fertility", "documents", fertility_report)
 over("op7_suffix_array_dedup", "documents", suffix_report)
+
+
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return classifier_report(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
+QUERIES["op8_kneser_ney_classifier"] = op8
