@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .compact_windows import near_passages
 from .fertility import fertility_report
 from .kneser_ney import classifier_report
 from .lattice import embedding_links
@@ -26,6 +27,7 @@ def over(name: str, table: str, report: Callable[[DataFrame], DataFrame]) -> Non
 
 over("op1_secret_scan", "documents", secret_report)
 over("op2_lattice_near_dedup", "embeddings", embedding_links)
+over("op3_compact_windows", "documents", near_passages)
 over("op4_simhash_near_dedup", "documents", simhash_report)
 over("op9_best_fit_packing", "documents", pack_documents)
 over("op10_rans_token_files", "documents", token_file_report)

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from lakegauge.session import materialize
 
@@ -411,7 +412,7 @@ def shorten_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 raw = raw.encode()
                 raw = without(raw, removed_ranges(len(raw), found.as_py())).decode("utf-8", errors="ignore")
             left.append(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()), *batch.columns[2:]], names=["text", *batch.schema.names[2:]])
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()), *batch.columns[2:]], names=["__clean", *batch.schema.names[2:]])
 
 
 def drop_repeats(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars", large: int = LARGE) -> DataFrame:
@@ -419,20 +420,20 @@ def drop_repeats(docs: DataFrame, text_col: str = "text", length_col: str = "n_c
 
     A changed text gets its new length; a null text stays null.
     """
-    _, ranges = repeated_ranges(docs.withColumnRenamed(text_col, "text") if text_col != "text" else docs, large)
-    whole = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    _, ranges = repeated_ranges(docs.select("doc_id", F.col(f"`{text_col}`").alias("text")), large)
+    whole = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     own = docs.select(F.col(f"`{text_col}`").alias("__text"), F.xxhash64(whole).alias("__h1"), F.xxhash64(whole, F.lit(1)).alias("__h2"), *[F.col(f"`{c}`") for c in docs.columns if c != text_col])
     found = ranges.select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), F.col("found").alias("__found"))
     rest = [c for c in docs.columns if c != text_col]
     out = own.join(found, ["__h1", "__h2"], "left").select("__text", "__found", *[F.col(f"`{c}`") for c in rest], F.col("__found").isNotNull().alias("__cut"))
-    fields = ", ".join(["text string", *[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest], "__cut boolean"])
-    cut = out.mapInArrow(shorten_batches, fields)
+    fields = [StructField("__clean", StringType()), *[docs.schema[c] for c in rest], StructField("__cut", BooleanType())]
+    cut = out.mapInArrow(shorten_batches, StructType(fields))
     columns = []
     for c in docs.columns:
         if c == text_col:
-            columns.append(F.col("text").alias(text_col))
+            columns.append(F.col("__clean").alias(text_col))
         elif c == length_col:
-            columns.append(F.when(F.col("__cut"), F.length("text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c))
+            columns.append(F.when(F.col("__cut"), F.length("__clean").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c))
         else:
             columns.append(F.col(f"`{c}`"))
     return cut.select(*columns)
