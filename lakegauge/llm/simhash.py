@@ -195,7 +195,7 @@ def simhash_report(docs: DataFrame) -> DataFrame:
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one with the smallest doc_id (ties: smallest text hash); repeated rows once."""
     rows = simhash_classes(docs)
-    first = rows.groupBy("component_id").agg(F.min(F.struct(id_key(F.col("doc_id")).alias("id"), "text_hash")).alias("first")).select("first.id", "first.text_hash")
+    first = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), id_key(F.col("doc_id")).alias("id"), "text_hash")).alias("first")).select("first.id", "first.text_hash")
     keep = first.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
     own = docs.withColumns({"__id": id_key(F.col("doc_id")), "__hash": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
     rank = F.row_number().over(Window.partitionBy("__id", "__hash").orderBy(F.lit(1)))

@@ -347,8 +347,8 @@ def repeated_ranges(docs: DataFrame, large: int = LARGE) -> tuple[DataFrame, Dat
         covered = covered.union(runs.repartition("range").sortWithinPartitions("range").mapInArrow(merge_batches, COVERED))
     if counts.get(True):
         windows = materialize(ask(texts, wanted.where("crowded").drop("crowded")).mapInArrow(window_batches, "gram long, context long, n long, low int, w1 long, w2 long"), "suffix-windows")
-        twice = windows.groupBy("w1", "w2").agg(F.sum("n").alias("total")).where("total > 1")
-        hits = windows.where("n = 1").join(twice, ["w1", "w2"]).groupBy("gram", "context").agg(F.collect_set("low").alias("lows"))
+        twice = windows.groupBy("gram", "low", "w1", "w2").agg(F.sum("n").alias("total")).where("total > 1")
+        hits = windows.where("n = 1").join(twice, ["gram", "low", "w1", "w2"]).groupBy("gram", "context").agg(F.collect_set("low").alias("lows"))
         covered = covered.union(hits.mapInArrow(range_batches, COVERED))
     covered = covered.groupBy("gram", "context").agg(F.collect_list(F.struct("low", "high")).alias("found"))
 
