@@ -32,8 +32,10 @@ LENGTH, GRAM = 200, 50
 PLACES = LENGTH - GRAM + 1
 #: Bytes hashed at a time; arrays of eight times this size stay near the processor.
 CHUNK = 1 << 19
-#: Distinct contexts of one gram that one task compares; larger groups are dealt out by their windows.
-LARGE = 2048
+#: Distinct contexts of one gram that one task compares, in about 6 kB each; larger groups are dealt out by their windows.
+LARGE = 32_768
+#: Distances that are compared at a time, so that the rest of a group's memory does not follow their number.
+AT_ONCE = 16
 #: Contexts of one range of the merge.
 RANGE = 10_000
 
@@ -230,25 +232,24 @@ def crowd(group: list[tuple[int, Entry]]) -> list[list[tuple[int, int]]]:
         text[i, left - len(context) : left] = np.frombuffer(context, dtype=np.uint8)
         text[i, left : left + len(suffix) - 8] = np.frombuffer(suffix, dtype=np.uint8, offset=8)
     roll = roller()
-    distance = np.arange(PLACES)
-    start = left - distance
-    valid = (before[:, None] >= distance) & (behind[:, None] >= LENGTH - distance)
-    windows = []
-    for table in (roll.value, roll.second):
+    tables = []
+    for value in (roll.value, roll.second):
         sums = np.zeros((m, text.shape[1] + 1), dtype=np.uint64)
-        np.cumsum(table[text] * roll.up[: text.shape[1]], axis=1, out=sums[:, 1:])
-        windows.append(sums[:, start + LENGTH] - sums[:, start])
-    order = np.argsort(windows[0], axis=0, kind="stable")
-    one, two, ok = (np.take_along_axis(x, order, axis=0) for x in (*windows, valid))
-    # windows that do not lie in their text may separate equal ones: they go to the end of their hash
-    if not valid.all():
+        np.multiply(value[text], roll.up[: text.shape[1]], out=sums[:, 1:])
+        tables.append(np.cumsum(sums, axis=1, out=sums))
+    hit = np.zeros((m, PLACES), bool)
+    for o in range(0, PLACES, AT_ONCE):
+        distance = np.arange(o, min(PLACES, o + AT_ONCE))
+        start = left - distance
+        valid = (before[:, None] >= distance) & (behind[:, None] >= LENGTH - distance)
+        windows = [sums[:, start + LENGTH] - sums[:, start] for sums in tables]
+        # windows that do not lie in their text go to the end of their hash, so they never separate equal ones
         order = np.lexsort((~valid, windows[0]), axis=0)
         one, two, ok = (np.take_along_axis(x, order, axis=0) for x in (*windows, valid))
-    same = (one[1:] == one[:-1]) & (two[1:] == two[:-1]) & ok[1:] & ok[:-1]
-    hit = np.zeros((m, PLACES), bool)
-    at, column = np.nonzero(same)
-    hit[order[at, column], column] = True
-    hit[order[at + 1, column], column] = True
+        same = (one[1:] == one[:-1]) & (two[1:] == two[:-1]) & ok[1:] & ok[:-1]
+        at, column = np.nonzero(same)
+        hit[order[at, column], o + column] = True
+        hit[order[at + 1, column], o + column] = True
     found: list[list[tuple[int, int]]] = [[] for _ in group]
     edges = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
     for (i, a), (_, b) in zip(np.argwhere(edges == 1).tolist(), np.argwhere(edges == -1).tolist()):
@@ -350,7 +351,8 @@ def repeated_ranges(docs: DataFrame, large: int = LARGE) -> tuple[DataFrame, Dat
         twice = windows.groupBy("gram", "low", "w1", "w2").agg(F.sum("n").alias("total")).where("total > 1")
         hits = windows.where("n = 1").join(twice, ["gram", "low", "w1", "w2"]).groupBy("gram", "context").agg(F.collect_set("low").alias("lows"))
         covered = covered.union(hits.mapInArrow(range_batches, COVERED))
-    covered = covered.groupBy("gram", "context").agg(F.collect_list(F.struct("low", "high")).alias("found"))
+    # written, so that a join with a context that many texts hold can be split
+    covered = materialize(covered.groupBy("gram", "context").agg(F.collect_list(F.struct("low", "high")).alias("found")), "suffix-covered")
 
     spots = places.select("gram", "context", "h1", "h2", "place").join(covered, ["gram", "context"]).select("h1", "h2", "place", F.explode("found").alias("f"))
     ranges = spots.groupBy("h1", "h2").agg(F.collect_set(F.struct("place", F.col("f.low").alias("low"), F.col("f.high").alias("high"))).alias("found"))
