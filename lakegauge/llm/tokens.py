@@ -13,8 +13,9 @@ from .common import worker_cache
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
-#: Cached units of a worker, beyond which the cache starts anew: it bounds memory and changes no result.
-CACHED = 500_000
+#: Cached units of a worker, beyond which the cache starts anew, and the longest unit worth a place: they bound memory and
+#: change no result.
+CACHED, LONGEST = 300_000, 10
 
 
 class Units(dict):
@@ -26,7 +27,9 @@ class Units(dict):
     def __missing__(self, unit: str) -> bytes:
         if unit[:-1].isalpha() and unit[-1] in ".,!?;:":  # composed each time: the word alone is kept
             return self[unit[:-1]] + self.words[unit[-1]]
-        ids = self[unit] = self.words.tokenize(" " + unit) if unit.isalpha() else self.words.several(" " + unit)
+        ids = self.words.tokenize(" " + unit) if unit.isalpha() else self.words.several(" " + unit)
+        if len(unit) <= LONGEST:
+            self[unit] = ids
         return ids
 
 
@@ -50,7 +53,9 @@ class Words(dict):
         return np.array([t.id for t in tokens], dtype="<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        ids = self[word] = self.tokenize(word)
+        ids = self.tokenize(word)
+        if len(word) <= LONGEST:
+            self[word] = ids
         return ids
 
     def several(self, text: str) -> bytes:
