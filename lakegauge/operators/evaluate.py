@@ -121,8 +121,12 @@ def true_probability(y: str, probs: Mapping[object, str]) -> Column:
 
 
 def threshold_scan(scored: DataFrame, y: str = "y", prob: str = "prob") -> DataFrame:
-    """F1 at each of the 19 thresholds from counts per threshold interval, with the best one flagged."""
-    df = with_buckets(scored.select(F.col(y).alias("y"), F.col(prob).alias("p")), {"p": THRESHOLDS})
+    """F1 at each of the 19 thresholds from counts per threshold interval, with the best one flagged.
+
+    A score that is null or not a number is never at or above a threshold.
+    """
+    score = F.coalesce(F.nanvl(F.col(prob).cast("double"), F.lit(float("-inf"))), F.lit(float("-inf")))
+    df = with_buckets(scored.select(F.col(y).alias("y"), score.alias("p")), {"p": THRESHOLDS})
     counts = df.groupBy(F.col("p__b").alias("k")).agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("pos"), F.count("*").alias("n"))
     positives = F.sum("pos")
     scan = counts.agg(F.collect_list(F.struct("k", "pos", "n")).alias("c"), positives.alias("positives")).select(
@@ -230,20 +234,22 @@ def latency_profile(log: DataFrame, latency: str, by: str, small_rows: int = SMA
     )
     probs = [0.5, 0.75, 0.95, 0.99]
     large = {r[by]: r["n"] for r in groups.where(F.col("n") > small_rows).select(by, "n").collect()}
-    rest = log.where(~F.coalesce(F.col(by).isin(list(large)), F.lit(False))) if large else log
+    is_large = F.coalesce(F.col(by).isin([v for v in large if v is not None]), F.lit(None in large))
+    rest = log.where(~is_large) if large else log
     q = rest.groupBy(by).agg(F.percentile(latency, probs).alias("q"))
     kind = log.schema[by].dataType.simpleString()
     names = list(large)
     for start in range(0, len(names), 50):
         cols = {f"g{i}": v for i, v in enumerate(names[start : start + 50])}
-        wide = log.select(*[F.when(F.col(by) == v, F.col(latency)).alias(c) for c, v in cols.items()])
+        wide = log.select(*[F.when(F.col(by).eqNullSafe(F.lit(v)), F.col(latency)).alias(c) for c, v in cols.items()])
         found = exact_quantiles(wide, {c: probs for c in cols}, small_rows, {c: large[v] for c, v in cols.items()})
         q = q.unionAll(local_frame(log.sparkSession, [(v, found[c]) for c, v in cols.items()], f"`{by}` {kind}, q array<double>"))
     return _with_percentiles(groups, q, by)
 
 
 def _with_percentiles(groups: DataFrame, q: DataFrame, by: str) -> DataFrame:
-    joined = groups.join(q, by)
+    same = F.col(f"g.{by}").eqNullSafe(F.col("q.__by"))
+    joined = groups.alias("g").join(q.withColumnRenamed(by, "__by").alias("q"), same).drop("__by")
     pcts = [F.get("q", F.lit(i)).alias(f"p{p}_ms") for i, p in enumerate((50, 75, 95, 99))]
     return joined.select(by, "n", *pcts, "mean_ms", "std_ms", "min_ms", "max_ms", F.try_divide(F.lit(1000.0), F.col("mean_ms")).alias("throughput_rps"))
 

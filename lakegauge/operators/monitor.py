@@ -55,20 +55,23 @@ def match_feedback(predictions: DataFrame, feedback: DataFrame, horizon: str = "
 
 
 def newest(log: DataFrame, n: int = 100_000, stamp: str = "timestamp", tie: str = "request_id", small_rows: int = 5_000_000) -> DataFrame:
-    """The newest ``n`` rows: the bounded buffer.
+    """The newest ``n`` rows: the bounded buffer. Rows without a time come last, as many as there is room for.
 
     A top-k keeps ``n`` rows in every task and merges them in one. On a large log the exact time of the n-th
     newest row is found first; only rows at that very time still compete.
     """
-    total = log.count()
-    if total <= max(n, small_rows):
-        return log.orderBy(F.desc(stamp), F.desc(tie)).limit(n)
+    known = log.where(F.col(stamp).isNotNull())
+    total = known.count()
+    nameless = log.where(F.col(stamp).isNull()).orderBy(F.desc(tie))
+    if total <= n:
+        return known.unionByName(nameless.limit(n - total))
+    if total <= small_rows:
+        return known.orderBy(F.desc(stamp), F.desc(tie)).limit(n)
     at = F.unix_micros(F.col(stamp)).cast("double")
-    times = log.select(at.alias("us"))
-    edge = order_statistics(times, {"us": {total - n}}, {"us": total})["us"][total - n]
-    later = log.where(at > edge)
+    edge = order_statistics(known.select(at.alias("us")), {"us": {total - n}}, {"us": total})["us"][total - n]
+    later = known.where(at > edge)
     left = n - later.count()
-    return later.unionByName(log.where(at == edge).orderBy(F.desc(tie)).limit(left))
+    return later.unionByName(known.where(at == edge).orderBy(F.desc(tie)).limit(left))
 
 
 def window_metrics(

@@ -11,12 +11,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 STAGES = ["development", "staging", "champion", "archived", "rejected", "challenger"]
 KEY = ["model_id", "version"]
+#: Of a version's events at one time the one furthest along this list counts.
+LIFECYCLE = ["development", "staging", "challenger", "champion", "archived", "rejected"]
 
 
 def current(log: DataFrame) -> DataFrame:
-    """Stage of every version: its latest event, with creation and update time."""
+    """Stage of every version: its latest event, with creation and update time; ties go along the life cycle."""
+    step = F.array_position(F.array(*[F.lit(s) for s in LIFECYCLE]), F.col("stage"))
     return log.groupBy(*KEY).agg(
-        F.max_by("stage", "at").alias("stage"),
+        F.max_by("stage", F.struct(F.col("at"), step)).alias("stage"),
         F.min("at").alias("created_at"),
         F.max("at").alias("updated_at"),
         F.max("parent_version").alias("parent_version"),

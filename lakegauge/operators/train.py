@@ -36,8 +36,9 @@ def ranked(df: DataFrame, strata: str | None, key: Sequence[str], seed: int, dig
     A window over a whole stratum would sort it in one task. The leading hash digits cut every stratum into
     ``16 ** digits`` even buckets; the bucket counts, a bounded table, give each bucket its first rank.
     """
-    stratum = F.col(strata).cast("string") if strata else F.lit("all")
-    rows = df.withColumns({"__stratum": F.coalesce(stratum, F.lit("~")), "__order": hash_order(key, seed)})
+    # a null class is one of its own, whatever the other classes are called
+    stratum = F.concat(F.lit("="), F.col(strata).cast("string")) if strata else F.lit("all")
+    rows = df.withColumns({"__stratum": F.coalesce(stratum, F.lit("")), "__order": hash_order(key, seed)})
     rows = rows.withColumn("__bucket", F.substring("__order", 1, digits))
     counts = rows.groupBy("__stratum", "__bucket").agg(F.count("*").alias("n")).collect()
     by: dict[str, list] = {}

@@ -119,12 +119,10 @@ def top_values(df: DataFrame, cols: Sequence[str], k: int) -> DataFrame:
 
 
 def suite_from_profile(
-    ref: DataFrame, rules: TableRules | None = None, tolerance: float = 3.0, sample: float | None = None, max_categories: int = 50
+    ref: DataFrame, rules: TableRules | None = None, tolerance: float = 3.0, max_categories: int = 50
 ) -> list[Expectation]:
     """Expectations learned from a reference table: two passes over it, parameters to the driver."""
     overrides = {c.name: c for c in rules.columns} if rules else {}
-    if sample is not None:
-        ref = ref.sample(sample, seed=7)
     kinds = {f.name: f.dataType for f in ref.schema.fields}
     numeric = [c for c, k in kinds.items() if isinstance(k, NumericType)]
     stamps = [c for c, k in kinds.items() if isinstance(k, (TimestampType, TimestampNTZType))]
@@ -328,12 +326,21 @@ def validate(df: DataFrame, ref: DataFrame | None = None, rules: TableRules | No
 
 
 def monitor_batches(batches: DataFrame, batch_col: str, suite: Sequence[Expectation]) -> DataFrame:
-    """The row-level checks of a suite per batch in one aggregate: rate, failed checks, alert flag."""
-    suite = [e for e in suite if e.kind in (ROW_COUNT, NOT_NULL, IN_SET, BETWEEN, OF_TYPE, MEAN_BETWEEN)]
+    """The whole suite per batch: rate, failed checks, alert flag.
+
+    Checks of rows share one aggregate. A uniqueness check counts values within their batch first, so a value that many
+    rows share is one row per task.
+    """
+    have = set(batches.columns) - {batch_col}
     aggs, verdicts = [F.count("*").alias("rows")], []
     for i, e in enumerate(suite):
         label = f"{e.kind} on {e.column or 'dataset-level'}"
-        if e.kind == ROW_COUNT:
+        if e.kind == COLUMN_SET:
+            ok = F.lit(have == set(e.kwargs["column_set"]) - {batch_col})
+        elif e.kind == UNIQUE:
+            n = F.coalesce(F.col(f"n{i}"), F.lit(0))
+            ok = F.coalesce(F.try_divide(n - F.col(f"bad{i}"), n), F.lit(1.0)) >= e.mostly
+        elif e.kind == ROW_COUNT:
             ok = (F.col("rows") >= (e.kwargs.get("min_value") or 0)) & (F.col("rows") <= (e.kwargs.get("max_value") or 2**62))
         elif e.kind == MEAN_BETWEEN:
             aggs.append(F.avg(e.column).alias(f"mean{i}"))
@@ -345,10 +352,14 @@ def monitor_batches(batches: DataFrame, batch_col: str, suite: Sequence[Expectat
         verdicts.append(F.when(~ok, F.lit(label)))
     failed = F.sort_array(F.array_compact(F.array(*verdicts)))
     rate = 1.0 - F.size("failed_checks") / F.lit(float(len(suite)))
+    counted = batches.groupBy(batch_col).agg(*aggs)
+    for i, e in enumerate(suite):
+        if e.kind == UNIQUE:
+            values = batches.where(F.col(e.column).isNotNull()).groupBy(batch_col, e.column).agg(F.count("*").alias("k"))
+            found = values.groupBy(F.col(batch_col).alias("__batch")).agg(F.sum(F.when(F.col("k") > 1, F.col("k")).otherwise(0)).alias(f"bad{i}"), F.sum("k").alias(f"n{i}"))
+            counted = counted.join(found, F.col(batch_col).eqNullSafe(F.col("__batch")), "left").drop("__batch")
     return (
-        batches.groupBy(batch_col)
-        .agg(*aggs)
-        .select(batch_col, "rows", failed.alias("failed_checks"))
+        counted.select(batch_col, "rows", failed.alias("failed_checks"))
         .withColumn("success_rate", rate)
         .withColumn("alert", ~((F.size("failed_checks") == 0) | (F.col("success_rate") >= 0.90)))
     )
