@@ -168,14 +168,24 @@ def id_batches(path: str, end: int):
         enc, squeeze = encoder(path), zstandard.ZstdCompressor(1)
         last, counts = np.array([end], dtype="<u4").tobytes(), np.zeros(0, np.int64)
         for batch in batches:
-            sizes, packed = [], []
-            for text in batch.column(1):
-                ids = np.frombuffer(enc.ids(text.as_py()) + last, dtype="<u4")
-                found = np.bincount(ids, minlength=len(counts))
+            sizes, packed, fresh = [], [], []
+
+            def count() -> None:
+                nonlocal counts
+                found = np.bincount(np.concatenate(fresh), minlength=len(counts))
                 found[: len(counts)] += counts
                 counts = found
+                fresh.clear()
+
+            for text in batch.column(1):
+                ids = np.frombuffer(enc.ids(text.as_py()) + last, dtype="<u4")
+                fresh.append(ids)
+                if len(fresh) == 500:
+                    count()
                 sizes.append(len(ids))
                 packed.append((b"\x02" if ids.max() < 65536 else b"\x04") + squeeze.compress(ids.astype("<u2" if ids.max() < 65536 else "<u4").tobytes()))
+            if fresh:
+                count()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary()), pa.nulls(len(batch), pa.binary())], names=["doc_id", "text_hash", "n", "ids", "counts"])
         kind = pa.int64()
         yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, kind), pa.array([0], kind), pa.nulls(1, pa.binary()), pa.array([counts.astype("<i8").tobytes()], pa.binary())], names=["doc_id", "text_hash", "n", "ids", "counts"])
@@ -183,10 +193,8 @@ def id_batches(path: str, end: int):
     return run
 
 
-def unpacked(packed: bytes) -> np.ndarray:
-    import zstandard
-
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed[1:]), dtype="<u2" if packed[:1] == b"\x02" else "<u4").astype(np.uint32)
+def unpacked(packed: bytes, expand) -> np.ndarray:
+    return np.frombuffer(expand.decompress(packed[1:]), dtype="<u2" if packed[:1] == b"\x02" else "<u4").astype(np.uint32)
 
 
 def sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +212,9 @@ def sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def block_batches(freq: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, part = Table(np.frombuffer(freq, dtype="<i8")), TaskContext.get().partitionId()
+        import zstandard
+
+        table, part, expand = Table(np.frombuffer(freq, dtype="<i8")), TaskContext.get().partitionId(), zstandard.ZstdDecompressor()
         names: list[int | None] = []
         ids: list[np.ndarray] = []
         size = number = 0
@@ -216,7 +226,7 @@ def block_batches(freq: bytes):
         for batch in batches:
             for name, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
                 names.append(name)
-                ids.append(unpacked(packed.as_py()))
+                ids.append(unpacked(packed.as_py(), expand))
                 size += len(ids[-1])
                 if size >= BLOCK:
                     yield close()

@@ -15,7 +15,7 @@ PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{
 
 #: Cached units of a worker, beyond which the cache starts anew, and the longest unit worth a place: they bound memory and
 #: change no result.
-CACHED, LONGEST = 300_000, 10
+CACHED, LONGEST = 400_000, 12
 
 
 class Units(dict):
