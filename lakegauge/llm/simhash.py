@@ -172,10 +172,11 @@ def close_marks(marks: DataFrame, large: int = LARGE) -> DataFrame:
 
 
 def simhash_classes(docs: DataFrame, large: int = LARGE) -> DataFrame:
-    """(doc_id, text_hash, mark, component_id): the smallest doc_id reachable over fingerprints with at most 3 differing bits.
+    """(doc_id, text_hash, mark, component, component_id): the smallest doc_id reachable over fingerprints with at most 3 differing bits.
 
     Equal fingerprints are one row before anything is compared, so copies cost nothing. Texts without words share the
-    fingerprint 0. A null doc_id takes part and comes last as a component's name: a component of null ids only has none.
+    fingerprint 0. A null doc_id takes part and comes last as a component's name: a component of null ids only has no
+    ``component_id``; ``component``, its smallest fingerprint, still tells it from others.
     """
     rows = materialize(fingerprints(docs), "simhash-rows")
     key = F.when(F.col("doc_id").isNull(), F.lit(2**63 - 1)).otherwise(F.col("doc_id").cast("long"))
@@ -183,9 +184,9 @@ def simhash_classes(docs: DataFrame, large: int = LARGE) -> DataFrame:
     linked = components(close_marks(marks.select("mark", F.col("mark").alias("rep")), large), "simhash-components")
     named = marks.join(linked.withColumnRenamed("node", "mark"), "mark", "left").select("mark", "rep", F.coalesce("component", "mark").alias("component"))
     names = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    final = named.select("mark", "component").join(names, "component").select("mark", "component_id")
+    final = named.select("mark", "component").join(names, "component").select("mark", "component", "component_id")
     last = F.col("component_id") == 2**63 - 1
-    return rows.join(final, "mark").select("doc_id", "text_hash", "mark", F.when(~last, F.col("component_id")).alias("component_id"))
+    return rows.join(final, "mark").select("doc_id", "text_hash", "mark", "component", F.when(~last, F.col("component_id")).alias("component_id"))
 
 
 def simhash_report(docs: DataFrame) -> DataFrame:
@@ -195,7 +196,7 @@ def simhash_report(docs: DataFrame) -> DataFrame:
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one with the smallest doc_id (ties: smallest text hash); repeated rows once."""
     rows = simhash_classes(docs)
-    first = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), id_key(F.col("doc_id")).alias("id"), "text_hash")).alias("first")).select("first.id", "first.text_hash")
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), id_key(F.col("doc_id")).alias("id"), "text_hash")).alias("first")).select("first.id", "first.text_hash")
     keep = first.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
     own = docs.withColumns({"__id": id_key(F.col("doc_id")), "__hash": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
     rank = F.row_number().over(Window.partitionBy("__id", "__hash").orderBy(F.lit(1)))

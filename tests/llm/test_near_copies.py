@@ -53,6 +53,12 @@ def test_one_document_of_each_group_stays(spark):
     assert simhash.drop_near_copies(nothing(spark)).count() == 0
 
 
+def test_near_copies_without_ids_stay_apart(spark):
+    rows = [(None, "alpha beta gamma delta epsilon", 1), (None, "one two three four five six", 2), (None, "alpha beta gamma delta epsilon", 3), (7, None, 4), (None, "", 5)]
+    out = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string, component int")).collect()
+    assert order((r["doc_id"], r["text"]) for r in out) == order([rows[0][:2], rows[1][:2], rows[3][:2]])
+
+
 def plain_cut(rows, length=200):
     raw = [(i, (t or "").encode()) for i, t in rows]
     seen = Counter(b[p : p + length] for _, b in raw for p in range(len(b) - length + 1))
