@@ -123,7 +123,13 @@ def _interpolate(n: int, probs: Sequence[float], at_rank: Mapping[int, float]) -
     for p in probs:
         at = p * (n - 1)
         low, high = at_rank[math.floor(at)], at_rank[math.ceil(at)]
-        out.append(low + (high - low) * (at - math.floor(at)))
+        part = at - math.floor(at)
+        if low == high:
+            out.append(low)
+        elif math.isinf(low) or math.isinf(high):
+            out.append((1 - part) * low + part * high)
+        else:
+            out.append(low + (high - low) * part)
     return out
 
 
@@ -160,7 +166,28 @@ def exact_quantiles(
 def order_statistics(
     df: DataFrame, ranks: Mapping[str, set[int]], n: Mapping[str, int], small_rows: int = SMALL_ROWS
 ) -> dict[str, dict[int, float]]:
-    """The exact values at 0-based sorted positions, by narrowing the buckets that hold them."""
+    """The exact values at 0-based sorted positions. Infinite values are counted as the ranks at both ends, the others narrowed."""
+    cols = list(ranks)
+    ends = df.agg(*[F.count(F.when(F.col(c) == sign * INF, 1)).alias(f"{sign}|{c}") for c in cols for sign in (-1, 1)]).first()
+    found: dict[str, dict[int, float]] = {}
+    inner: dict[str, set[int]] = {}
+    size: dict[str, int] = {}
+    for c in cols:
+        below, upto = ends[f"-1|{c}"], n[c] - ends[f"1|{c}"]
+        found[c] = {k: -INF if k < below else INF for k in ranks[c] if not below <= k < upto}
+        if rest := {k - below for k in ranks[c] if below <= k < upto}:
+            inner[c], size[c] = rest, upto - below
+    if inner:
+        finite = df.select(*[F.when(F.abs(F.col(c)) < INF, F.col(c)).alias(c) for c in inner])
+        for c, values in _finite_order_statistics(finite, inner, size, small_rows).items():
+            found[c].update({k + ends[f"-1|{c}"]: v for k, v in values.items()})
+    return found
+
+
+def _finite_order_statistics(
+    df: DataFrame, ranks: Mapping[str, set[int]], n: Mapping[str, int], small_rows: int
+) -> dict[str, dict[int, float]]:
+    """The values at sorted positions of columns without infinite values, by narrowing the buckets that hold them."""
     cols = list(ranks)
     cuts = approx_cuts(df, cols, {c: CUTS_PER_ROUND for c in cols}, n)
     found: dict[str, dict[int, float]] = {c: {} for c in cols}
@@ -205,6 +232,8 @@ def order_statistics(
         fresh: dict[str, set[float]] = {c: set(cuts[c]) for c in cols}
         for r in inner.collect():
             fresh[r.feature] |= set(tidy_cuts(r.cuts))
+        if all(len(fresh[c]) == len(set(cuts[c])) for c in cols):
+            raise RuntimeError(f"no further cut between the values of {cols}")
         cuts = {c: sorted(fresh[c]) for c in cols}
     spark = df.sparkSession
     wanted = []

@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from . import evaluate
 
@@ -101,81 +102,41 @@ def improvement(classification: bool = True) -> Column:
 # ---- paired bootstrap -------------------------------------------------------------------------------------
 
 
-def _f1_from(label_sums: np.ndarray, pos: int | None) -> np.ndarray:
-    """F1 per replicate from (replicate, class, [support, predicted, hit]); ``pos`` picks a class, None weights by support."""
-    support, predicted, hit = label_sums[..., 0], label_sums[..., 1], label_sums[..., 2]
-    denom = support + predicted
-    f1 = np.divide(2 * hit, denom, out=np.zeros(denom.shape), where=denom > 0)
-    if pos is not None:
-        binary = (support > 0).sum(axis=1) == 2
-        weighted = _weighted(f1, support)
-        return np.where(binary, f1[:, pos], weighted)
-    return _weighted(f1, support)
-
-
-def _weighted(f1: np.ndarray, support: np.ndarray) -> np.ndarray:
-    total = support.sum(axis=1)
-    return np.divide((f1 * support).sum(axis=1), total, out=np.zeros(total.shape), where=total > 0)
-
-
-MAX_CELLS = 20_000
+#: Classes whose sums a task holds before it passes them on.
+HELD_CLASSES = 2_000
 
 
 def bootstrap_f1(scored: DataFrame, y: str, pred_a: str, pred_b: str, metric: str = "f1", pos_label=1, replicates: int = 500, seed: int = 42) -> DataFrame:
-    """``(replicate, diff)`` of the paired bootstrap for F1 or accuracy.
+    """``(replicate, diff)`` of the paired Poisson bootstrap for F1 or accuracy, champion ``a`` against challenger ``b``.
 
-    The metrics depend only on how often each (label, prediction, prediction) occurs, so a resample of the rows
-    is a multinomial draw over those cells: the rows are read once, whatever the number of replicates. Cells
-    are few for few classes; beyond ``MAX_CELLS`` the draw is made cell by cell on the executors.
+    The metrics depend only on how often each (label, prediction, prediction) occurs, so the rows are read once and every
+    replicate draws a Poisson number for each such cell, seeded by the cell: whatever the number of classes and tasks.
+    F1 is that of ``pos_label`` in a replicate with two classes, else the mean weighted by support.
     """
-    cells = scored.groupBy(F.col(y).alias("y"), F.col(pred_a).alias("a"), F.col(pred_b).alias("b")).agg(F.count("*").alias("n"))
-    head = cells.limit(MAX_CELLS + 1).collect()
-    spark = scored.sparkSession
-    if len(head) > MAX_CELLS:
-        return _bootstrap_cells(cells, metric, replicates, seed)
-    head = sorted(head, key=lambda r: (str(r["y"]), str(r["a"]), str(r["b"])))
-    labels = sorted({r["y"] for r in head} | {r["a"] for r in head} | {r["b"] for r in head}, key=str)
-    at = {v: i for i, v in enumerate(labels)}
-    counts = np.array([r["n"] for r in head], dtype=np.int64)
-    index = np.array([(at[r["y"]], at[r["a"]], at[r["b"]]) for r in head])
-    pos = at.get(pos_label)
+    names = [y, pred_a, pred_b]
+    texts = any(isinstance(scored.schema[c].dataType, StringType) for c in names)
+    three = F.array(*[F.col(c).cast("string") if texts else F.col(c) for c in names])
+    kind = scored.select(three.alias("v")).schema["v"].dataType.elementType
+    v = three.cast("array<string>")
+    cells = scored.groupBy(v[0].alias("y"), v[1].alias("a"), v[2].alias("b")).agg(F.count("*").alias("n"))
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ids = pdf["replicate"].to_numpy()
-            n = np.stack([np.random.default_rng([seed, int(i)]).multinomial(counts.sum(), counts / counts.sum()) for i in ids])
-            diff = _score(n, index, 2, len(labels), metric, pos) - _score(n, index, 1, len(labels), metric, pos)
-            yield pd.DataFrame({"replicate": ids, "diff": diff})
-
-    ids = spark.range(replicates).withColumnRenamed("id", "replicate")
-    return ids.mapInPandas(draw, "replicate long, diff double")
-
-
-def _score(n: np.ndarray, index: np.ndarray, which: int, k: int, metric: str, pos: int | None) -> np.ndarray:
-    same = index[:, 0] == index[:, which]
-    if metric == "accuracy":
-        return n[:, same].sum(axis=1) / n.sum(axis=1)
-    sums = np.zeros((len(n), k, 3))
-    for c in range(k):
-        sums[:, c, 0] = n[:, index[:, 0] == c].sum(axis=1)
-        sums[:, c, 1] = n[:, index[:, which] == c].sum(axis=1)
-        sums[:, c, 2] = n[:, same & (index[:, 0] == c)].sum(axis=1)
-    return _f1_from(sums, pos)
-
+        # label -> (replicate, [support, predicted a, hit a, predicted b, hit b])
+        sums: dict[str | None, np.ndarray] = {}
 
-def _bootstrap_cells(cells: DataFrame, metric: str, replicates: int, seed: int) -> DataFrame:
-    """Poisson draws per cell, which is the row-wise Poisson bootstrap, summed per class and replicate."""
+        def flush() -> Iterator[pd.DataFrame]:
+            for label, s in sums.items():
+                yield pd.DataFrame({"replicate": np.arange(replicates), "label": pd.Series([label] * replicates, dtype=object), **dict(zip(("s", "pa", "ha", "pb", "hb"), s.T))})
+            sums.clear()
 
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # label -> (replicate, [support, predicted a, hit a, predicted b, hit b])
-        sums: dict[str, np.ndarray] = {}
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 n = np.random.default_rng([seed, row.h & 0x7FFFFFFFFFFFFFFF]).poisson(row.n, replicates)
                 for label, flags in ((row.y, (1, 0, row.y == row.a, 0, row.y == row.b)), (row.a, (0, 1, 0, 0, 0)), (row.b, (0, 0, 0, 1, 0))):
-                    sums.setdefault(str(label), np.zeros((replicates, 5), dtype=np.int64))[:] += n[:, None] * np.array(flags, dtype=np.int64)
-        for label, v in sums.items():
-            yield pd.DataFrame({"replicate": np.arange(replicates), "label": label, "s": v[:, 0], "pa": v[:, 1], "ha": v[:, 2], "pb": v[:, 3], "hb": v[:, 4]})
+                    sums.setdefault(label, np.zeros((replicates, 5), dtype=np.int64))[:] += n[:, None] * np.array(flags, dtype=np.int64)
+                if len(sums) >= HELD_CLASSES:
+                    yield from flush()
+        yield from flush()
 
     keyed = cells.withColumn("h", F.xxhash64("y", "a", "b"))
     sums = (
@@ -185,8 +146,15 @@ def _bootstrap_cells(cells: DataFrame, metric: str, replicates: int, seed: int)
     )
     if metric == "accuracy":
         return sums.groupBy("replicate").agg(F.try_divide(F.sum("hb") - F.sum("ha"), F.sum("s")).alias("diff"))
-    f1 = lambda p, h: F.coalesce(F.try_divide(2.0 * F.col(h), F.col("s") + F.col(p)), F.lit(0.0))
-    return sums.groupBy("replicate").agg(F.try_divide(F.sum((f1("pb", "hb") - f1("pa", "ha")) * F.col("s")), F.sum("s")).alias("diff"))
+    gain = _f1("pb", "hb") - _f1("pa", "ha")
+    positive = F.max(F.when(F.col("label") == F.lit(pos_label).try_cast(kind).cast("string"), gain))
+    weighted = F.try_divide(F.sum(gain * F.col("s")), F.sum("s"))
+    two = F.count(F.when(F.col("s") > 0, 1)) == 2
+    return sums.groupBy("replicate").agg(F.when(two, F.coalesce(positive, weighted)).otherwise(weighted).alias("diff"))
+
+
+def _f1(predicted: str, hit: str) -> Column:
+    return F.coalesce(F.try_divide(2.0 * F.col(hit), F.col("s") + F.col(predicted)), F.lit(0.0))
 
 
 # Cumulative Poisson(1) probabilities up to 12 events.

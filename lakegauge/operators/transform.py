@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping, Sequence
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import NumericType
@@ -19,6 +19,8 @@ from .profile import ColumnConfig, check_config, route_columns
 # A lookup up to this many categories is collected and becomes a local relation that is broadcast;
 # a larger one is written below the shared folder and joined without a hint.
 LOOKUP_LIMIT = 50_000
+# Categories of one range when they are put in order by many tasks.
+RANGE_KEYS = 1_000_000
 
 
 # ---- outliers ---------------------------------------------------------------------------------------------
@@ -204,18 +206,28 @@ def fit_frequency(df: DataFrame, col: str, unknown: str = "zero", limit: int = L
     return make_lookup(shares, default, limit)
 
 
-def fit_ordinal(df: DataFrame, col: str, categories: Sequence | None = None) -> Lookup:
-    """Position of each category in the given or sorted order.
+def positions(keys: DataFrame, range_keys: int = RANGE_KEYS) -> DataFrame:
+    """``(lk, lv)``: the position of each distinct ``lk`` in sorted order.
 
-    The order is global, so the categories must fit on the driver; a column beyond the limit is refused
-    and belongs to the frequency encoder.
+    Ranges of keys are sorted side by side and written; the number of keys in the ranges before, one row per range,
+    is added to the place inside a range.
     """
-    if categories is None:
-        found = category_counts(df, col).select("lk").limit(LOOKUP_LIMIT + 1).collect()
-        if len(found) > LOOKUP_LIMIT:
-            raise ValueError(f"{col}: too many categories for ordinal encoding")
-        categories = sorted(r["lk"] for r in found)
-    return Lookup(-1.0, rows=[[str(c), float(i)] for i, c in enumerate(categories)])
+    parts = keys.count() // range_keys + 1
+    placed = keys.repartitionByRange(parts, "lk").sortWithinPartitions("lk").withColumn("at", F.monotonically_increasing_id())
+    placed = materialize(placed, "positions").select("lk", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND((1 << 33) - 1).alias("inside"))
+    before, offsets = 0, []
+    for r in sorted(placed.groupBy("part").count().collect()):
+        offsets.append((r["part"], before))
+        before += r["count"]
+    ranges = F.broadcast(local_frame(keys.sparkSession, offsets, "part long, before long"))
+    return placed.join(ranges, "part").select("lk", (F.col("before") + F.col("inside")).cast("double").alias("lv"))
+
+
+def fit_ordinal(df: DataFrame, col: str, categories: Sequence | None = None, limit: int = LOOKUP_LIMIT, range_keys: int = RANGE_KEYS) -> Lookup:
+    """Position of each category in the given or sorted order, whatever their number."""
+    if categories is not None:
+        return Lookup(-1.0, rows=[[str(c), float(i)] for i, c in enumerate(categories)])
+    return make_lookup(positions(category_counts(df, col).select("lk"), range_keys), -1.0, limit)
 
 
 def fit_onehot(df: DataFrame, col: str, limit: int) -> list[str]:
@@ -382,21 +394,32 @@ class Preparation:
         return local_frame(spark, rows, "column string, key string, value string")
 
     def save(self, spark: SparkSession, path: str) -> None:
-        self.params(spark).write.mode("errorifexists").parquet(path)
+        """Write the numbers, the large lookups and the donor rows below ``path``; nothing saved points elsewhere."""
+        lookups = dict(self.lookups)
+        for i, (c, lookup) in enumerate(sorted(lookups.items())):
+            if lookup.path is not None:
+                spark.read.parquet(lookup.path).write.parquet(f"{path}/lookup-{i}")
+                lookups[c] = replace(lookup, path=f"lookup-{i}")
+        if self.donors is not None:
+            spark.read.parquet(self.donors).write.parquet(f"{path}/donors")
+        own = replace(self, lookups=lookups, donors=None if self.donors is None else "donors")
+        own.params(spark).write.parquet(f"{path}/params")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "Preparation":
         by: dict[str, dict] = {}
-        for r in spark.read.parquet(path).collect():
+        for r in spark.read.parquet(f"{path}/params").collect():
             by.setdefault(r["key"], {})[r["column"]] = json.loads(r["value"])
         configs = {}
         for c, v in by.get("config", {}).items():
             v = {k: tuple(x) if isinstance(x, list) else x for k, x in v.items()}
             configs[c] = ColumnConfig(**v)
         one = lambda key: by[key][""]
+        below = lambda name: None if name is None else f"{path}/{name}"
         return cls(
             one("columns"), configs, one("routes"), by.get("outlier", {}), by.get("fill", {}), by.get("scaler", {}),
-            {c: Lookup(**v) for c, v in by.get("lookup", {}).items()}, by.get("onehot", {}), one("dropped"), one("constants"), one("target"), one("donors"),
+            {c: Lookup(**v | {"path": below(v["path"])}) for c, v in by.get("lookup", {}).items()},
+            by.get("onehot", {}), one("dropped"), one("constants"), one("target"), below(one("donors")),
         )
 
 

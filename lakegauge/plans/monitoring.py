@@ -20,7 +20,7 @@ def run_monitors(spark, parts: dict[str, Callable[[], tuple[str, str, str]]]) ->
         try:
             rows.append((name, *part()))
         except Exception as exc:  # the point of this table is to show any failure
-            rows.append((name, "error", "warning", f"{type(exc).__name__}: {str(exc)[:200]}"))
+            rows.append((name, "error", "warning", f"{type(exc).__name__}: {exc}"))
     out = local_frame(spark, rows, "monitor string, status string, severity string, detail string")
     return out.withColumn("retrain_recommended", (F.col("status") == "alert") & F.col("monitor").isin("drift", "performance"))
 

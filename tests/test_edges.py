@@ -2,9 +2,13 @@
 
 from datetime import datetime, timedelta
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from lakegauge.operators import evaluate, monitor, registry, train, validate
+from lakegauge.functions.quantiles import exact_quantiles
+from lakegauge.operators import evaluate, monitor, registry, train, transform, validate
+from lakegauge.operators.profile import ColumnConfig
 
 
 def test_newest_is_the_same_on_both_paths(spark):
@@ -57,3 +61,38 @@ def test_batches_are_held_against_the_whole_suite(spark):
     fewer = validate.monitor_batches(df.drop("c"), "batch", suite).where("batch = 2").first()
     assert len(fewer["failed_checks"]) == 1
     assert df.where(F.col("batch").isNull()).count() == 2
+
+
+@pytest.mark.parametrize("low, high", [(0, 0), (10, 2900), (2900, 10), (1500, 1500)])
+def test_quantiles_of_many_infinite_values(spark, low, high):
+    rng = np.random.default_rng(low)
+    values = [-np.inf] * low + [np.inf] * high + rng.normal(size=3000 - low - high).tolist() + [float("nan"), None]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    probs = {"x": [0.0, 0.01, 0.25, 0.49, 0.75, 0.99, 1.0]}
+    small, large = exact_quantiles(df, probs)["x"], exact_quantiles(df, probs, small_rows=100)["x"]
+    assert large == pytest.approx(small, nan_ok=True)
+
+
+def test_ordinal_positions_of_any_number_of_categories(spark):
+    df = spark.createDataFrame([(f"k{i * 7 % 300}",) for i in range(900)] + [(None,), ("ü",), ("",)], "c string")
+    small = transform.fit_ordinal(df, "c")
+    large = transform.fit_ordinal(df, "c", limit=10, range_keys=20)
+    want = sorted({r["c"] for r in df.collect() if r["c"] is not None})
+    assert [r[0] for r in sorted(small.rows, key=lambda r: r[1])] == want and large.rows is None
+    assert sorted((r["lk"], r["lv"]) for r in large.frame(spark).collect()) == sorted((c, float(i)) for i, c in enumerate(want))
+
+
+def test_saved_preparation_stands_on_its_own(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(f"k{i % 40}", float(v) if i % 9 else None, float(v) * 2 + 1) for i, v in enumerate(rng.normal(size=200))], "c string, a double, b double")
+    configs = {"c": ColumnConfig("c", expected_dtype="object", imputation="mode", outlier="none", scaling="none", encoding="frequency"), "a": ColumnConfig("a", imputation="knn"), "b": ColumnConfig("b", imputation="knn")}
+    prep = transform.fit_preparation(df, configs)
+    for c in list(prep.lookups):
+        prep.lookups[c] = transform.fit_frequency(df, c, limit=5)
+    prep.save(spark, str(tmp_path / "one"))
+    (tmp_path / "one").rename(tmp_path / "two")
+    again = transform.Preparation.load(spark, str(tmp_path / "two"))
+    named = [v.path for v in again.lookups.values() if v.path] + [again.donors or str(tmp_path / "two")]
+    assert len(named) > 1 and all(p.startswith(str(tmp_path / "two")) for p in named)
+    out, same = prep.transform(df), again.transform(df)
+    assert out.exceptAll(same).isEmpty() and same.exceptAll(out).isEmpty()

@@ -85,15 +85,33 @@ def test_bootstrap_matches_row_resampling(spark):
     assert sorted(got) == sorted(again)
 
 
-def test_bootstrap_on_executors_for_many_cells(spark, monkeypatch):
+def f1_gain(y, a, b, pos):
+    """Plain F1 of ``b`` less that of ``a``: of ``pos`` with two classes, else weighted by support."""
+    classes = np.unique(y)
+
+    def f1(pred, c):
+        return 2 * ((y == c) & (pred == c)).sum() / max(1, (y == c).sum() + (pred == c).sum())
+
+    if len(classes) == 2:
+        return f1(b, pos) - f1(a, pos)
+    return sum((f1(b, c) - f1(a, c)) * (y == c).mean() for c in classes)
+
+
+@pytest.mark.parametrize("classes", [2, 6])
+def test_bootstrap_f1_is_one_method_for_few_and_many_classes(spark, monkeypatch, classes):
     rng = np.random.default_rng(7)
-    y = rng.integers(0, 6, 900)
+    y = rng.integers(0, classes, 900)
     a, b = np.where(rng.random(900) < 0.5, y, 0), np.where(rng.random(900) < 0.6, y, 0)
-    df = spark.createDataFrame(pd.DataFrame({"y": y, "a": a, "b": b}))
-    plain = compare.bootstrap_f1(df, "y", "a", "b", replicates=300).toPandas()["diff"]
-    monkeypatch.setattr(compare, "MAX_CELLS", 3)
-    spread = compare.bootstrap_f1(df, "y", "a", "b", replicates=300).toPandas()["diff"]
-    assert len(spread) == 300 and spread.mean() == pytest.approx(plain.mean(), abs=0.01)
+    df = spark.createDataFrame(pd.DataFrame({"y": y, "a": a, "b": b.astype(float)}))
+    got = compare.bootstrap_f1(df, "y", "a", "b", replicates=300).toPandas().sort_values("replicate")["diff"].tolist()
+    draws = []
+    for _ in range(300):
+        i = rng.integers(0, 900, 900)
+        draws.append(f1_gain(y[i], a[i], b[i], 1))
+    assert np.mean(got) == pytest.approx(np.mean(draws), abs=0.01) and np.std(got) == pytest.approx(np.std(draws), rel=0.2)
+    monkeypatch.setattr(compare, "HELD_CLASSES", 1)
+    held = compare.bootstrap_f1(df.repartition(3), "y", "a", "b", replicates=300).toPandas().sort_values("replicate")["diff"].tolist()
+    assert held == pytest.approx(got)
 
 
 def test_bootstrap_rmse(spark):
