@@ -141,6 +141,48 @@ def test_passages_and_copies_are_found(spark):
     assert compact_windows.near_passages(nothing(spark)).count() == 0
 
 
+def edited(rng, words, places):
+    """``words`` with a word replaced, inserted or deleted at each of the places."""
+    out = list(words)
+    for p in sorted(places, reverse=True):
+        kind = rng.choice(["replace", "replace", "insert", "delete"])
+        out[p : p + (kind != "insert")] = [] if kind == "delete" else [f"edit{p}"]
+    return out
+
+
+def row(words):
+    return np.array([xxhash.xxh64_intdigest(" ".join(words[i : i + 5])) >> 1 for i in range(len(words) - 4)], dtype=np.int64)
+
+
+def jaccard(x, y):
+    x, y = set(x.tolist()), set(y.tolist())
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("around", [0, 7, 40])
+def test_edited_passages_are_verified(around):
+    import random
+
+    rng = random.Random(8)
+    said = 0
+    cases = [(50, [p], True) for p in range(50)]
+    cases += [(n, rng.sample(range(n), k), False) for n in range(50, 151, 5) for k in (1, 2) for _ in range(8)]
+    for n, places, replace in cases:
+        passage = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+        other = [f"edit{k}" if k in places else w for k, w in enumerate(passage)] if replace else edited(rng, passage, places)
+        if len(other) < 50 or jaccard(row(passage), row(other)) < 0.8:
+            continue
+        said += 1
+        frame = lambda tag, w: [f"{tag}{i}" for i in range(around)] + w + [f"{tag}{i}" for i in range(around, 2 * around)]
+        x, y = row(frame("a", passage)), row(frame("b", other))
+        found = compact_windows.verified(x, y)
+        assert found, (n, places)
+        for a, b, c, d, similarity in found:
+            assert min(b - a, d - c) >= 46 and similarity >= 0.8 and math.isclose(similarity, jaccard(x[a:b], y[c:d]))
+    assert said > 250
+    assert compact_windows.verified(row([f"a{i}" for i in range(80)]), row([f"b{i}" for i in range(80)])) == []
+
+
 def vectors(spark):
     rng = np.random.default_rng(0)
     rows = []
