@@ -183,6 +183,28 @@ def test_edited_passages_are_verified(around):
     assert compact_windows.verified(row([f"a{i}" for i in range(80)]), row([f"b{i}" for i in range(80)])) == []
 
 
+def test_passages_around_a_common_line_are_found(spark):
+    import random
+
+    rng = random.Random(6)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    line = fresh(40)
+    rows, want = [], set()
+    for k in range(24):
+        passage = [fresh(10) + " " + line + " " + fresh(10)] * 2
+        if k % 2:  # a word changed in the common line
+            words = passage[1].split()
+            words[30] = "changed"
+            passage[1] = " ".join(words)
+        rows += [(2 * k + i, fresh(30) + " " + p + " " + fresh(30)) for i, p in enumerate(passage)]
+        want |= set() if k % 2 else {frozenset((2 * k, 2 * k + 1))}
+    rows += [(100 + k, fresh(50) + " " + line + " " + fresh(50)) for k in range(20)]
+    got = compact_windows.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    links = {frozenset((r["doc_id"], r["partner_id"])) for r in got}
+    assert want <= links
+    assert all(len({i // 2 for i in x}) == 1 and max(x) < 100 for x in links)
+
+
 def vectors(spark):
     rng = np.random.default_rng(0)
     rows = []
