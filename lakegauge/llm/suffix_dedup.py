@@ -119,12 +119,14 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
         base, top = int(offsets[a]), int(offsets[b])
         if b - a > 1 or top - base <= 8 * CHUNK:
             pieces = [(base, top, 0, None)]
-        else:  # one long text: window starts in steps, with the context around them
-            pieces = [(max(base, x - PLACES), min(top, x + CHUNK + 2 * LENGTH), x, x + CHUNK) for x in range(base, top, CHUNK)]
+        else:  # one long text: window starts in steps, with the context around them and the last window of the step before
+            pieces = [(max(base, x - PLACES), min(top, x + CHUNK + 2 * LENGTH), max(base, x - 1), x + CHUNK) for x in range(base, top, CHUNK)]
         for lo, hi, first, last in pieces:
             starts = np.maximum(offsets[a:b], lo) - lo
             ends = np.minimum(offsets[a + 1 : b + 1], hi) - lo
             text, at, gram, sums = chunk_anchors(data[lo:hi], starts, ends, roll, first - lo if last else 0, last - lo if last else None)
+            if first > base and last:  # the step before has this anchor already
+                text, at, gram = text[1:], at[1:], gram[1:]
             before = np.minimum(at - starts[text], PLACES - 1)
             behind = np.minimum(ends[text] - at, LENGTH)
             context = roll.hashes(sums, at - before, at + behind)

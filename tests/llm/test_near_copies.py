@@ -90,6 +90,20 @@ def test_suffix_dedup_of_shifted_passages(spark):
     assert order(suffix_dedup.suffix_report(df, large=5).collect()) == want
 
 
+def test_anchors_of_long_texts_come_once(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    text = rng.integers(97, 123, 60_000).astype(np.uint8)
+    text[40_000:41_000] = text[7_900:8_900]  # over a cut
+    offsets = np.array([0, len(text)])
+    listed = lambda: [x for part in suffix_dedup.anchors(text, offsets) for x in zip(*(c.tolist() for c in part))]
+    whole = listed()
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 1000)
+    assert listed() == whole and len(set(whole)) == len(whole)
+    unique = rng.integers(97, 123, 4_800_000).astype(np.uint8).tobytes().decode()
+    (row,) = suffix_dedup.suffix_report(spark.createDataFrame([(1, unique)], "doc_id long, text string")).collect()
+    assert tuple(row) == (1, len(unique), 0, 0, hashlib.sha256(unique.encode()).hexdigest())
+
+
 def test_shortened_documents(spark):
     docs = documents(spark)
     out = suffix_dedup.drop_repeats(docs)
