@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .compact_windows import near_passages
 from .fertility import fertility_report
+from .imatch import ORACLE_SQL as IMATCH_SQL, fingerprints
 from .kneser_ney import classifier_report
 from .lattice import embedding_links
 from .packing import pack_documents
@@ -41,3 +42,5 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op8_kneser_ney_classifier"] = op8
+over("op13_imatch_fingerprints", "documents", fingerprints)
+ORACLES["op13_imatch_fingerprints"] = IMATCH_SQL
