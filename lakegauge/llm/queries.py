@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .collocations import ORACLE_SQL as COLLOCATION_SQL, collocations
 from .compact_windows import near_passages
 from .fertility import fertility_report
 from .imatch import ORACLE_SQL as IMATCH_SQL, fingerprints
@@ -13,6 +14,7 @@ from .kneser_ney import classifier_report
 from .lattice import embedding_links
 from .packing import pack_documents
 from .piece_codec import piece_report
+from .product_codes import oracle as product_sql, product_codes
 from .rans_files import token_file_report
 from .secret_scan import secret_report
 from .simhash import simhash_report
@@ -44,3 +46,7 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES["op8_kneser_ney_classifier"] = op8
 over("op13_imatch_fingerprints", "documents", fingerprints)
 ORACLES["op13_imatch_fingerprints"] = IMATCH_SQL
+over("op12_equal_average_codes", "embeddings", product_codes)
+ORACLES["op12_equal_average_codes"] = product_sql()
+over("op11_phrase_collocations", "documents", collocations)
+ORACLES["op11_phrase_collocations"] = COLLOCATION_SQL
