@@ -1,23 +1,29 @@
 """Replay of sequential rules over request logs: token buckets and circuit breakers.
 
 The state after a request depends on all earlier requests of its key. A key with few rows is replayed as one
-group. The rows of a busy key are cut into time slices, and each slice is summarised on its own as a function
-from the state before it to the state after it. The functions of a key are small; chaining them gives the
-state at the start of every slice, and then all slices are replayed side by side.
+group. The rows of busy keys are sorted over the cluster and cut into slices of a bounded number of rows, wherever
+that falls: in a burst, or among requests of one instant. Each slice is summarised on its own as a function from the
+state before it to the state after it. Such functions compose, so a prefix scan over a tree of slices gives the state
+at the start of every slice: composed functions go up the tree and start states come down, a bounded number of
+children in a group. Then all slices are replayed side by side.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.frames import local_frame
+from ..session import materialize
 
+#: Rows of a key that are replayed as one group, and rows of a slice of a busier key.
 KEY_ROWS = 500_000
+#: Slices, or nodes of the tree over them, that meet in one group.
+FAN = 64
 
 # Scope -> (capacity, tokens per second).
 RATE_LIMITS = {"predict": (50.0, 16.67), "admin": (10.0, 1.0), "read": (20.0, 5.0), "development": (100.0, 100.0), "anonymous": (5.0, 0.17)}
@@ -86,6 +92,33 @@ def apply_transfer(pieces: list[list[int]], x: int) -> int:
     return value if kind else x + value
 
 
+def compose_transfers(first: list[list[int]], refill: int, second: list[list[int]], capacity: int) -> list[list[int]]:
+    """``second`` after ``first`` with ``refill`` units in between, as pieces again."""
+    lows = [p[0] for p in second]
+    out: list[list[int]] = []
+
+    def add(low: int, kind: int, value: int) -> None:
+        if not out or out[-1][1:] != [kind, value]:
+            out.append([low, kind, value])
+
+    for i, (low, kind, value) in enumerate(first):
+        high = first[i + 1][0] if i + 1 < len(first) else capacity + 1
+        value += refill
+        if kind or low + value >= capacity:
+            add(low, 1, apply_transfer(second, min(capacity, value if kind else capacity)))
+            continue
+        # x from low on meets the second function at x + value, until the capacity is reached
+        full = min(high, capacity - value)
+        j = int(np.searchsorted(lows, low + value, side="right")) - 1
+        while j < len(second) and lows[j] - value < full:
+            _, kind2, value2 = second[j]
+            add(max(low, lows[j] - value), kind2, value2 if kind2 else value + value2)
+            j += 1
+        if full < high:
+            add(full, 1, apply_transfer(second, capacity))
+    return out
+
+
 # ---- circuit breaker --------------------------------------------------------------------------------------
 
 # Failures that open, microseconds until a probe, successes that close.
@@ -157,118 +190,215 @@ def breaker_apply(transfer: dict, state: int, failed_at: int) -> tuple[int, int]
     return OPEN, failed_at
 
 
-# ---- running them on Spark --------------------------------------------------------------------------------
-
+def compose_breakers(first: dict, end: int, second: dict) -> dict:
+    """``second`` after ``first``; ``end`` is the first slice's opening time plus the recovery time.
 
-def _slices(log: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
-    """The rows of busy keys with a slice number; slices are equally long in time per key."""
-    return log.join(hot, list(keys)).withColumn("slice", F.floor((F.col("us") - F.col("first_us")) / F.col("slice_us")).cast("long"))
+    A breaker that stays open through the first slice meets the second one with its old time of failure.
+    """
+    plain = [list(breaker_apply(second, *found)) for found in first["plain"]]
+    steps = [[upto, list(breaker_apply(second, *found))] for upto, found in first["open"]]
+    if not steps or steps[-1][0] < end:
+        steps += [[upto, list(found)] for upto, found in second["open"]]
+    merged: list[list] = []
+    for upto, found in steps:
+        if merged and merged[-1][1] == found:
+            merged[-1][0] = upto
+        elif not merged or merged[-1][0] < end:
+            merged.append([upto, found])
+    return {"plain": plain, "open": merged}
 
 
-def _hot_keys(log: DataFrame, keys: Sequence[str], key_rows: int, limit: int = 50_000) -> DataFrame | None:
-    """Keys with more than ``key_rows`` rows and the width of their slices, ``None`` without any.
+# ---- running them on Spark --------------------------------------------------------------------------------
 
-    Up to ``limit`` keys become a local table that is broadcast; more are joined without a hint.
-    """
-    hot = log.groupBy(*keys).agg(F.count("*").alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us")).where(F.col("n") > key_rows)
-    width = F.greatest(F.floor((F.col("last_us") - F.col("first_us")) / F.ceil(4 * F.col("n") / F.lit(key_rows))), F.lit(1))
-    hot = hot.select(*keys, "first_us", width.alias("slice_us"))
-    head = hot.limit(limit + 1).collect()
-    if not head:
-        return None
-    if len(head) > limit:
-        return hot
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hot.schema.fields)
-    return F.broadcast(local_frame(log.sparkSession, [tuple(r) for r in head], kinds))
-
-
-def _replayed(
-    log: DataFrame, keys: Sequence[str], schema: str, whole: Callable, transfer: Callable, chain: Callable, resume: Callable, key_rows: int
-) -> DataFrame:
-    keys = list(keys)
-    hot = _hot_keys(log, keys, key_rows)
-    if hot is None:
-        return log.groupBy(*keys).applyInPandas(whole, schema)
-    cold = log.join(hot.select(*keys), keys, "left_anti").groupBy(*keys).applyInPandas(whole, schema)
-    rows = _slices(log, keys, hot)
-    kinds = ", ".join(f"`{k}` {log.schema[k].dataType.simpleString()}" for k in keys)
-    functions = rows.groupBy(*keys, "slice").applyInPandas(transfer, f"{kinds}, slice long, first long, last long, body string")
-    starts = functions.groupBy(*keys).applyInPandas(chain, f"{kinds}, slice long, start string")
-    busy = rows.join(starts, [*keys, "slice"]).groupBy(*keys, "slice").applyInPandas(resume, schema)
-    return cold.unionAll(busy)
 
+class Bucket:
+    """Token bucket for keys (client, scope); a start state is the tokens at a slice's first request, refilled."""
 
-def token_bucket(log: DataFrame, client: str, scope: str, stamp: str, tie: str, key_rows: int = KEY_ROWS) -> DataFrame:
-    """``(client, scope, tie, us, allowed)`` for every request, in the order of time and ``tie``."""
-    keys = [client, scope]
-    rows = log.select(*keys, F.col(tie).cast("long").alias("tie"), F.unix_micros(F.col(stamp)).alias("us"))
+    out = "allowed boolean"
 
-    def ordered(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.sort_values(["us", "tie"], kind="stable")
+    @staticmethod
+    def replay(key: tuple, pdf: pd.DataFrame, start: str | None) -> dict[str, np.ndarray]:
+        capacity, rate = bucket_units(key[1])
+        return {"allowed": bucket_replay(pdf["us"].to_numpy(), capacity if start is None else int(start), capacity, rate)[0]}
 
-    def out(pdf: pd.DataFrame, allowed: np.ndarray) -> pd.DataFrame:
-        return pdf[[*keys, "tie", "us"]].assign(allowed=allowed)
+    @staticmethod
+    def transfer(key: tuple, pdf: pd.DataFrame) -> list:
+        return bucket_transfer(pdf["us"].to_numpy(), *bucket_units(key[1]))
 
-    def whole(key, pdf):
-        pdf = ordered(pdf)
+    @staticmethod
+    def compose(key: tuple, a: list, b: list, times: tuple[int, int, int]) -> list:
+        _, last, nxt = times
         capacity, rate = bucket_units(key[1])
-        return out(pdf, bucket_replay(pdf["us"].to_numpy(), capacity, capacity, rate)[0])
+        return compose_transfers(a, (nxt - last) * rate, b, capacity)
 
-    def transfer(key, pdf):
-        us = ordered(pdf)["us"].to_numpy()
-        return pd.DataFrame([(*key, us[0], us[-1], json.dumps(bucket_transfer(us, *bucket_units(key[1]))))], columns=[*keys, "slice", "first", "last", "body"])
+    @staticmethod
+    def begin(key: tuple) -> str:
+        return str(bucket_units(key[1])[0])
 
-    def chain(key, pdf):
+    @staticmethod
+    def advance(key: tuple, start: str, body: list, gap: int) -> str:
         capacity, rate = bucket_units(key[1])
-        tokens, last, found = capacity, None, []
-        for row in pdf.sort_values("slice").itertuples(index=False):
-            x = capacity if last is None else min(capacity, tokens + (row.first - last) * rate)
-            found.append((*key, row.slice, str(x)))
-            tokens, last = apply_transfer(json.loads(row.body), x), row.last
-        return pd.DataFrame(found, columns=[*keys, "slice", "start"])
+        return str(min(capacity, apply_transfer(body, int(start)) + gap * rate))
 
-    def resume(key, pdf):
-        pdf = ordered(pdf)
-        capacity, rate = bucket_units(key[1])
-        return out(pdf, bucket_replay(pdf["us"].to_numpy(), int(pdf["start"].iloc[0]), capacity, rate)[0])
 
-    kinds = ", ".join(f"`{k}` string" for k in keys)
-    rows = rows.withColumns({k: F.col(k).cast("string") for k in keys})
-    return _replayed(rows, keys, f"{kinds}, tie long, us long, allowed boolean", whole, transfer, chain, resume, key_rows)
+class Breaker:
+    """Circuit breaker for one key; a start state is "state,time of the last failure"."""
 
+    out = "passed boolean, before int, state int"
 
-def circuit_breaker(log: DataFrame, service: str, stamp: str, tie: str, ok: str, key_rows: int = KEY_ROWS) -> DataFrame:
-    """``(service, tie, us, passed, before, state)`` for every call; state 0-4 closed, 5-6 half-open, 7 open."""
-    rows = log.select(F.col(service).cast("string").alias(service), F.col(tie).cast("long").alias("tie"), F.unix_micros(F.col(stamp)).alias("us"), F.col(ok).alias("ok"))
+    @staticmethod
+    def replay(key: tuple, pdf: pd.DataFrame, start: str | None) -> dict[str, np.ndarray]:
+        state, failed_at = map(int, (start or "0,0").split(","))
+        states, passed, _, _ = breaker_replay(pdf["us"].to_numpy(), pdf["ok"].to_numpy(), state, failed_at)
+        return {"passed": passed, "before": states[:-1], "state": states[1:]}
 
-    def ordered(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.sort_values(["us", "tie"], kind="stable")
+    @staticmethod
+    def transfer(key: tuple, pdf: pd.DataFrame) -> dict:
+        return breaker_transfer(pdf["us"].to_numpy(), pdf["ok"].to_numpy())
 
-    def replay(pdf, state, failed_at):
-        states, passed, _, _ = breaker_replay(pdf["us"].to_numpy(), pdf["ok"].to_numpy(), state, failed_at)
-        return pdf[[service, "tie", "us"]].assign(passed=passed, before=states[:-1], state=states[1:])
+    @staticmethod
+    def compose(key: tuple, a: dict, b: dict, times: tuple[int, int, int]) -> dict:
+        return compose_breakers(a, times[0] + RECOVERY, b)
+
+    @staticmethod
+    def begin(key: tuple) -> str:
+        return "0,0"
+
+    @staticmethod
+    def advance(key: tuple, start: str, body: dict, gap: int) -> str:
+        state, failed_at = breaker_apply(body, *map(int, start.split(",")))
+        return f"{state},{failed_at}"
+
+
+def ordered(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pdf.sort_values(["us", "tie"], kind="stable")
+
+
+def numbered_slices(keys: list[str], most: int):
+    """Task function: rows sorted by key, time and tie, with the number of their slice: runs of a key of at most ``most`` rows."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part = TaskContext.get().partitionId()
+        last, held, seq = None, 0, -1
+        for pdf in frames:
+            if pdf.empty:
+                continue
+            names = pdf[keys].agg(tuple, axis=1).to_numpy() if len(keys) > 1 else pdf[keys[0]].to_numpy()
+            change = np.empty(len(pdf), dtype=bool)
+            change[0], change[1:] = seq < 0 or names[0] != last, names[1:] != names[:-1]
+            at = np.arange(len(pdf))
+            place = at - np.maximum.accumulate(np.where(change, at, -held if not change[0] else 0))
+            number = seq + np.cumsum(place % most == 0)
+            yield pdf.assign(slice=(part << 32) + number)
+            last, held, seq = names[-1], int(place[-1]) + 1, int(number[-1])
+
+    return run
+
+
+def sliced(log: DataFrame, keys: Sequence[str], key_rows: int, rows: int) -> DataFrame:
+    """The ``rows`` of ``log`` with the number of their slice; numbers rise with (key, us, tie) and a slice holds ``key_rows`` at most.
+
+    The rows are dealt out by ranges of (key, us, tie), so that a busy key lies in many tasks, and written once.
+    """
+    parts = max(1, -(-2 * rows // key_rows))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in log.schema.fields)
+    dealt = log.repartitionByRange(parts, *keys, "us", "tie").sortWithinPartitions(*keys, "us", "tie")
+    return materialize(dealt.mapInPandas(numbered_slices(list(keys), key_rows), f"{fields}, slice long"), "slices")
+
+
+def starts(functions: DataFrame, keys: list[str], kinds: str, rule, fan: int) -> DataFrame:
+    """(keys, slice, start): the state at the start of every slice, by a prefix scan over a tree of their functions.
+
+    A node of the first level holds the slices that one task numbered, ``fan`` at a time; each level above holds ``fan`` nodes of the one below.
+    """
+
+    def composed(key, pdf):
+        pdf = pdf.sort_values("node")
+        body, first, last = json.loads(pdf["body"].iloc[0]), int(pdf["first"].iloc[0]), int(pdf["last"].iloc[0])
+        for row in pdf.iloc[1:].itertuples(index=False):
+            body = rule.compose(key[:-1], body, json.loads(row.body), (first, last, int(row.first)))
+            last = int(row.last)
+        return pd.DataFrame([(*key, first, last, json.dumps(body))], columns=[*keys, "node", "first", "last", "body"])
+
+    def handed_down(key, pdf):
+        pdf = pdf.sort_values("node")
+        start, found = pdf["start"].iloc[0], []
+        below = list(pdf.itertuples(index=False))
+        for row, nxt in zip(below, [*below[1:], None]):
+            found.append((*key[:-1], row.node, start))
+            if nxt is not None:
+                start = rule.advance(key[:-1], start, json.loads(row.body), int(nxt.first) - int(row.last))
+        return pd.DataFrame(found, columns=[*keys, "node", "start"])
+
+    # numbers of one task are turned into places of fixed width, so that dividing by ``fan`` leads up the tree
+    width = functions.agg(F.max(F.col("slice").bitwiseAND(0xFFFFFFFF))).first()[0]
+    place = F.shiftright("slice", 32) * ((width or 0) + 1) + F.col("slice").bitwiseAND(0xFFFFFFFF)
+    level = functions.withColumn("node", place).drop("slice")
+    levels = [level]
+    while level.groupBy(*keys).count().where("count > 1").limit(1).count():
+        parents = level.withColumn("above", F.floor(F.col("node") / fan)).groupBy(*keys, "above").applyInPandas(composed, f"{kinds}, node long, first long, last long, body string")
+        level = materialize(parents, "slice-functions")
+        levels.append(level)
+
+    def opening(key, pdf):
+        return pdf[[*keys, "node"]].assign(start=rule.begin(key))
+
+    down = level.select(*keys, "node").groupBy(*keys).applyInPandas(opening, f"{kinds}, node long, start string")
+    for below in reversed(levels[:-1]):
+        children = below.withColumn("above", F.floor(F.col("node") / fan))
+        given = down.select(*keys, F.col("node").alias("above"), "start")
+        down = materialize(joined(children, given, [*keys, "above"]).groupBy(*keys, "above").applyInPandas(handed_down, f"{kinds}, node long, start string"), "slice-starts")
+    return down.withColumn("slice", F.shiftleft(F.floor(F.col("node") / ((width or 0) + 1)), 32) + F.col("node") % ((width or 0) + 1)).drop("node")
+
+
+def joined(rows: DataFrame, other: DataFrame, names: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join on equal ``names``, in which null equals null."""
+    other = other.select(*[F.col(c).alias(f"_{c}") if c in names else F.col(c) for c in other.columns])
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names]
+    return rows.join(other, on, how).drop(*[f"_{c}" for c in names])
+
+
+def _replayed(log: DataFrame, keys: Sequence[str], rule, key_rows: int, fan: int) -> DataFrame:
+    keys = list(keys)
+    kinds = ", ".join(f"`{k}` string" for k in keys)
+    schema = f"{kinds}, tie long, us long, {rule.out}"
 
     def whole(key, pdf):
-        return replay(ordered(pdf), 0, 0)
+        pdf = ordered(pdf)
+        return pdf[[*keys, "tie", "us"]].assign(**rule.replay(key, pdf, None))
 
     def transfer(key, pdf):
         pdf = ordered(pdf)
-        us = pdf["us"].to_numpy()
-        return pd.DataFrame([(*key, us[0], us[-1], json.dumps(breaker_transfer(us, pdf["ok"].to_numpy())))], columns=[service, "slice", "first", "last", "body"])
-
-    def chain(key, pdf):
-        state, failed_at, found = 0, 0, []
-        for row in pdf.sort_values("slice").itertuples(index=False):
-            found.append((*key, row.slice, f"{state},{failed_at}"))
-            state, failed_at = breaker_apply(json.loads(row.body), state, failed_at)
-        return pd.DataFrame(found, columns=[service, "slice", "start"])
+        body = json.dumps(rule.transfer(key[:-1], pdf))
+        return pd.DataFrame([(*key, pdf["us"].iloc[0], pdf["us"].iloc[-1], body)], columns=[*keys, "slice", "first", "last", "body"])
 
     def resume(key, pdf):
         pdf = ordered(pdf)
-        state, failed_at = map(int, pdf["start"].iloc[0].split(","))
-        return replay(pdf, state, failed_at)
+        return pdf[[*keys, "tie", "us"]].assign(**rule.replay(key[:-1], pdf, pdf["start"].iloc[0]))
+
+    hot = log.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > key_rows)
+    rows = hot.agg(F.sum("n")).first()[0]
+    if not rows:
+        return log.groupBy(*keys).applyInPandas(whole, schema)
+    hot = materialize(hot.select(*keys), "busy-keys")  # at most all rows / key_rows
+    cold = joined(log, hot, keys, "left_anti").groupBy(*keys).applyInPandas(whole, schema)
+    busy = sliced(joined(log, hot, keys), keys, key_rows, rows)
+    functions = materialize(busy.groupBy(*keys, "slice").applyInPandas(transfer, f"{kinds}, slice long, first long, last long, body string"), "slice-functions")
+    begun = joined(busy, starts(functions, keys, kinds, rule, fan), [*keys, "slice"])
+    return cold.unionAll(begun.groupBy(*keys, "slice").applyInPandas(resume, schema))
+
 
-    return _replayed(rows, [service], f"`{service}` string, tie long, us long, passed boolean, before int, state int", whole, transfer, chain, resume, key_rows)
+def token_bucket(log: DataFrame, client: str, scope: str, stamp: str, tie: str, key_rows: int = KEY_ROWS, fan: int = FAN) -> DataFrame:
+    """``(client, scope, tie, us, allowed)`` for every request, in the order of time and ``tie``."""
+    keys = [client, scope]
+    rows = log.select(*[F.col(k).cast("string").alias(k) for k in keys], F.col(tie).cast("long").alias("tie"), F.unix_micros(F.col(stamp)).alias("us"))
+    return _replayed(rows, keys, Bucket, key_rows, fan)
+
+
+def circuit_breaker(log: DataFrame, service: str, stamp: str, tie: str, ok: str, key_rows: int = KEY_ROWS, fan: int = FAN) -> DataFrame:
+    """``(service, tie, us, passed, before, state)`` for every call; state 0-4 closed, 5-6 half-open, 7 open."""
+    rows = log.select(F.col(service).cast("string").alias(service), F.col(tie).cast("long").alias("tie"), F.unix_micros(F.col(stamp)).alias("us"), F.col(ok).alias("ok"))
+    return _replayed(rows, [service], Breaker, key_rows, fan)
 
 
 def outages(calls: DataFrame, service: str) -> DataFrame:
