@@ -14,6 +14,7 @@ from pyspark.sql.types import StructType
 from ..operators import monitor
 from ..operators.replay import bucket_replay, bucket_units
 from ..session import scratch_path
+from .stateful import rocksdb_state
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, pattern: str | None = None, files_per_batch: int | None = None) -> DataFrame:
@@ -29,10 +30,11 @@ def read_stream(spark: SparkSession, path: str, schema: StructType, pattern: str
 
 
 def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Exactly-once append to Parquet over all available input."""
-    return (
-        stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-    )
+    """Exactly-once append to Parquet over all available input; state is kept in RocksDB."""
+    with rocksdb_state(stream.sparkSession):
+        return (
+            stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+        )
 
 
 def drain(stream: DataFrame, label: str = "stream") -> DataFrame:
