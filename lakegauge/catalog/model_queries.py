@@ -378,14 +378,35 @@ def first_deployment(t: Tables):
     return compare.decide(paired, p).select("model_id", "first_deployment", "challenger_wins", "approval_status")
 
 
-@query("bootstrap_f1")
+DIFFS_SQL = "SELECT count(*) AS replicates, round(avg(diff), 6) AS mean_diff, round(avg((diff <= 0)::INT), 6)::DOUBLE AS p_value, avg((diff <= 0)::INT) < 0.05 AS is_significant FROM d"
+
+# Every cell's Poisson number by inversion at the MD5 of its name and the replicate.
+F1_SQL = f"""{SCORED_SQL}, cells AS (SELECT y, a, b, count(*) AS n FROM scored GROUP BY ALL),
+  cdf AS (SELECT y, a, b, k, sum(exp(k * ln(n) - n - lgamma(k + 1))) OVER (PARTITION BY y, a, b ORDER BY k) AS c FROM cells, LATERAL (SELECT unnest(range(greatest(0, floor(n - 10 * sqrt(n) - 20))::BIGINT, ceil(n + 10 * sqrt(n) + 20)::BIGINT + 1)) AS k)),
+  points AS (SELECT y, a, b, r AS replicate, ('0x' || substr(md5(concat_ws(':', y, a, b, 42, r)), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM cells, (SELECT unnest(range(500)) AS r)),
+  drawn AS (SELECT p.y, p.a, p.b, p.replicate, cdf.k AS m FROM points p ASOF JOIN cdf ON p.y = cdf.y AND p.a = cdf.a AND p.b = cdf.b AND p.u <= cdf.c),
+  s AS (SELECT replicate, sum(m) FILTER (y = 1) AS pos, sum(m) FILTER (a = 1) AS pa, sum(m) FILTER (a = 1 AND y = 1) AS ha, sum(m) FILTER (b = 1) AS pb, sum(m) FILTER (b = 1 AND y = 1) AS hb FROM drawn GROUP BY 1),
+  d AS (SELECT replicate, 2 * hb / (pos + pb) - 2 * ha / (pos + pa) AS diff FROM s)"""
+
+
+@query("bootstrap_f1", f"WITH {F1_SQL} {DIFFS_SQL}")
 def bootstrap_f1(t: Tables):
     return rounded(compare.significance(compare.bootstrap_f1(scored(t), "y", "a", "b")))
 
 
-@query("bootstrap_rmse")
+# A row's Poisson(1) weight in each replicate, from the replicate's line.
+SLOPES, SHIFTS = (x.tolist() for x in compare.replicate_lines(500, 42))
+RMSE_SQL = f"""{REGRESSION_SQL}, keyed AS (SELECT ('0x' || substr(md5(concat_ws(':', l_orderkey, l_linenumber, round(y * 100)::BIGINT, 42)), 1, 8))::BIGINT % {compare.PRIME} AS h, (y - pa) * (y - pa) AS ea, (y - pb) * (y - pb) AS eb FROM reg),
+  lines AS (SELECT unnest(range(500)) AS replicate, unnest({SLOPES}) AS slope, unnest({SHIFTS}) AS shift),
+  points AS (SELECT replicate, ea, eb, ((h * slope + shift) % {compare.PRIME})::DOUBLE / {compare.PRIME} AS u FROM keyed, lines),
+  weighed AS (SELECT replicate, ea, eb, {' + '.join(f'(u > {float(c)!r}::DOUBLE)::INT' for c in compare.POISSON_CDF)} AS w FROM points),
+  d AS (SELECT replicate, sqrt(sum(w * ea) / sum(w)) - sqrt(sum(w * eb) / sum(w)) AS diff FROM weighed GROUP BY 1)"""
+
+
+@query("bootstrap_rmse", f"WITH {RMSE_SQL} {DIFFS_SQL}")
 def bootstrap_rmse(t: Tables):
-    return rounded(compare.significance(compare.bootstrap_rmse(reg(t), ["l_orderkey", "l_linenumber", "y"], "y", "pa", "pb")))
+    rows = reg(t).withColumn("cents", F.round(F.col("y") * 100).cast("long"))
+    return rounded(compare.significance(compare.bootstrap_rmse(rows, ["l_orderkey", "l_linenumber", "cents"], "y", "pa", "pb")))
 
 
 # ---- retraining decision: one model per customer market segment --------------------------------------------

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import monitor
 from ..session import scratch_path
 from ..sources import tables, versions
-from ..streaming import streams
+from ..streaming import stateful, streams
 from .base import Tables, query, rounded
-from .monitor_queries import MATCH_SQL, PRED_SQL, RATE_SQL, is_error
+from .monitor_queries import BREAKER_SQL, BUCKET_SQL, FEED_SQL, HOUR_SQL, INTERP_SQL, MATCH_SQL, PRED_SQL, RATE_SQL, hourly, is_error
 
 TOTALS_SQL = "SELECT o_orderstatus, count(*) AS n, sum(o_custkey)::BIGINT AS keys, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1"
 
@@ -152,6 +152,89 @@ def stream_rate_limits(t: Tables):
     return out.groupBy("client").agg(F.count("*").alias("requests"), F.count(F.when(~F.col("allowed"), 1)).alias("violations"))
 
 
+# ---- stateful rules: all rows behind the watermark, which follows the newest row by the delay, in whole milliseconds
+
+
+def behind_sql(newest_us: str, delay_ms: int) -> str:
+    return f"(({newest_us}) // 1000 - {delay_ms}) * 1000"
+
+
+@query(
+    "stream_token_buckets",
+    f"WITH {RATE_SQL} SELECT client, 'anonymous' AS scope, count(*) AS requests, count(*) FILTER (NOT allowed) AS violations, min(us) FILTER (NOT allowed) AS first_violation_us FROM r "
+    f"WHERE us < {behind_sql('SELECT max(us) FROM e', 60_000)} GROUP BY 1",
+)
+def stream_token_buckets(t: Tables):
+    paced = F.timestamp_micros(F.expr("unix_micros(ts) div 1000"))
+    log = event_stream(t).select("event_id", F.lit("anonymous").alias("scope"), F.concat(F.lit("c"), F.col("user_id") % 10).alias("client"), paced.alias("paced"))
+    out = streams.drain(stateful.rate_limits(log, "client", "scope", "paced", "event_id", "1 minute"), "buckets")
+    return out.groupBy("client", "scope").agg(
+        F.count("*").alias("requests"), F.count(F.when(~F.col("allowed"), 1)).alias("violations"), F.min(F.when(~F.col("allowed"), F.col("us"))).alias("first_violation_us")
+    )
+
+
+@query("stream_outages", f"WITH {BREAKER_SQL} SELECT service, us AS opened_us, closed_us FROM turns WHERE NOT closes AND closed_us < {behind_sql('SELECT max(us) FROM e', 60_000)}")
+def stream_outages(t: Tables):
+    paced = F.timestamp_micros(F.expr("unix_micros(ts) div 100"))
+    calls = event_stream(t).select("event_id", paced.alias("paced"), F.concat(F.lit("s"), F.col("user_id") % 10).alias("service"), (~is_error() & (F.col("value") < 60)).alias("ok"))
+    return streams.drain(stateful.outage_stream(calls, "service", "paced", "event_id", "ok", "1 minute"), "outages")
+
+
+@query(
+    "stream_held_alerts",
+    f"""WITH {HOUR_SQL}, f AS (SELECT *, error_rate > 0.2 AS is_on, lag(error_rate > 0.2) OVER w AS was, lag(tick) OVER w AS prev FROM h WINDOW w AS (PARTITION BY model ORDER BY tick)),
+    i AS (SELECT *, sum(CASE WHEN was IS NULL OR NOT was OR tick - prev > 3600 THEN 1 ELSE 0 END) OVER (PARTITION BY model ORDER BY tick) AS island FROM f),
+    g AS (SELECT model, min(tick) AS since, max(tick) AS until FROM i WHERE is_on AND tick < (SELECT max(tick) FROM h) - 600 GROUP BY model, island)
+    SELECT model, since, since + 7200 AS fires_at FROM g WHERE until - since >= 7200""",
+)
+def stream_held_alerts(t: Tables):
+    path = scratch_path(t.spark, "hours")
+    hourly(t).select("model", "window_start", (F.col("error_rate") > 0.2).alias("bad")).write.parquet(path)
+    windows = streams.read_stream(t.spark, path, t.spark.read.parquet(path).schema)
+    return streams.drain(stateful.held_alert_stream(windows, "model", "window_start", "bad", 3600, 7200), "alerts")
+
+
+# A second label an hour after the first for a part of the requests; the last one counts.
+LABELS_SQL = f"""{PRED_SQL}, {FEED_SQL}, labels AS (SELECT * FROM feed UNION ALL SELECT request_id, 1 - ground_truth, feedback_at + INTERVAL '1' HOUR FROM feed WHERE right(request_id, 1) = '3'),
+  newest AS (SELECT (epoch_us(max(ts)) // 1000 - 3600000) * 1000 AS us FROM events),
+  matched AS (SELECT p.request_id, p."timestamp", p.prediction, p.model_version, arg_max(f.ground_truth, f.feedback_at) AS ground_truth, count(f.request_id) AS n FROM pred p
+    LEFT JOIN labels f ON p.request_id = f.request_id AND f.feedback_at BETWEEN p."timestamp" AND p."timestamp" + INTERVAL '7' DAY GROUP BY ALL),
+  alone AS (SELECT f.request_id, max(f.feedback_at) AS feedback_at FROM labels f WHERE NOT EXISTS (SELECT 1 FROM pred p WHERE p.request_id = f.request_id AND f.feedback_at BETWEEN p."timestamp" AND p."timestamp" + INTERVAL '7' DAY) AND epoch_us(f.feedback_at) < (SELECT us FROM newest) GROUP BY 1)"""
+
+
+@query(
+    "stream_last_labels",
+    f"""WITH {LABELS_SQL} SELECT CASE WHEN n > 0 THEN 'matched' ELSE 'unlabelled' END AS status, model_version, prediction, ground_truth, count(*) AS n FROM matched
+    WHERE epoch_us("timestamp") + 604800000000 < (SELECT us FROM newest) GROUP BY ALL UNION ALL SELECT 'unmatched_feedback', NULL, NULL, NULL, count(*) FROM alone""",
+)
+def stream_last_labels(t: Tables):
+    first = feedback_stream(t)
+    again = feedback_stream(t).where(F.col("request_id").endswith("3")).select("request_id", (1 - F.col("ground_truth")).alias("ground_truth"), (F.col("feedback_at") + F.expr("INTERVAL 1 HOUR")).alias("feedback_at"))
+    out = streams.drain(stateful.last_label_stream(prediction_stream(t), first.unionByName(again)), "labels")
+    alone = F.col("status") == "unmatched_feedback"
+    return out.withColumn("ground_truth", F.when(~alone, F.col("ground_truth"))).groupBy("status", "model_version", "prediction", "ground_truth").agg(F.count("*").alias("n"))
+
+
+@query(
+    "stream_latency_p99",
+    f"WITH b AS (SELECT time_bucket(INTERVAL '5 minutes', ts) AS ws, count(*) AS n, {BUCKET_SQL} FROM (SELECT ts, value * 4 AS lat FROM events) GROUP BY 1) "
+    f"SELECT epoch(ws)::BIGINT AS window_start, n AS requests, round({INTERP_SQL}, 4)::DOUBLE AS latency_ms FROM b WHERE ws + INTERVAL '5 minutes' <= (SELECT max(ts) - INTERVAL '10 minutes' FROM events)",
+)
+def stream_latency_p99(t: Tables):
+    out = streams.drain(streams.latency_stream(event_stream(t).withColumn("lat", F.col("value") * 4), [], "ts", "lat"), "latency")
+    return rounded(out.withColumn("window_start", F.unix_seconds("window_start")), 4)
+
+
+@query(
+    "stream_client_usage",
+    "WITH w AS (SELECT user_id, time_bucket(INTERVAL '1 hour', ts) AS ws, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors, round(avg(value), 4) AS mean_latency_ms, max(value) AS max_latency_ms FROM events GROUP BY ALL) "
+    "SELECT user_id, epoch(ws)::BIGINT AS window_start, requests, errors, mean_latency_ms, max_latency_ms FROM w WHERE ws + INTERVAL '1 hour' <= (SELECT max(ts) - INTERVAL '10 minutes' FROM events)",
+)
+def stream_client_usage(t: Tables):
+    out = streams.drain(streams.usage_stream(event_stream(t), "user_id", "ts", is_error(), "value"), "usage")
+    return rounded(out.withColumn("window_start", F.unix_seconds("window_start")), 4)
+
+
 @query(
     "stream_batch_quality",
     "SELECT 2::BIGINT AS evaluated_expectations, (1 + (max(value) <= 400)::INT)::BIGINT AS successful_expectations, max(value) <= 400 AS is_valid FROM events",

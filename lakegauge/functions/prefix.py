@@ -27,14 +27,11 @@ def bucket_cuts(
     return approx_cuts(df, cols, parts, n)
 
 
-def _summed(
-    df: DataFrame, cols: Sequence[str], sums: Mapping[str, Column], cuts: Mapping[str, Sequence[float]], carry: Sequence[str]
-) -> DataFrame:
-    """Long rows with the summands; with ``carry`` columns the summands are built after the unpivot."""
-    if carry:
-        return melt(with_buckets(df.select(*cols, *carry), cuts), cols, extra=carry).withColumns(dict(sums))
-    wide = with_buckets(df.select(*cols, *[e.alias(name) for name, e in sums.items()]), cuts)
-    return melt(wide, cols, extra=list(sums))
+def _summed(df: DataFrame, cols: Sequence[str], sums: Mapping[str, Column], cuts: Mapping[str, Sequence[float]], own: Mapping[str, Mapping[str, Column]]) -> DataFrame:
+    """Long rows with the summands; ``own`` has a summand's column for each of ``cols``, all built before the unpivot."""
+    named = {f"{c}{name}": e for name, each in own.items() for c, e in each.items()}
+    wide = with_buckets(df.select(*cols, *[e.alias(name) for name, e in (*sums.items(), *named.items())]), cuts)
+    return melt(wide, cols, extra=list(sums), own=list(own))
 
 
 def value_counts(
@@ -42,21 +39,21 @@ def value_counts(
     cols: Sequence[str],
     sums: Mapping[str, Column],
     cuts: Mapping[str, Sequence[float]],
-    carry: Sequence[str] = (),
+    own: Mapping[str, Mapping[str, Column]] | None = None,
 ) -> DataFrame:
     """``(feature, bucket, x, <sums>)``: one row per distinct value, summed map-side before the shuffle."""
-    long = _summed(df, cols, sums, cuts, carry)
-    return long.groupBy("feature", "bucket", "x").agg(*[F.sum(s).alias(s) for s in sums])
+    long = _summed(df, cols, sums, cuts, own or {})
+    return long.groupBy("feature", "bucket", "x").agg(*[F.sum(s).alias(s) for s in (*sums, *(own or {}))])
 
 
 def bucket_totals(
-    df: DataFrame, cols: Sequence[str], sums: Mapping[str, Column], cuts: Mapping[str, Sequence[float]], carry: Sequence[str] = ()
+    df: DataFrame, cols: Sequence[str], sums: Mapping[str, Column], cuts: Mapping[str, Sequence[float]], own: Mapping[str, Mapping[str, Column]] | None = None
 ) -> dict[str, dict[int, dict]]:
     """Per feature and bucket the sums, smallest and largest value, on the driver (``features x buckets`` rows)."""
     rows = (
-        _summed(df, cols, sums, cuts, carry)
+        _summed(df, cols, sums, cuts, own or {})
         .groupBy("feature", "bucket")
-        .agg(*[F.sum(s).alias(s) for s in sums], F.min("x").alias("lo"), F.max("x").alias("hi"))
+        .agg(*[F.sum(s).alias(s) for s in (*sums, *(own or {}))], F.min("x").alias("lo"), F.max("x").alias("hi"))
         .collect()
     )
     out: dict[str, dict[int, dict]] = {c: {} for c in cols}

@@ -49,9 +49,11 @@ def with_buckets(df: DataFrame, cuts: Mapping[str, Sequence[float]], suffix: str
     return df
 
 
-def melt(df: DataFrame, cols: Sequence[str], extra: Sequence[str] = (), keep: Mapping[str, list[int]] | None = None) -> DataFrame:
+def melt(df: DataFrame, cols: Sequence[str], extra: Sequence[str] = (), keep: Mapping[str, list[int]] | None = None, own: Sequence[str] = ()) -> DataFrame:
     """Unpivot bucketed columns to ``(feature, x, bucket, *extra)``, leaving NULL values out.
 
+    ``own`` names suffixes of columns that each of ``cols`` brings along under the bare suffix.
+
     ``keep`` names the wanted buckets per column. Missing values become 0/-1 before the unpivot and are
     filtered after it, so that no nullable key invites extra filters that would stop shuffle reuse.
     """
@@ -62,11 +64,13 @@ def melt(df: DataFrame, cols: Sequence[str], extra: Sequence[str] = (), keep: Ma
             wanted = wanted & F.col(c + "__b").isin(keep[c])
         ready[c] = F.when(wanted, F.col(c)).otherwise(F.lit(0.0))
         ready[c + "__b"] = F.coalesce(F.when(wanted, F.col(c + "__b")), F.lit(-1))
-    cells = ", ".join(f"(`{c}`, `{c}__b`) AS `{c}`" for c in cols)
-    wide = df.select(*extra, *[e.alias(name) for name, e in ready.items()])
+    brought = {c: [f"{c}{o}" for o in own] for c in cols}
+    cells = ", ".join("(" + ", ".join(f"`{name}`" for name in (c, c + "__b", *brought[c])) + f") AS `{c}`" for c in cols)
+    wide = df.select(*extra, *[e.alias(name) for name, e in ready.items()], *[name for names in brought.values() for name in names])
+    values = ", ".join(["x", "bucket", *[f"`{o}`" for o in own]])
     head = "".join(f"`{e}`, " for e in extra)
     return df.sparkSession.sql(
-        f"SELECT {head}feature, x, bucket FROM {{wide}} UNPIVOT INCLUDE NULLS ((x, bucket) FOR feature IN ({cells})) WHERE bucket >= 0",
+        f"SELECT {head}feature, {values} FROM {{wide}} UNPIVOT INCLUDE NULLS (({values}) FOR feature IN ({cells})) WHERE bucket >= 0",
         wide=wide,
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -106,12 +108,30 @@ def improvement(classification: bool = True) -> Column:
 HELD_CLASSES = 2_000
 
 
+def uniform(text: str) -> float:
+    """A number in [0, 1) from a text: the first 52 bits of its MD5, which any engine can draw again."""
+    return int(hashlib.md5(text.encode()).hexdigest()[:13], 16) / 2**52
+
+
+def poisson_draws(mean: int, points: np.ndarray) -> np.ndarray:
+    """Poisson numbers by inversion: the smallest k whose cumulative probability reaches the point."""
+    wide = 10 * math.sqrt(mean) + 20
+    k = np.arange(max(0, math.floor(mean - wide)), math.ceil(mean + wide) + 1)
+    # log k! by running sums from one exact value
+    logs = np.empty(len(k))
+    logs[0] = math.lgamma(k[0] + 1)
+    logs[1:] = logs[0] + np.cumsum(np.log(k[1:]))
+    cumulative = np.cumsum(np.exp(k * math.log(mean) - mean - logs))
+    return k[np.minimum(np.searchsorted(cumulative, points), len(k) - 1)]
+
+
 def bootstrap_f1(scored: DataFrame, y: str, pred_a: str, pred_b: str, metric: str = "f1", pos_label=1, replicates: int = 500, seed: int = 42) -> DataFrame:
     """``(replicate, diff)`` of the paired Poisson bootstrap for F1 or accuracy, champion ``a`` against challenger ``b``.
 
     The metrics depend only on how often each (label, prediction, prediction) occurs, so the rows are read once and every
-    replicate draws a Poisson number for each such cell, seeded by the cell: whatever the number of classes and tasks.
-    F1 is that of ``pos_label`` in a replicate with two classes, else the mean weighted by support.
+    replicate draws a Poisson number for each such cell: by inversion at the MD5 of "y:a:b:seed:replicate" (a null is "null"),
+    whatever the number of classes and tasks. F1 is that of ``pos_label`` in a replicate with two classes, else the mean
+    weighted by support.
     """
     names = [y, pred_a, pred_b]
     texts = any(isinstance(scored.schema[c].dataType, StringType) for c in names)
@@ -131,16 +151,16 @@ def bootstrap_f1(scored: DataFrame, y: str, pred_a: str, pred_b: str, metric: st
 
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                n = np.random.default_rng([seed, row.h & 0x7FFFFFFFFFFFFFFF]).poisson(row.n, replicates)
+                name = ":".join("null" if x is None else x for x in (row.y, row.a, row.b))
+                n = poisson_draws(row.n, np.array([uniform(f"{name}:{seed}:{r}") for r in range(replicates)]))
                 for label, flags in ((row.y, (1, 0, row.y == row.a, 0, row.y == row.b)), (row.a, (0, 1, 0, 0, 0)), (row.b, (0, 0, 0, 1, 0))):
                     sums.setdefault(label, np.zeros((replicates, 5), dtype=np.int64))[:] += n[:, None] * np.array(flags, dtype=np.int64)
                 if len(sums) >= HELD_CLASSES:
                     yield from flush()
         yield from flush()
 
-    keyed = cells.withColumn("h", F.xxhash64("y", "a", "b"))
     sums = (
-        keyed.mapInPandas(draw, "replicate long, label string, s long, pa long, ha long, pb long, hb long")
+        cells.mapInPandas(draw, "replicate long, label string, s long, pa long, ha long, pb long, hb long")
         .groupBy("replicate", "label")
         .agg(*[F.sum(c).alias(c) for c in ("s", "pa", "ha", "pb", "hb")])
     )
@@ -160,35 +180,38 @@ def _f1(predicted: str, hit: str) -> Column:
 # Cumulative Poisson(1) probabilities up to 12 events.
 POISSON_CDF = np.cumsum([np.exp(-1.0) / float(np.prod(np.arange(1, i + 1))) for i in range(13)])
 
+PRIME = 2**31 - 1
+
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """64-bit finaliser that spreads a counter over all bits."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def replicate_lines(replicates: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """A slope and a shift modulo ``PRIME`` for each replicate."""
+    slopes = [1 + int(uniform(f"slope:{seed}:{r}") * (PRIME - 1)) for r in range(replicates)]
+    shifts = [int(uniform(f"shift:{seed}:{r}") * PRIME) for r in range(replicates)]
+    return np.array(slopes, dtype=np.int64), np.array(shifts, dtype=np.int64)
 
 
 def bootstrap_rmse(scored: DataFrame, key: Sequence[str], y: str, pred_a: str, pred_b: str, replicates: int = 500, seed: int = 42) -> DataFrame:
     """``(replicate, diff)`` with diff = champion RMSE - challenger RMSE under Poisson(1) row weights.
 
-    The weight of a row in a replicate is a hash of its key, so it does not depend on the partitioning. Each
-    task adds up all replicates over its rows and emits one line per replicate.
+    The weight of a row in a replicate is drawn at (h * slope + shift) mod ``PRIME``, with h the first 32 bits of the MD5 of
+    "key:...:seed": whole numbers that depend neither on the partitioning nor on the engine. Each task adds up all replicates over
+    its rows and emits one line per replicate.
     """
+    name = F.concat_ws(":", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in key], F.lit(str(seed)))
     rows = scored.select(
-        F.xxhash64(*key, F.lit(seed)).alias("h"),
+        (F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") % PRIME).alias("h"),
         F.pow(F.col(y).cast("double") - F.col(pred_a), 2).alias("ea"),
         F.pow(F.col(y).cast("double") - F.col(pred_b), 2).alias("eb"),
     )
-    step = _mix(np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    slope, shift = replicate_lines(replicates, seed)
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((replicates, 3))
         for pdf in batches:
-            h = pdf["h"].to_numpy().astype(np.uint64)
+            h = pdf["h"].to_numpy()
             errors = np.column_stack([np.ones(len(pdf)), pdf["ea"], pdf["eb"]])
             for start in range(0, len(h), 2000):
-                mixed = _mix(h[start : start + 2000, None] ^ step[None, :])
-                u = (mixed >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+                u = (h[start : start + 2000, None] * slope + shift) % PRIME / float(PRIME)
                 weights = np.searchsorted(POISSON_CDF, u.ravel()).reshape(u.shape)
                 total += weights.T @ errors[start : start + 2000]
         yield pd.DataFrame({"replicate": np.arange(replicates), "w": total[:, 0], "a": total[:, 1], "b": total[:, 2]})

@@ -84,14 +84,11 @@ def ranking_metrics(scored: DataFrame, y: str, scores: Mapping[str, object]) ->
     cols = list(scores)
     kind = scored.schema[y].dataType
     df = scored.select(F.col(y).alias("__y"), *[clean_double(F.col(c)).alias(c) for c in cols])
-    label = None
-    for c, v in scores.items():
-        label = F.when(F.col("feature") == c, F.lit(v)) if label is None else label.when(F.col("feature") == c, F.lit(v))
-    hit = F.coalesce(F.col("__y") == label.cast(kind), F.lit(False)).cast("long")
-    sums = {"pos": hit, "neg": F.lit(1).cast("long") - hit}
+    hits = {c: F.coalesce(F.col("__y") == F.lit(v).cast(kind), F.lit(False)).cast("long") for c, v in scores.items()}
+    own = {"pos": hits, "neg": {c: 1 - hit for c, hit in hits.items()}}
     cuts = bucket_cuts(df, cols)
-    totals = bucket_totals(df, cols, sums, cuts, carry=["__y"])
-    run = running_totals(value_counts(df, cols, sums, cuts, carry=["__y"]), list(sums), totals)
+    totals = bucket_totals(df, cols, {}, cuts, own)
+    run = running_totals(value_counts(df, cols, {}, cuts, own), list(own), totals)
     pos_ge, neg_ge = F.col("all_pos") - F.col("before_pos"), F.col("all_neg") - F.col("before_neg")
     area = F.sum(F.col("pos").cast("double") * (F.col("before_neg") + F.col("neg") / 2.0))
     precision = F.sum(F.col("pos") * (pos_ge / (pos_ge + neg_ge)))

@@ -28,8 +28,9 @@ P99_LIMIT_MS = 500.0
 
 
 def latest_feedback(feedback: DataFrame) -> DataFrame:
-    """Batch: the last feedback per request."""
-    last = F.max_by(F.struct("ground_truth", "feedback_at"), "feedback_at").alias("f")
+    """Batch: the last feedback per request. Feedback without a time comes before all other; at one time the larger label counts."""
+    label = F.struct("ground_truth", "feedback_at")
+    last = F.max_by(label, F.struct(F.col("feedback_at").isNotNull(), "feedback_at", F.col("ground_truth").isNotNull(), "ground_truth")).alias("f")
     return feedback.groupBy("request_id").agg(last).select("request_id", "f.ground_truth", "f.feedback_at")
 
 

@@ -382,7 +382,7 @@ def auto_train(
     row = best_family(table).first()
     pick = next(t for t in found if t.family == row["family"] and t.number == row["trial"])
     weight = None
-    if classification and (pick.params.get("class_weight") or about["use_sample_weight"]):
+    if classification and about["n_classes"] == 2 and (pick.params.get("class_weight") or about["use_sample_weight"]):
         training, weight = dataset.with_class_weights(training, target, "balanced_weight"), "weight"
     model = fit(training, features, target, pick.family, pick.params, classification, weight, seed)
     scored = score_rows(model, validation, classification)
