@@ -19,7 +19,7 @@ def is_numeric(kind) -> bool:
 def snapshot(df: DataFrame, sensitive: Sequence[str] = ()) -> DataFrame:
     """One row per column: type, nulls, exact distinct count and, unless sensitive, numeric summaries.
 
-    Distinct counts go through a count per (column, value), so no task holds a column's values.
+    Distinct counts are those of ``exact_distinct``, so no task holds a column's values.
     """
     kinds = {f.name: f.dataType for f in df.schema.fields}
     numeric = [c for c, k in kinds.items() if is_numeric(k) and c not in sensitive]
@@ -29,31 +29,79 @@ def snapshot(df: DataFrame, sensitive: Sequence[str] = ()) -> DataFrame:
         aggs += [F.avg(x).alias(f"mean|{c}"), F.stddev_samp(x).alias(f"std|{c}"), F.min(x).alias(f"min|{c}"), F.max(x).alias(f"max|{c}")]
     row = df.agg(*aggs).first().asDict()
     thirds = exact_quantiles(df, {c: [0.25, 0.5, 0.75] for c in numeric}, n={c: row[f"n|{c}"] for c in numeric})
+    unique = exact_distinct(df)
     rows = []
     for c, k in kinds.items():
         nulls = row["rows"] - row[f"n|{c}"]
-        base = (c, k.simpleString(), nulls, nulls / row["rows"] * 100 if row["rows"] else 0.0, c in numeric)
+        base = (c, k.simpleString(), nulls, nulls / row["rows"] * 100 if row["rows"] else 0.0, unique[c], c in numeric)
         if c in numeric and thirds[c] is not None:
             p25, median, p75 = thirds[c]
             rows.append((*base, row[f"mean|{c}"], row[f"std|{c}"], row[f"min|{c}"], p25, median, p75, row[f"max|{c}"]))
         else:
             rows.append((*base, *[None] * 7))
-    summary = local_frame(
+    return local_frame(
         df.sparkSession,
         rows,
-        "column string, dtype string, null_count long, null_pct double, is_numeric boolean, mean double, std double, min double, "
+        "column string, dtype string, null_count long, null_pct double, unique long, is_numeric boolean, mean double, std double, min double, "
         "p25 double, median double, p75 double, max double",
     )
-    return summary.join(F.broadcast(distinct_counts(df)), "column", "left").withColumn("unique", F.coalesce("unique", F.lit(0)))
 
 
-def distinct_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """``(column, unique)`` over non-null values, exact."""
+#: Distinct values of a column that a task holds as a set; columns with more are counted through a shuffle.
+SET_LIMIT = 10_000
+#: A sketch's estimate settles a question only when it is this many times beyond the limit in question.
+CLEAR = 4
+
+
+def comparable(df: DataFrame, cols: Sequence[str]) -> list[Column]:
+    """The columns with a type that can be grouped: maps, arrays and structs as texts."""
+    nested = ("map", "array", "struct", "variant")
+    return [(F.col(c).cast("string") if df.schema[c].dataType.simpleString().startswith(nested) else F.col(c)).alias(c) for c in cols]
+
+
+def distinct_estimates(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
+    """Estimated distinct non-null values of all columns in one pass: a mergeable sketch of a few kB for each."""
+    if not cols:
+        return {}
+    hashed = df.select(*comparable(df, cols))
+    aggs = [F.hll_sketch_estimate(F.hll_sketch_agg(F.when(F.col(c).isNotNull(), F.xxhash64(c)))).alias(f"e{i}") for i, c in enumerate(cols)]
+    row = hashed.agg(*aggs).first()
+    return {c: float(row[f"e{i}"] or 0) for i, c in enumerate(cols)}
+
+
+def set_sizes(df: DataFrame, cols: Sequence[str]) -> dict[str, int]:
+    """Exact distinct counts of columns whose sets are known to be small, in one pass without a shuffle of values."""
+    if not cols:
+        return {}
+    row = df.select(*comparable(df, cols)).agg(*[F.size(F.collect_set(c)).alias(f"k{i}") for i, c in enumerate(cols)]).first()
+    return {c: row[f"k{i}"] for i, c in enumerate(cols)}
+
+
+def exact_distinct(df: DataFrame, cols: Sequence[str] | None = None) -> dict[str, int]:
+    """Exact distinct counts over non-null values: small sets all at once, each larger column on its own in its own type."""
     cols = list(cols) if cols is not None else df.columns
-    cells = ", ".join(f"`{c}`" for c in cols)
-    texts = df.select(*[F.col(c).cast("string").alias(c) for c in cols])
-    long = df.sparkSession.sql(f"SELECT column, value FROM {{t}} UNPIVOT (value FOR column IN ({cells}))", t=texts)
-    return long.distinct().groupBy("column").agg(F.count("*").alias("unique"))
+    estimates = distinct_estimates(df, cols)
+    out = set_sizes(df, [c for c in cols if estimates[c] <= SET_LIMIT])
+    for c in cols:
+        if c not in out:
+            out[c] = df.select(*comparable(df, [c])).agg(F.count_distinct(c)).first()[0]
+    return out
+
+
+def distinct_up_to(df: DataFrame, cols: Sequence[str], limit: int) -> dict[str, int]:
+    """Exact distinct counts up to ``limit``; ``limit + 1`` stands for more.
+
+    Columns that a sketch puts far beyond the limit are settled by it; the others hold few values, which are counted as sets.
+    """
+    estimates = distinct_estimates(df, cols)
+    near = [c for c in cols if estimates[c] <= CLEAR * limit + 100]
+    sizes = set_sizes(df, near)
+    return {c: min(sizes.get(c, limit + 1), limit + 1) for c in cols}
+
+
+def all_distinct(df: DataFrame, col: str) -> bool:
+    """Whether no non-null value repeats; meant for columns that a sketch puts near the number of rows."""
+    return df.where(F.col(col).isNotNull()).groupBy(col).count().where("count > 1").isEmpty()
 
 
 def top5(df: DataFrame, sensitive: Sequence[str] = (), k: int = 5) -> DataFrame:
@@ -119,7 +167,10 @@ def auto_config(df: DataFrame, target: str | None = None, ids: Sequence[str] = (
         x = clean_double(F.col(c))
         aggs += [F.count(x).alias(f"n|{c}"), F.skewness(x).alias(f"skew|{c}"), F.min(x).alias(f"min|{c}")]
     row = df.agg(*aggs).first().asDict()
-    unique = {r["column"]: r["unique"] for r in distinct_counts(df, texts).collect()} if texts else {}
+    unique = distinct_up_to(df, texts, max(2, onehot_max, 100))
+    whole = df.agg(*[F.count(c).alias(c) for c in texts]).first().asDict() if texts else {}
+    sizes = distinct_estimates(df, [c for c in texts if whole[c] == row["rows"] > 100])
+    keys = {c for c, k in sizes.items() if k * CLEAR > row["rows"] and all_distinct(df, c)}
     out: dict[str, ColumnConfig] = {}
     for f in fields:
         cfg = ColumnConfig(f.name)
@@ -139,7 +190,7 @@ def auto_config(df: DataFrame, target: str | None = None, ids: Sequence[str] = (
             )
         elif f.name in texts:
             k = unique.get(f.name, 0)
-            if k == row["rows"] and k > 100:
+            if f.name in keys:
                 cfg = replace(cfg, is_id=True)
             else:
                 encoding = "ordinal" if k <= 2 else "onehot" if k <= onehot_max else "frequency"
@@ -166,7 +217,7 @@ def route_columns(df: DataFrame, configs: dict[str, ColumnConfig], target: str |
     """Seven groups of columns; ids, dates and columns without a configuration are dropped."""
     routes: dict[str, list[str]] = {k: [] for k in ("numeric", "knn", "ordinal", "onehot", "frequency", "target", "passthrough", "dropped")}
     onehot = [c for c, cfg in configs.items() if cfg.encoding == "onehot" and not cfg.is_id and c in df.columns]
-    unique = {r["column"]: r["unique"] for r in distinct_counts(df, onehot).collect()} if onehot else {}
+    unique = distinct_up_to(df, onehot, max((configs[c].onehot_max for c in onehot), default=1))
     for f in df.schema.fields:
         if f.name == target:
             continue
@@ -188,7 +239,7 @@ def route_columns(df: DataFrame, configs: dict[str, ColumnConfig], target: str |
 def slice_columns(df: DataFrame, candidates: Sequence[str] | None = None, most: int = 3) -> list[str]:
     """The first columns with two to ten distinct values."""
     cols = list(candidates) if candidates is not None else df.columns
-    unique = {r["column"]: r["unique"] for r in distinct_counts(df, cols).collect()}
+    unique = distinct_up_to(df, cols, 10)
     return [c for c in cols if 2 <= unique.get(c, 0) <= 10][:most]
 
 
