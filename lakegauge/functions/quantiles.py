@@ -14,8 +14,9 @@ from collections.abc import Iterable, Mapping, Sequence
 
 import numpy as np
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import materialize
 from .frames import local_frame
 
 SMALL_ROWS = 500_000
@@ -260,3 +261,73 @@ def _by_bucket():
     from pyspark.sql import Window
 
     return Window.partitionBy("feature", "bucket").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+# ---- many groups at once ----------------------------------------------------------------------------------
+
+#: Cut points of a group in a round, and the accuracy of the sketch they come from.
+GROUP_CUTS, GROUP_ACCURACY = 64, 1000
+
+
+def same(left: str, right: str, *names: str) -> Column:
+    """Null-safe equality of columns of two aliased tables."""
+    on = F.lit(True)
+    for c in names:
+        on = on & F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}"))
+    return on
+
+
+def grouped_quantiles(df: DataFrame, by: str, value: str, probs: Sequence[float], small_rows: int = SMALL_ROWS) -> DataFrame:
+    """``(by, q)``: exact quantiles (linear) of ``value`` for every group, nulls in ``by`` included, groups of any size and number.
+
+    Groups up to ``small_rows`` take one aggregate. The others are narrowed together, the group being part of the key: cut points
+    from a sketch for each open bucket, exact counts between and at them, and only the buckets that hold a wanted rank go on. The
+    number of jobs depends on the largest group alone, and no group reaches the driver.
+    """
+    rows = df.select(F.col(by).alias("g"), clean_double(F.col(value)).alias("x")).where("x IS NOT NULL")
+    sizes = materialize(rows.groupBy("g").agg(F.count("*").alias("n")), "group-sizes")
+    large = sizes.where(F.col("n") > small_rows)
+    out = rows.alias("r").join(large.alias("l"), same("r", "l", "g"), "left_anti").groupBy("g").agg(F.percentile("x", list(probs)).alias("q"))
+    if not large.isEmpty():
+        out = out.unionByName(_narrowed(rows, large, probs, small_rows))
+    return out.withColumnRenamed("g", by)
+
+
+def _narrowed(rows: DataFrame, large: DataFrame, probs: Sequence[float], small_rows: int) -> DataFrame:
+    place = [F.col("n").cast("double").__sub__(1) * p for p in probs]
+    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(at), F.ceil(at)) for at in place])))
+    pending = large.select("g", F.explode(ranks).alias("rank")).select("g", F.lit(0).cast("long").alias("b"), "rank", F.col("rank").alias("r"))
+    live = rows.alias("r").join(large.alias("l"), same("r", "l", "g"), "left_semi").select("g", F.lit(0).cast("long").alias("b"), "x")
+    while True:
+        buckets = materialize(live.groupBy("g", "b").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")), "group-buckets")
+        wide = buckets.where((F.col("n") > small_rows) & (F.col("lo") < F.col("hi")))
+        if wide.isEmpty():
+            break
+        cuts = live.groupBy("g", "b").agg(F.array_distinct(F.percentile_approx("x", [i / GROUP_CUTS for i in range(1, GROUP_CUTS)], GROUP_ACCURACY)).alias("cuts"))
+        placed = live.alias("v").join(cuts.alias("c"), same("v", "c", "g", "b")).select("v.g", "v.b", "v.x", "c.cuts")
+        # twice the cuts below, and one more at a cut: values equal to a cut have a bucket of their own
+        part = F.size(F.filter("cuts", lambda c: c < F.col("x"))) + F.size(F.filter("cuts", lambda c: c <= F.col("x")))
+        placed = materialize(placed.select("g", "b", part.alias("part"), "x"), "group-values")
+        counts = placed.groupBy("g", "b", "part").agg(F.count("*").alias("m"))
+        counts = counts.withColumn("start", F.sum("m").over(Window.partitionBy("g", "b").orderBy("part")) - F.col("m"))
+        within = same("p", "c", "g", "b") & (F.col("p.r") >= F.col("c.start")) & (F.col("p.r") < F.col("c.start") + F.col("c.m"))
+        found = pending.alias("p").join(counts.alias("c"), within).select("p.g", "p.b", "c.part", "p.rank", (F.col("p.r") - F.col("c.start")).alias("r"))
+        found = materialize(found, "group-ranks")
+        wanted = found.select("g", "b", "part").distinct()
+        name = F.xxhash64("b", "part").alias("b")
+        live = materialize(placed.alias("v").join(wanted.alias("w"), same("v", "w", "g", "b", "part"), "left_semi").select("g", name, "x"), "group-live")
+        pending = found.select("g", name, "rank", "r")
+    known = pending.alias("p").join(buckets.alias("k"), same("p", "k", "g", "b")).select("p.g", "p.b", "p.rank", "p.r", "k.lo", "k.hi")
+    flat = known.where("lo = hi").select("g", "rank", F.col("lo").alias("x"))
+    narrow = live.alias("v").join(buckets.where("lo < hi").alias("k"), same("v", "k", "g", "b"), "left_semi")
+    narrow = narrow.withColumn("i", F.row_number().over(Window.partitionBy("g", "b").orderBy("x")) - 1)
+    open_ranks = known.where("lo < hi")
+    sorted_ = open_ranks.alias("p").join(narrow.alias("v"), same("p", "v", "g", "b") & (F.col("p.r") == F.col("v.i"))).select("p.g", "p.rank", "v.x")
+    values = flat.unionByName(sorted_).groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("rank", "x"))).alias("at"))
+    joined = values.alias("a").join(large.alias("l"), same("a", "l", "g")).select("l.g", "l.n", "a.at")
+    q = []
+    for p in probs:
+        at = (F.col("n") - 1).cast("double") * p
+        low, high = F.col("at")[F.floor(at)], F.col("at")[F.ceil(at)]
+        q.append(F.when(low == high, low).otherwise(low + (high - low) * (at - F.floor(at))))
+    return joined.select("g", F.array(*q).alias("q"))

@@ -6,9 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.frames import local_frame
 from ..functions.prefix import bucket_cuts, bucket_totals, running_totals, value_counts
-from ..functions.quantiles import SMALL_ROWS, clean_double, exact_quantiles, with_buckets
+from ..functions.quantiles import SMALL_ROWS, clean_double, grouped_quantiles, with_buckets
 
 EPS = 2.220446049250313e-16
 THRESHOLDS = [0.05 + i * 0.05 for i in range(19)]
@@ -222,31 +221,16 @@ def slice_regressions(champion: DataFrame, challenger: DataFrame, metric: str =
 
 
 def latency_profile(log: DataFrame, latency: str, by: str, small_rows: int = SMALL_ROWS) -> DataFrame:
-    """Percentiles, moments and throughput (requests per second of latency) per group of the serving log.
-
-    Groups of bounded size take one aggregate; a larger group is narrowed by the exact quantile passes.
-    """
+    """Percentiles, moments and throughput (requests per second of latency) per group of the serving log, groups of any size and number."""
     groups = log.groupBy(by).agg(
         F.count(latency).alias("n"), F.avg(latency).alias("mean_ms"), F.stddev_pop(latency).alias("std_ms"), F.min(latency).alias("min_ms"), F.max(latency).alias("max_ms")
     )
-    probs = [0.5, 0.75, 0.95, 0.99]
-    large = {r[by]: r["n"] for r in groups.where(F.col("n") > small_rows).select(by, "n").collect()}
-    is_large = F.coalesce(F.col(by).isin([v for v in large if v is not None]), F.lit(None in large))
-    rest = log.where(~is_large) if large else log
-    q = rest.groupBy(by).agg(F.percentile(latency, probs).alias("q"))
-    kind = log.schema[by].dataType.simpleString()
-    names = list(large)
-    for start in range(0, len(names), 50):
-        cols = {f"g{i}": v for i, v in enumerate(names[start : start + 50])}
-        wide = log.select(*[F.when(F.col(by).eqNullSafe(F.lit(v)), F.col(latency)).alias(c) for c, v in cols.items()])
-        found = exact_quantiles(wide, {c: probs for c in cols}, small_rows, {c: large[v] for c, v in cols.items()})
-        q = q.unionAll(local_frame(log.sparkSession, [(v, found[c]) for c, v in cols.items()], f"`{by}` {kind}, q array<double>"))
-    return _with_percentiles(groups, q, by)
+    return _with_percentiles(groups, grouped_quantiles(log, by, latency, [0.5, 0.75, 0.95, 0.99], small_rows), by)
 
 
 def _with_percentiles(groups: DataFrame, q: DataFrame, by: str) -> DataFrame:
     same = F.col(f"g.{by}").eqNullSafe(F.col("q.__by"))
-    joined = groups.alias("g").join(q.withColumnRenamed(by, "__by").alias("q"), same).drop("__by")
+    joined = groups.alias("g").join(q.withColumnRenamed(by, "__by").alias("q"), same, "left").drop("__by")
     pcts = [F.get("q", F.lit(i)).alias(f"p{p}_ms") for i, p in enumerate((50, 75, 95, 99))]
     return joined.select(by, "n", *pcts, "mean_ms", "std_ms", "min_ms", "max_ms", F.try_divide(F.lit(1000.0), F.col("mean_ms")).alias("throughput_rps"))
 
