@@ -41,7 +41,11 @@ class Words(dict):
         import regex
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path).model
+        whole = Tokenizer.from_file(path)
+        self.model = whole.model
+        self.added = {t.content: i for i, t in whole.get_added_tokens_decoder().items()}
+        if any(t.lstrip or t.rstrip or t.single_word for t in whole.get_added_tokens_decoder().values()):
+            raise ValueError(f"{path} has added tokens that take in the text around them")
         self.find = regex.compile(PATTERN).findall
         # the visible character that stands for each byte
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -63,7 +67,8 @@ class Words(dict):
 
 
 class Encoder:
-    """Ids equal to ``Tokenizer.encode(text, add_special_tokens=False)`` with special strings as ordinary text.
+    """Ids equal to ``Tokenizer.encode(text, add_special_tokens=False)``: the file's added tokens have ids of their own wherever
+    their text stands, and the text between them is taken by itself.
 
     A pre-token never starts before a space that follows a non-space character and ends after it. So a text falls into
     units at such spaces, and a unit's ids depend on the unit alone.
@@ -74,9 +79,16 @@ class Encoder:
         self.units = Units(self.words)
         self.odd = re.compile(r"\s ")
         self.cut = re.compile(r"(?<=\S) ")
+        self.added = {text: np.array([i], dtype="<u4").tobytes() for text, i in self.words.added.items()}
+        self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.spaces = tuple(f"{c} " for c in " \n\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
 
     def ids(self, text: str) -> bytes:
+        if any(a in text for a in self.added):
+            return b"".join(self.added[p] if p in self.added else self.plain(p) for p in self.at_added.split(text))
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
         if not text:
             return b""
         if len(self.units) > CACHED or len(self.words) > CACHED:

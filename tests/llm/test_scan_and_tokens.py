@@ -59,14 +59,12 @@ def test_redaction_keeps_rows_and_columns(spark):
 
 
 def tokenizer():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_cached_encoder_equals_the_tokenizer():
     t, e = tokenizer(), encoder(public_tokenizers.path("byte_bpe_50k.json"))
-    for s in [x or "" for _, x in texts()] + ["a  b", " a", "a ", "\n a\n\nb", "don't we'll", "<|endoftext|> x", "x\x1c y²½ ", "　a  b"]:
+    for s in [x or "" for _, x in texts()] + ["a  b", " a", "a ", "\n a\n\nb", "don't we'll", "<|endoftext|> x", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>\n y", "<|endoftext| >", "x\x1c y²½ ", "　a  b"]:
         assert np.frombuffer(e.ids(s), "<u4").tolist() == t.encode(s, add_special_tokens=False).ids
 
 
