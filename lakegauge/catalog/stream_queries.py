@@ -8,7 +8,7 @@ from ..operators import monitor
 from ..session import scratch_path
 from ..sources import tables, versions
 from ..streaming import stateful, streams
-from .base import Tables, query, rounded
+from .base import ORACLES, Tables, query, rounded
 from .monitor_queries import BREAKER_SQL, BUCKET_SQL, FEED_SQL, HOUR_SQL, INTERP_SQL, MATCH_SQL, PRED_SQL, RATE_SQL, hourly, is_error
 
 TOTALS_SQL = "SELECT o_orderstatus, count(*) AS n, sum(o_custkey)::BIGINT AS keys, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1"
@@ -36,12 +36,13 @@ def read_by_inferred_format(t: Tables):
     return totals(tables.read(t.spark, f"{t.folder}/orders.parquet"))
 
 
-@query("read_in_splits", TOTALS_SQL)
+@query("read_in_splits", f"SELECT *, true AS in_splits, true AS setting_unchanged FROM ({TOTALS_SQL})")
 def read_in_splits(t: Tables):
     before = t.spark.conf.get("spark.sql.files.maxPartitionBytes")
-    out = totals(tables.read_in_splits(t.spark, f"{t.folder}/orders.parquet", 1 << 20))
-    t.spark.conf.set("spark.sql.files.maxPartitionBytes", before)
-    return out
+    rows = tables.read_in_splits(t.spark, f"{t.folder}/orders.parquet", 1 << 16)
+    whole = t.orders.rdd.getNumPartitions()
+    unchanged = t.spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+    return totals(rows).withColumn("in_splits", F.lit(rows.rdd.getNumPartitions() > whole)).withColumn("setting_unchanged", F.lit(unchanged))
 
 
 @query("versioned_snapshot", "SELECT true AS first_write, false AS second_write, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders")
@@ -144,6 +145,50 @@ def stream_counters(t: Tables):
     return streams.read_counters(t.spark, f"{path}/rows", ["model_id", "status"])
 
 
+@query("stream_gauges", "SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS value, floor(epoch(max(ts)))::BIGINT AS updated_at FROM events GROUP BY ALL")
+def stream_gauges(t: Tables):
+    path = scratch_path(t.spark, "gauges")
+    streams.gauge_stream(event_stream(t), ["user_id", "event_type"], "value", "ts", "event_id", f"{path}/rows", f"{path}/checkpoint").awaitTermination()
+    return streams.read_gauges(t.spark, f"{path}/rows", ["user_id", "event_type"], "ts").withColumn("updated_at", F.unix_seconds("updated_at"))
+
+
+@query("stream_histograms", ORACLES["event_histograms"])
+def stream_histograms(t: Tables):
+    path = scratch_path(t.spark, "histograms")
+    streams.histogram_stream(event_stream(t), ["event_type"], "value", f"{path}/rows", f"{path}/checkpoint").awaitTermination()
+    return rounded(streams.read_histograms(t.spark, f"{path}/rows", ["event_type"]), 2)
+
+
+@query("stream_newest", f"WITH {PRED_SQL} SELECT request_id, model_version FROM pred ORDER BY \"timestamp\" DESC, request_id DESC LIMIT 5000")
+def stream_newest(t: Tables):
+    path = scratch_path(t.spark, "newest")
+    streams.newest_stream(prediction_stream(t), 5000, f"{path}/rows", f"{path}/checkpoint").awaitTermination()
+    return streams.read_newest(t.spark, f"{path}/rows").select("request_id", "model_version")
+
+
+ALERT_CELLS_SQL = f"""{PRED_SQL}, c AS (SELECT ws, model_version, CASE WHEN prediction = 1 AND model_version <> 'v1' THEN 1 ELSE 0 END AS y, prediction AS p
+  FROM pred, LATERAL (SELECT unnest(generate_series(floor(epoch("timestamp") / 21600)::BIGINT * 21600 - 64800, floor(epoch("timestamp") / 21600)::BIGINT * 21600, 21600)) AS ws)),
+  k AS (SELECT ws AS window_start, model_version, count(DISTINCT y) AS k, sum(y * p) AS tp, sum(p) AS pp, sum(y) AS pos, count(*) AS n, count(*) FILTER (y = 0 AND p = 0) AS tn, count(*) FILTER (p = 0) AS pn FROM c GROUP BY ALL HAVING count(*) >= 30),
+  s AS (SELECT window_start, model_version, CASE WHEN k = 2 THEN coalesce(2 * tp / nullif(pp + pos, 0), 0)
+    ELSE (coalesce(2 * tp / nullif(pp + pos, 0), 0) * pos + coalesce(2 * tn / nullif(pn + n - pos, 0), 0) * (n - pos)) / n END AS f1 FROM k WHERE window_start + 86400 <= (SELECT epoch(max(ts)) - 3600 FROM events)),
+  d AS (SELECT *, (0.95 - f1) / 0.95 AS change FROM s)"""
+
+
+@query(
+    "stream_alerts",
+    f"WITH {ALERT_CELLS_SQL} SELECT model_id, severity, channel, count(*) AS n, round(max(change), 6)::DOUBLE AS worst FROM (SELECT model_version AS model_id, change, CASE WHEN change > 0.15 THEN 'critical' ELSE 'warning' END AS severity, "
+    "unnest(CASE WHEN change > 0.15 THEN ['annotation', 'chat', 'page', 'retrain_trigger'] ELSE ['annotation', 'chat'] END) AS channel FROM d WHERE change > 0.05) GROUP BY ALL",
+)
+def stream_alerts(t: Tables):
+    path = scratch_path(t.spark, "alerts")
+    label = F.when((F.col("prediction") == 1) & (F.col("model_version") != "v1"), 1).otherwise(0)
+    cells = streams.window_cells(prediction_stream(t).withColumn("ground_truth", label))
+    baselines = t.spark.createDataFrame([(f"v{i}", 0.95) for i in range(3)], "model_version string, baseline double")
+    streams.alert_stream(cells, baselines, f"{path}/rows", f"{path}/checkpoint").awaitTermination()
+    rows = t.spark.read.parquet(f"{path}/rows").groupBy("model_id", "severity", "channel")
+    return rounded(rows.agg(F.count("*").alias("n"), F.max("change").alias("worst")))
+
+
 @query("stream_rate_limits", f"WITH {RATE_SQL} SELECT client, count(*) AS requests, count(*) FILTER (NOT allowed) AS violations FROM r GROUP BY 1")
 def stream_rate_limits(t: Tables):
     paced = F.timestamp_micros(F.expr("unix_micros(ts) div 1000"))

@@ -145,6 +145,12 @@ def write(df: DataFrame, path: str, format: str | None = None, mode: str = "erro
 
 
 def read_in_splits(spark: SparkSession, path: str, split_bytes: int, **options) -> DataFrame:
-    """Read with smaller input splits: the chunked read of a large file, chunks side by side."""
-    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split_bytes))
-    return read(spark, Source(path, options=options))
+    """Read with smaller input splits: the chunked read of a large file, chunks side by side.
+
+    The split size is a setting of a session of its own, which shares the context; the caller's session stays as it is.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    own.conf.set("spark.sql.files.maxPartitionBytes", str(split_bytes))
+    own.conf.set("spark.sql.files.openCostInBytes", str(min(split_bytes, 1 << 22)))
+    return read(own, Source(path, options=options))

@@ -81,16 +81,74 @@ def usage_stream(audit: DataFrame, client: str, stamp: str, is_error: Column, la
 def counter_stream(events: DataFrame, labels: Sequence[str], table: str, checkpoint: str) -> StreamingQuery:
     """Running counters: each batch appends its increments, readers sum them; a replayed batch overwrites itself."""
 
-    def add(batch: DataFrame, epoch: int) -> None:
-        monitor.counters(batch, labels).write.mode("overwrite").parquet(f"{table}/batch={epoch}")
-
-    return events.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return each_batch(events, lambda batch, _: monitor.counters(batch, labels), table, checkpoint)
 
 
 def read_counters(spark: SparkSession, table: str, labels: Sequence[str]) -> DataFrame:
     return spark.read.parquet(table).groupBy(*labels).agg(F.sum("total").alias("total"))
 
 
+def each_batch(stream: DataFrame, rows_of, table: str, checkpoint: str) -> StreamingQuery:
+    """Write ``rows_of(batch)`` of every micro-batch below ``table``; a replayed batch overwrites itself."""
+
+    def add(batch: DataFrame, epoch: int) -> None:
+        rows_of(batch, epoch).write.mode("overwrite").parquet(f"{table}/batch={epoch}")
+
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def gauge_stream(events: DataFrame, labels: Sequence[str], value: str, stamp: str, tie: str, table: str, checkpoint: str) -> StreamingQuery:
+    """Latest values: each batch appends its newest value per label set, readers take the newest of those."""
+    newest = F.struct(stamp, tie, F.col(value).alias("value"))
+    return each_batch(events, lambda batch, _: batch.groupBy(*labels).agg(F.max(newest).alias("newest")), table, checkpoint)
+
+
+def read_gauges(spark: SparkSession, table: str, labels: Sequence[str], stamp: str) -> DataFrame:
+    last = spark.read.parquet(table).groupBy(*labels).agg(F.max("newest").alias("newest"))
+    return last.select(*labels, F.col("newest.value").alias("value"), F.col(f"newest.{stamp}").alias("updated_at"))
+
+
+def histogram_stream(events: DataFrame, labels: Sequence[str], value: str, table: str, checkpoint: str, bounds: Sequence[float] = monitor.LATENCY_BUCKETS) -> StreamingQuery:
+    """Cumulative bucket counts: each batch appends its own, readers add them up."""
+    return each_batch(events, lambda batch, _: monitor.histograms(batch, labels, value, bounds), table, checkpoint)
+
+
+def read_histograms(spark: SparkSession, table: str, labels: Sequence[str]) -> DataFrame:
+    return spark.read.parquet(table).groupBy(*labels, "le").agg(F.sum("cumulative").alias("cumulative"), F.sum("total_value").alias("total_value"))
+
+
+def newest_stream(log: DataFrame, n: int, table: str, checkpoint: str, stamp: str = "timestamp", tie: str = "request_id") -> StreamingQuery:
+    """The bounded buffer: after every batch ``table/batch=<number>`` holds the newest ``n`` rows so far.
+
+    A batch starts from the buffer of the batch before it, so a replayed one gives the same rows.
+    """
+
+    def merged(batch: DataFrame, epoch: int) -> DataFrame:
+        if epoch:
+            batch = batch.unionByName(batch.sparkSession.read.schema(batch.schema).parquet(f"{table}/batch={epoch - 1}"))
+        return monitor.newest(batch, n, stamp, tie)
+
+    return each_batch(log, merged, table, checkpoint)
+
+
+def read_newest(spark: SparkSession, table: str) -> DataFrame:
+    rows = spark.read.parquet(table)
+    return rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0]).drop("batch")
+
+
+def alert_stream(cells: DataFrame, baselines: DataFrame, table: str, checkpoint: str, threshold: float = 0.05, hours: int = 24) -> StreamingQuery:
+    """Degradation of every window that closes, and its alerts by channel, from the stream of window counts (``window_cells``).
+
+    All counts of a window leave the aggregation in the micro-batch that closes it, so each batch holds whole windows.
+    """
+
+    def alerts(batch: DataFrame, _: int) -> DataFrame:
+        windows = monitor.metrics_from_cells(batch, ["window_start", "model_version"]).withColumn("window_end", F.col("window_start") + hours * 3600)
+        return monitor.route_alerts(monitor.performance_alerts(monitor.degradation(windows, baselines, threshold=threshold)))
+
+    return each_batch(cells, alerts, table, checkpoint)
+
+
 def rate_limit_stream(log: DataFrame, client: str, scope: str, stamp: str, tie: str) -> DataFrame:
     """Token buckets as state per (client, scope): tokens and the time of the last request.
 
