@@ -378,3 +378,41 @@ def saved_preparation(t: Tables):
     prep.save(t.spark, path)
     _, prod = sides(t)
     return column_means(transform.Preparation.load(t.spark, path).transform(prod.select(*PREP_COLS)))
+
+
+# training rows read the totals of the other folds, production rows all of them
+TARGET_CONFIG = {
+    "p_partkey": ColumnConfig("p_partkey", outlier="none", scaling="none", imputation="none"),
+    "p_brand": ColumnConfig("p_brand", expected_dtype="object", imputation="mode", outlier="none", scaling="none", encoding="target"),
+}
+
+
+@query(
+    "prepare_with_target_encoding",
+    f"""{PARTS}, t AS (SELECT *, floor(('0x' || substr(md5(p_partkey::VARCHAR || ':42'), 1, 8))::BIGINT / 4294967296.0 * 5)::INT AS fold, p_retailprice AS y FROM ref), f AS (SELECT DISTINCT fold FROM t),
+    w AS (SELECT f.fold, avg(y) AS m, var_pop(y) AS v FROM f JOIN t ON t.fold <> f.fold GROUP BY 1), c AS (SELECT f.fold, p_brand, count(*) AS n, avg(y) AS mean, var_pop(y) AS var FROM f JOIN t ON t.fold <> f.fold GROUP BY ALL),
+    own AS (SELECT t.p_brand, t.fold, coalesce({SHRINK}, m) AS code FROM t JOIN w USING (fold) LEFT JOIN c USING (p_brand, fold)),
+    w2 AS (SELECT avg(y) AS m, var_pop(y) AS v FROM t), c2 AS (SELECT p_brand, count(*) AS n, avg(y) AS mean, var_pop(y) AS var FROM t GROUP BY 1),
+    other AS (SELECT p.p_brand, coalesce({SHRINK}, m) AS code FROM prod p LEFT JOIN c2 USING (p_brand), w2)
+    SELECT 'reference' AS side, round(code, 1) AS code, count(*) AS rows FROM own GROUP BY ALL UNION ALL SELECT 'production', round(code, 1), count(*) FROM other GROUP BY ALL""",
+)
+def prepare_with_target_encoding(t: Tables):
+    ref, prod = parts(t)
+    cols = ["p_partkey", "p_brand", "p_retailprice"]
+    _, training, ready = transform.prepare(ref.select(*cols), prod.select(*cols), TARGET_CONFIG, "p_retailprice", order_by=["p_partkey"])
+    side = lambda df, name: df.select(F.lit(name).alias("side"), F.round(F.col("p_brand").cast("double"), 1).alias("code"))
+    return side(training, "reference").unionAll(side(ready, "production")).groupBy("side", "code").agg(F.count("*").alias("rows"))
+
+
+@query("stream_saved_preparation", PREP_SQL)
+def stream_saved_preparation(t: Tables):
+    from ..session import scratch_path
+    from ..streaming import streams
+
+    prep, _, _ = fitted(t)
+    path = scratch_path(t.spark, "preparation")
+    prep.save(t.spark, path)
+    _, prod = sides(t)
+    prod.select(*PREP_COLS).write.parquet(f"{path}/incoming")
+    incoming = streams.read_stream(t.spark, f"{path}/incoming", t.spark.read.parquet(f"{path}/incoming").schema)
+    return column_means(streams.drain(transform.Preparation.load(t.spark, path).transform(incoming), "prepared"))

@@ -243,8 +243,8 @@ def slice_columns(df: DataFrame, candidates: Sequence[str] | None = None, most:
     return [c for c in cols if 2 <= unique.get(c, 0) <= 10][:most]
 
 
-def processing_audit(before: DataFrame, after: DataFrame, step: str = "process") -> DataFrame:
-    """Rows and columns in and out, dropped and added columns."""
+def processing_audit(before: DataFrame, after: DataFrame, step: str = "process", seconds: float | None = None, warnings: Sequence[str] = ()) -> DataFrame:
+    """Rows and columns in and out, dropped and added columns, how long the step took and what it warns of."""
     lost = sorted(set(before.columns) - set(after.columns))
     new = sorted(set(after.columns) - set(before.columns))
 
@@ -260,5 +260,6 @@ def processing_audit(before: DataFrame, after: DataFrame, step: str = "process")
         F.lit(len(after.columns)).cast("long").alias("columns_out"),
         names(lost).alias("dropped_columns"),
         names(new).alias("added_columns"),
-        F.when(F.col("rows_out") < F.col("rows_in"), F.array(F.lit("rows_removed"))).otherwise(F.array().cast("array<string>")).alias("warnings"),
+        F.concat(F.when(F.col("rows_out") < F.col("rows_in"), F.array(F.lit("rows_removed"))).otherwise(F.array().cast("array<string>")), names(list(warnings))).alias("warnings"),
+        F.lit(seconds).cast("double").alias("seconds"),
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field, replace
 
@@ -13,66 +14,79 @@ from ..functions.frames import local_frame
 from ..functions.quantiles import clean_double, exact_quantiles
 from ..session import materialize, scratch_path
 from . import clean
+from .evaluate import split_point
 from .knn import knn_impute
-from .profile import ColumnConfig, check_config, route_columns
+from .profile import ColumnConfig, check_config, processing_audit, route_columns
 
 # A lookup up to this many categories is collected and becomes a local relation that is broadcast;
 # a larger one is written below the shared folder and joined without a hint.
 LOOKUP_LIMIT = 50_000
 # Categories of one range when they are put in order by many tasks.
 RANGE_KEYS = 1_000_000
+# Column that carries the fold of a training row through the preparation.
+FOLD = "__part"
 
 
 # ---- outliers ---------------------------------------------------------------------------------------------
 
 
-def fit_outliers(df: DataFrame, strategies: Mapping[str, str], lower: float = 0.01, upper: float = 0.99, z: float = 3.5, min_values: int = 10) -> dict[str, dict]:
-    """Bounds or shift per column: one aggregate and one quantile pass."""
-    cols = [c for c, s in strategies.items() if s != "none"]
-    if not cols:
+@dataclass(frozen=True)
+class Limits:
+    """What an outlier treatment learned: bounds to clip to, or the shift of a logarithm."""
+
+    lower: float | None = None
+    upper: float | None = None
+    shift: float | None = None
+
+    @classmethod
+    def around(cls, low: float, high: float, reach: float) -> "Limits":
+        return cls(low - reach, high + reach)
+
+
+def _quartile_limits(q: Sequence[float], _: Mapping[str, float], z: float) -> Limits:
+    return Limits.around(q[0], q[1], 1.5 * (q[1] - q[0]))
+
+
+def _deviation_limits(_: Sequence[float], m: Mapping[str, float], z: float) -> Limits:
+    return Limits.around(m["mean"], m["mean"], z * (m["std"] if m["std"] > 1e-10 else 1.0))
+
+
+#: Strategy -> (quantiles it needs; "tails" stands for the caller's, limits from those quantiles and the column's moments).
+OUTLIER_RULES = {
+    "clip": ("tails", lambda q, m, z: Limits(*q)),
+    "iqr_clip": ((0.25, 0.75), _quartile_limits),
+    "iqr_remove": ((0.25, 0.75), _quartile_limits),
+    "zscore_clip": ((), _deviation_limits),
+    "log": ((), lambda q, m, z: Limits(shift=1.0 - m["min"] if m["min"] <= 0 else 0.0)),
+}
+
+
+def fit_outliers(df: DataFrame, strategies: Mapping[str, str], lower: float = 0.01, upper: float = 0.99, z: float = 3.5, min_values: int = 10) -> dict[str, Limits]:
+    """Limits per column: one aggregate and one quantile pass. Columns with fewer than ``min_values`` values stay as they are."""
+    wanted = {c: OUTLIER_RULES.get(s) for c, s in strategies.items() if s != "none"}
+    if unknown := [c for c, rule in wanted.items() if rule is None]:
+        raise ValueError(f"{unknown[0]}: unknown outlier strategy {strategies[unknown[0]]!r}")
+    if not wanted:
         return {}
-    df = df.select(*[clean_double(F.col(c)).alias(c) for c in cols])
-    aggs = []
-    for c in cols:
-        aggs += [F.count(c).alias(f"n|{c}"), F.avg(c).alias(f"mean|{c}"), F.stddev_pop(c).alias(f"std|{c}"), F.min(c).alias(f"min|{c}")]
-    row = df.agg(*aggs).first().asDict()
-    cols = [c for c in cols if row[f"n|{c}"] >= min_values]
-    probs = {}
-    for c in cols:
-        if strategies[c] == "clip":
-            probs[c] = [lower, upper]
-        elif strategies[c] in ("iqr_clip", "iqr_remove"):
-            probs[c] = [0.25, 0.75]
-    quantiles = exact_quantiles(df, probs, n={c: row[f"n|{c}"] for c in probs})
-    out = {}
-    for c in cols:
-        kind = strategies[c]
-        if kind == "clip":
-            out[c] = {"strategy": "clip", "lower": quantiles[c][0], "upper": quantiles[c][1]}
-        elif kind in ("iqr_clip", "iqr_remove"):
-            q1, q3 = quantiles[c]
-            out[c] = {"strategy": "iqr_clip", "lower": q1 - 1.5 * (q3 - q1), "upper": q3 + 1.5 * (q3 - q1)}
-        elif kind == "zscore_clip":
-            std = row[f"std|{c}"] if row[f"std|{c}"] > 1e-10 else 1.0
-            out[c] = {"strategy": "zscore_clip", "lower": row[f"mean|{c}"] - z * std, "upper": row[f"mean|{c}"] + z * std}
-        elif kind == "log":
-            low = row[f"min|{c}"]
-            out[c] = {"strategy": "log", "shift": abs(low) + 1.0 if low <= 0 else 0.0}
-        else:
-            raise ValueError(f"{c}: unknown outlier strategy {kind!r}")
-    return out
+    df = df.select(*[clean_double(F.col(c)).alias(c) for c in wanted])
+    moments = {"n": F.count, "mean": F.avg, "std": F.stddev_pop, "min": F.min}
+    row = df.agg(*[F.struct(*[f(c).alias(k) for k, f in moments.items()]).alias(c) for c in wanted]).first()
+    learned = {c: row[c].asDict() for c in wanted if row[c]["n"] >= min_values}
+    probs = {c: [lower, upper] if wanted[c][0] == "tails" else list(wanted[c][0]) for c in learned}
+    quantiles = exact_quantiles(df, {c: p for c, p in probs.items() if p}, n={c: learned[c]["n"] for c, p in probs.items() if p})
+    return {c: wanted[c][1](quantiles.get(c, ()), m, z) for c, m in learned.items()}
 
 
-def outlier_expr(col: Column, params: dict | None) -> Column:
-    if params is None:
+def outlier_expr(col: Column, limits: Limits | None) -> Column:
+    if limits is None:
         return col
-    if params["strategy"] == "log":
+    if limits.shift is not None:
         # A value below the fitted minimum has no logarithm; it counts as missing.
-        return F.when(col + params["shift"] > -1.0, F.log1p(col + params["shift"]))
-    return F.when(col.isNotNull(), F.greatest(F.least(col, F.lit(params["upper"])), F.lit(params["lower"])))
+        return F.when(col + limits.shift > -1.0, F.log1p(col + limits.shift))
+    return F.when(col.isNotNull(), F.greatest(F.least(col, F.lit(limits.upper)), F.lit(limits.lower)))
 
 
-def apply_outliers(df: DataFrame, params: Mapping[str, dict]) -> DataFrame:
+def apply_outliers(df: DataFrame, params: Mapping[str, Limits]) -> DataFrame:
     return df.withColumns({c: outlier_expr(F.col(c).cast("double"), p) for c, p in params.items() if c in df.columns})
 
 
@@ -334,7 +348,7 @@ class Preparation:
     columns: dict[str, str]
     configs: dict[str, ColumnConfig]
     routes: dict[str, list[str]]
-    outliers: dict[str, dict]
+    outliers: dict[str, Limits]
     fills: dict[str, object]
     scalers: dict[str, dict]
     lookups: dict[str, Lookup] = field(default_factory=dict)
@@ -343,14 +357,18 @@ class Preparation:
     constants: list[str] = field(default_factory=list)
     target: str | None = None
     donors: str | None = None
+    #: Features that all but give the target away, found on the training rows.
+    leaks: list[str] = field(default_factory=list)
 
     def fixed(self, df: DataFrame) -> DataFrame:
-        """Alignment, value fixes and outlier treatment; the target rides along."""
+        """Alignment, value fixes and outlier treatment; the target and the fold of a training row ride along."""
         keep = [self.target] if self.target in df.columns else []
-        carried = df.select(*[F.col(c).alias(f"__{c}") for c in keep], *[c for c in df.columns if c in self.columns])
+        own = [c for c in (FOLD,) if c in df.columns]
+        carried = df.select(*[F.col(c).alias(f"__{c}") for c in keep], *own, *[c for c in df.columns if c in self.columns])
         have = set(carried.columns)
         aligned = carried.select(
             *[f"__{c}" for c in keep],
+            *own,
             *[(F.col(c) if c in have else F.lit(None)).cast(kind).alias(c) for c, kind in self.columns.items()],
         )
         return apply_outliers(clean.fix_types(aligned, self.configs), self.outliers)
@@ -364,7 +382,10 @@ class Preparation:
         filled = {c: F.coalesce(F.col(c).cast("string"), F.lit(self.fills[c])) for c in cats if self.fills.get(c) is not None}
         out = out.withColumns(filled) if filled else out
         for c in self.routes["ordinal"] + self.routes["frequency"] + self.routes["target"]:
-            out = apply_lookup(out, c, self.lookups[c], f"{c}__code")
+            if c in self.routes["target"] and FOLD in out.columns:
+                out = cross_fit_target(out, c, f"__{self.target}", F.col(FOLD), f"{c}__code")
+            else:
+                out = apply_lookup(out, c, self.lookups[c], f"{c}__code")
         keep = [c for c in out.columns if c == f"__{self.target}"]
         cells = []
         for c in self.routes["numeric"] + self.routes["knn"]:
@@ -381,13 +402,22 @@ class Preparation:
         wide = wide.select(*[c for c in wide.columns if c not in self.constants])
         return clean.finish(clean.drop_non_numeric(wide, own), own)
 
+    def training_rows(self, df: DataFrame, key: Sequence[str], folds: int = 5, seed: int = 42) -> DataFrame:
+        """``transform`` for the rows the preparation was fitted on: target encodings come from the other folds only.
+
+        A row's fold is a hash of its ``key``, so its own target never reaches its features.
+        """
+        if not self.routes["target"]:
+            return self.transform(df)
+        return self.transform(df.withColumn(FOLD, F.floor(split_point(key, seed) * folds)))
+
     # -- persistence --
 
     def params(self, spark: SparkSession) -> DataFrame:
         """Everything learned as ``(column, key, value)`` rows."""
         rows = [("", "columns", json.dumps(self.columns)), ("", "routes", json.dumps(self.routes)), ("", "target", json.dumps(self.target))]
-        rows += [("", "constants", json.dumps(self.constants)), ("", "dropped", json.dumps(self.dropped)), ("", "donors", json.dumps(self.donors))]
-        for key, values in (("outlier", self.outliers), ("fill", self.fills), ("scaler", self.scalers), ("onehot", self.onehot)):
+        rows += [("", "constants", json.dumps(self.constants)), ("", "dropped", json.dumps(self.dropped)), ("", "donors", json.dumps(self.donors)), ("", "leaks", json.dumps(self.leaks))]
+        for key, values in (("outlier", {c: asdict(v) for c, v in self.outliers.items()}), ("fill", self.fills), ("scaler", self.scalers), ("onehot", self.onehot)):
             rows += [(c, key, json.dumps(v)) for c, v in values.items()]
         rows += [(c, "config", json.dumps(asdict(v))) for c, v in self.configs.items()]
         rows += [(c, "lookup", json.dumps(asdict(v))) for c, v in self.lookups.items()]
@@ -417,9 +447,9 @@ class Preparation:
         one = lambda key: by[key][""]
         below = lambda name: None if name is None else f"{path}/{name}"
         return cls(
-            one("columns"), configs, one("routes"), by.get("outlier", {}), by.get("fill", {}), by.get("scaler", {}),
+            one("columns"), configs, one("routes"), {c: Limits(**v) for c, v in by.get("outlier", {}).items()}, by.get("fill", {}), by.get("scaler", {}),
             {c: Lookup(**v | {"path": below(v["path"])}) for c, v in by.get("lookup", {}).items()},
-            by.get("onehot", {}), one("dropped"), one("constants"), one("target"), below(one("donors")),
+            by.get("onehot", {}), one("dropped"), one("constants"), one("target"), below(one("donors")), one("leaks"),
         )
 
 
@@ -493,11 +523,27 @@ def _encode_from_counts(prep: Preparation, counts: dict[str, dict[str, int]], fi
 
 
 def prepare(
-    ref: DataFrame, prod: DataFrame, configs: Mapping[str, ColumnConfig], target: str | None = None, order_by: Sequence[str] | None = None
+    ref: DataFrame, prod: DataFrame, configs: Mapping[str, ColumnConfig], target: str | None = None, order_by: Sequence[str] | None = None, audit: list[DataFrame] | None = None
 ) -> tuple[Preparation, DataFrame, DataFrame]:
-    """Deduplicate the reference, fit on it, apply to both tables."""
+    """Deduplicate the reference, fit on it, apply to both tables; the reference gets out-of-fold target encodings.
+
+    Features that leak the target are named in ``leaks``. ``audit`` takes a report row for each step, with its duration.
+    """
     features, _ = clean.split_target(ref, target)
+    key = list(order_by or ref.columns)
+    started = time.monotonic()
     # every fitting stage reads the distinct rows again, so the shuffle behind them runs once
-    distinct = materialize(clean.keep_first(ref, features, order_by or [c for c in ref.columns]), "reference")
+    distinct = materialize(clean.keep_first(ref, features, key), "reference")
+    deduplicated = time.monotonic()
     prep = fit_preparation(distinct, configs, target)
-    return prep, prep.transform(distinct), prep.transform(prod)
+    training, ready = prep.training_rows(distinct, key), prep.transform(prod)
+    if target:
+        prep.leaks = sorted(r.feature for r in leakage(training, target).where("leaks").collect())
+    fitted = time.monotonic()
+    if audit is not None:
+        audit += [
+            processing_audit(ref, distinct, "deduplicate", deduplicated - started),
+            processing_audit(distinct, training, "prepare_reference", fitted - deduplicated, [f"leaks_target:{c}" for c in prep.leaks]),
+            processing_audit(prod, ready, "prepare_production"),
+        ]
+    return prep, training, ready

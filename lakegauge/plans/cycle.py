@@ -65,9 +65,8 @@ def run_cycle(
 
     features = [c for c in reference.columns if c not in key]
     configs = profile.auto_config(reference.select(*features), target)
-    prep = transform.fit_preparation(reference.select(*features), configs, target)
-    ref_ready = materialize(prep.transform(reference.select(*features)), "reference-ready")
-    prod_ready = materialize(prep.transform(production.select(*features)), "production-ready")
+    prep, training, ready = transform.prepare(reference.select(*features), production.select(*features), configs, target)
+    ref_ready, prod_ready = materialize(training, "reference-ready"), materialize(ready, "production-ready")
     names = [c for c in prod_ready.columns if c != target]
     out.steps.append(("prepare", f"{len(names)} features"))
 

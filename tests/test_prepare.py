@@ -89,3 +89,27 @@ def test_value_fixes(spark):
         clean.null_tokens(F.col("a")).alias("a"), clean.numeric_text(F.col("b")).alias("b"), clean.bool_words(F.col("c")).alias("c"), clean.date_epoch(F.col("d"), "yyyy-MM-dd").alias("d")
     ).collect()
     assert tuple(row[0]) == (None, 1200.5, 1.0, 1704153600.0) and tuple(row[1]) == ("ok", None, 0.0, None)
+
+
+def test_training_rows_never_see_their_own_target(spark):
+    # every category holds one row: out of fold it is unknown, so all rows of a fold get that fold's mean of the others
+    rows = [(i, f"c{i}", float(i % 7)) for i in range(60)]
+    ref = spark.createDataFrame(rows, "k long, c string, y double")
+    configs = {
+        "k": profile.ColumnConfig("k", outlier="none", scaling="none", imputation="none"),
+        "c": profile.ColumnConfig("c", imputation="mode", outlier="none", scaling="none", encoding="target"),
+    }
+    audit = []
+    prep, training, _ = transform.prepare(ref, ref.limit(5), configs, "y", order_by=["k"], audit=audit)
+    assert len({round(r.c, 4) for r in training.collect()}) <= 5
+    assert len({round(r.c, 4) for r in prep.transform(ref).collect()}) >= 1 and prep.leaks == []
+    report = {r.step: r for a in audit for r in a.collect()}
+    assert report["deduplicate"].rows_in == 60 and report["deduplicate"].seconds > 0 and report["prepare_production"].rows_out == 5
+
+
+def test_a_feature_that_is_the_target_is_named(spark):
+    ref = spark.createDataFrame([(float(i), float(i * 3 % 17), float(2 * i)) for i in range(80)], "a double, b double, y double")
+    configs = {c: profile.ColumnConfig(c, outlier="none", scaling="standard") for c in ("a", "b")}
+    audit = []
+    prep, _, _ = transform.prepare(ref, ref, configs, "y", audit=audit)
+    assert prep.leaks == ["a"] and "leaks_target:a" in audit[1].first()["warnings"]
