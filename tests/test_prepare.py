@@ -97,7 +97,7 @@ def test_training_rows_never_see_their_own_target(spark):
     ref = spark.createDataFrame(rows, "k long, c string, y double")
     configs = {
         "k": profile.ColumnConfig("k", outlier="none", scaling="none", imputation="none"),
-        "c": profile.ColumnConfig("c", imputation="mode", outlier="none", scaling="none", encoding="target"),
+        "c": profile.ColumnConfig("c", expected_dtype="object", imputation="mode", outlier="none", scaling="none", encoding="target"),
     }
     audit = []
     prep, training, _ = transform.prepare(ref, ref.limit(5), configs, "y", order_by=["k"], audit=audit)
