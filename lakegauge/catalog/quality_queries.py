@@ -300,9 +300,18 @@ def sensitive_snapshot(t: Tables):
     return rounded(out.select("column", "null_count", "unique", "mean"), 4)
 
 
-@query("content_hash")
+HASH_TEXT = " || ".join(f"coalesce(length({c}) || ':' || {c}, '~')" for c in ("k", "c", "s", "p", "d", "o"))
+
+
+@query(
+    "content_hash",
+    "WITH r AS (SELECT o_orderkey::VARCHAR AS k, o_custkey::VARCHAR AS c, o_orderstatus AS s, o_totalprice::DECIMAL(18, 2)::VARCHAR AS p, o_orderdate::VARCHAR AS d, o_orderpriority AS o FROM orders), "
+    f"h AS (SELECT md5({HASH_TEXT}) AS h FROM r), q AS (SELECT count(*) AS n, " + ", ".join(f"sum(('0x' || substr(h, {1 + 8 * i}, 8))::BIGINT) AS q{i}" for i in range(4)) + " FROM h) "
+    "SELECT n, substr(sha256(concat_ws('|', n, q0, q1, q2, q3)), 1, 16) AS data_hash FROM q",
+)
 def content_hash(t: Tables):
-    return profile.content_hash(t.orders)
+    names = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+    return profile.content_hash(t.orders.select(*names).withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(18,2)")))
 
 
 MIXED = "c_name, c_nationkey, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_acctbal END AS c_acctbal, c_mktsegment, CASE WHEN c_nationkey < 12 THEN 'low' ELSE 'high' END AS half, CAST(c_nationkey AS VARCHAR(9)) AS nation_text, c_acctbal * c_acctbal * c_acctbal * c_acctbal * c_acctbal * c_acctbal * c_acctbal * c_acctbal * c_acctbal * c_acctbal AS tail"

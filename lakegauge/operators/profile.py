@@ -113,12 +113,15 @@ def top5(df: DataFrame, sensitive: Sequence[str] = (), k: int = 5) -> DataFrame:
 
 
 def content_hash(df: DataFrame) -> DataFrame:
-    """16 hex digits that depend on the rows but not on their order or partitioning."""
-    # The hash skips NULLs, so which columns are NULL goes in as well.
-    row_hash = F.xxhash64(*[e for c in df.columns for e in (F.col(c).isNull(), F.col(c))])
-    low, high = row_hash.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(row_hash, 32)
-    parts = df.agg(F.count("*").alias("n"), F.sum(low).alias("lo"), F.sum(high).alias("hi"), F.bit_xor(row_hash).alias("x"))
-    return parts.select("n", F.substring(F.sha2(F.concat_ws("|", "n", "lo", "hi", "x"), 256), 1, 16).alias("data_hash"))
+    """16 hex digits that depend on the rows, repeated ones included, but not on their order or partitioning.
+
+    They come from sums over the quarters of each row's MD5, which have room for any number of rows.
+    """
+    # each value goes in with its length, NULL without one, so that no two rows share a text
+    text = F.concat(*[F.coalesce(F.concat(F.length(v), F.lit(":"), v), F.lit("~")) for v in (F.col(c).cast("string") for c in df.columns)])
+    quarters = [F.conv(F.substring("h", 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)") for i in range(4)]
+    parts = df.select(F.md5(text).alias("h")).agg(F.count("*").alias("n"), *[F.coalesce(F.sum(q), F.lit(0)).alias(f"q{i}") for i, q in enumerate(quarters)])
+    return parts.select("n", F.substring(F.sha2(F.concat_ws("|", "n", *[f"q{i}" for i in range(4)]), 256), 1, 16).alias("data_hash"))
 
 
 # ---- automatic column configuration -----------------------------------------------------------------------
