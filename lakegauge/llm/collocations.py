@@ -42,7 +42,7 @@ class Words:
         ends = np.flatnonzero(word & after) + 1
         place = np.zeros(len(starts) + 1, dtype=np.int64)
         np.cumsum(ends - starts, out=place[1:])
-        self.piece = np.cumsum(kind == 2)[starts] + doc[starts].astype(np.int64)
+        self.piece = np.cumsum(kind == 2, dtype=np.int32)[starts] + doc[starts]
         lower = data[word]
         lower = np.where((lower >= 65) & (lower <= 90), lower + 32, lower).astype(np.uint8)
         texts = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(place), pa.py_buffer(lower)]).dictionary_encode()
@@ -76,7 +76,7 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, list[str]
                     break
                 end += 65536
             end = min(end, len(data))
-            doc = np.repeat(np.arange(len(offsets) - 1), np.diff(np.clip(offsets, start, end)))
+            doc = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(np.clip(offsets, start, end)))
             yield Words(data[start:end], doc, lang), names
             start = end
 
