@@ -88,3 +88,20 @@ def test_hold_needs_an_unbroken_run(spark, tmp_path):
     got = streams.drain(streams.hold_stream(s, "model", "ts", "bad", 60, 240)).collect()
     start = int(at(4).replace(tzinfo=dt.timezone.utc).timestamp())
     assert [(r.since, r.fires_at) for r in got] == [(start, start + 240)]
+
+
+def test_buffer_gauges_and_histograms_over_batches(spark, feed, tmp_path):
+    folder, add = feed
+    rows = [(i, at(i % 7, i), i % 3 == 0) for i in range(30)]
+    for part in (rows[:10], rows[10:20], rows[20:]):
+        add(part)
+    source = lambda: stream(spark, folder)
+    path = lambda name: str(tmp_path / name)
+    streams.newest_stream(source(), 8, path("new"), path("new-check"), "ts", "id").awaitTermination()
+    got = {r.id for r in streams.read_newest(spark, path("new")).collect()}
+    assert got == {i for i, _, _ in sorted(rows, key=lambda r: (r[1], r[0]))[-8:]}
+    streams.gauge_stream(source(), ["client"], "id", "ts", "id", path("gauge"), path("gauge-check")).awaitTermination()
+    assert [r.value for r in streams.read_gauges(spark, path("gauge"), ["client"], "ts").collect()] == [max(rows, key=lambda r: (r[1], r[0]))[0]]
+    streams.histogram_stream(source(), ["client"], "id", path("hist"), path("hist-check")).awaitTermination()
+    counts = {r.le: r.cumulative for r in streams.read_histograms(spark, path("hist"), ["client"]).collect()}
+    assert counts["10"] == 11 and counts["25"] == 26 and counts["inf"] == 30
