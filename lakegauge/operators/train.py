@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping, Sequence
+import threading
+import time
+import uuid
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor, TimeoutError as FutureTimeout
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -19,6 +25,8 @@ from ..session import materialize
 from . import dataset, evaluate, registry
 
 MAX_STRATA = 50
+#: Rows of a class that one task sorts, on average; and rows of a table that is sent to every task.
+BUCKET_ROWS, SMALL_SIDE = 1 << 15, 10_000
 
 
 # ---- splits and folds -------------------------------------------------------------------------------------
@@ -30,32 +38,44 @@ def hash_order(key: Sequence[str], seed: int) -> Column:
     return F.md5(text)
 
 
-def ranked(df: DataFrame, strata: str | None, key: Sequence[str], seed: int, digits: int = 2) -> DataFrame:
+def ranked(df: DataFrame, strata: str | None, key: Sequence[str], seed: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Add ``__rank`` (1-based) inside each stratum in hash order, and the stratum size ``__size``.
 
-    A window over a whole stratum would sort it in one task. The leading hash digits cut every stratum into
-    ``16 ** digits`` even buckets; the bucket counts, a bounded table, give each bucket its first rank.
+    A window over a whole stratum would sort it in one task. The leading hash digits cut a stratum into buckets of at
+    most ``bucket_rows`` rows on average: as many digits as its size asks for, none for a small one. The counts of the
+    buckets are a table; each gets its first rank digit by digit, from the at most 15 siblings in front of it.
     """
     # a null class is one of its own, whatever the other classes are called
     stratum = F.concat(F.lit("="), F.col(strata).cast("string")) if strata else F.lit("all")
     rows = df.withColumns({"__stratum": F.coalesce(stratum, F.lit("")), "__order": hash_order(key, seed)})
-    rows = rows.withColumn("__bucket", F.substring("__order", 1, digits))
-    counts = rows.groupBy("__stratum", "__bucket").agg(F.count("*").alias("n")).collect()
-    by: dict[str, list] = {}
-    for r in sorted(counts, key=lambda r: (r["__stratum"], r["__bucket"])):
-        by.setdefault(r["__stratum"], []).append((r["__bucket"], r["n"]))
-    offsets = []
-    for s, cells in by.items():
-        size, seen = sum(n for _, n in cells), 0
-        for b, n in cells:
-            offsets.append((s, b, seen, size))
-            seen += n
-    table = local_frame(df.sparkSession, offsets, "__stratum string, __bucket string, __before long, __size long")
+    sizes = materialize(rows.groupBy("__stratum").agg(F.count("*").alias("__size")), "strata")
+    classes, largest = sizes.agg(F.count("*"), F.coalesce(F.max("__size"), F.lit(0))).first()
+    depth = digits_for(largest, bucket_rows)
+    digits = sum((F.col("__size") > bucket_rows * 16**d).cast("int") for d in range(depth)) if depth else F.lit(0)
+    rows = rows.join(F.broadcast(sizes) if classes <= SMALL_SIDE else sizes, "__stratum").withColumn("__bucket", F.substring("__order", F.lit(1), digits))
+    leaves = materialize(rows.groupBy("__stratum", "__bucket").agg(F.count("*").alias("n")), "strata-buckets")
+    offsets = leaves.select("__stratum", "__bucket", F.lit(0).cast("long").alias("__before"))
+    for d in range(1, depth + 1):
+        nodes = leaves.where(F.length("__bucket") >= d).groupBy("__stratum", F.substring("__bucket", 1, d).alias("__node")).agg(F.sum("n").alias("n"))
+        siblings = Window.partitionBy("__stratum", F.substring("__node", 1, d - 1)).orderBy("__node").rowsBetween(Window.unboundedPreceding, -1)
+        ahead = nodes.select("__stratum", "__node", F.coalesce(F.sum("n").over(siblings), F.lit(0)).alias("__ahead"))
+        own = offsets.withColumn("__node", F.when(F.length("__bucket") >= d, F.substring("__bucket", 1, d)))
+        offsets = own.join(ahead, ["__stratum", "__node"], "left").select("__stratum", "__bucket", (F.col("__before") + F.coalesce("__ahead", F.lit(0))).alias("__before"))
+    offsets = materialize(offsets, "strata-offsets")
+    few = offsets.limit(SMALL_SIDE + 1).count() <= SMALL_SIDE
     inside = Window.partitionBy("__stratum", "__bucket").orderBy("__order", *key)
-    joined = rows.join(F.broadcast(table), ["__stratum", "__bucket"])
+    joined = rows.join(F.broadcast(offsets) if few else offsets, ["__stratum", "__bucket"])
     return joined.withColumn("__rank", F.col("__before") + F.row_number().over(inside)).drop("__stratum", "__order", "__bucket", "__before")
 
 
+def digits_for(size: int, bucket_rows: int) -> int:
+    """Hash digits that cut ``size`` rows into buckets of at most ``bucket_rows`` on average."""
+    digits = 0
+    while size > bucket_rows * 16**digits:
+        digits += 1
+    return digits
+
+
 def few_classes(df: DataFrame, target: str, limit: int = MAX_STRATA) -> bool:
     return df.select(target).distinct().limit(limit).count() < limit
 
@@ -214,38 +234,109 @@ def search(
     overrides: Mapping | None = None,
     patience: int = 10,
     seed: int = 42,
+    parallel: int = 4,
+    budget: float | None = None,
+    weighted: bool = False,
+    early_stopping: bool = False,
 ) -> list[Trial]:
     """Seeded random draws, each cross-validated over the ``fold`` column; stops after ``patience`` draws without gain.
 
-    The assembled table is cached while the models are fitted.
+    ``parallel`` draws are fitted side by side, so that the cluster stays busy in the small jobs of a fit. Draws count in
+    their order, whichever ends first: the same draws are found whatever ``parallel`` is. ``budget`` seconds after the start
+    the jobs still running are cancelled by their tag and their draws dropped; the result may then be empty.
+    ``weighted`` draws weigh the classes by their ratio whether they ask for it or not. With ``early_stopping`` boosted trees
+    stop growing when the next fold, left out of the fit, gains no more. The assembled table is cached meanwhile.
     """
     rng = np.random.default_rng(seed)
     space = {**SPACES[family], **(overrides or {})}
     if not classification:
         space.pop("class_weight", None)
+    drawn = [draw(space, rng) for _ in range(trials)]
     data = assemble(df, features).select("features", label, "fold")
     data = spread(dataset.with_class_weights(data, label, "balanced_weight") if classification else data)
     sizes = {r["fold"]: r["count"] for r in data.groupBy("fold").count().collect()}
-    rows = sum(sizes.values())
+    rows, folds = sum(sizes.values()), sorted(sizes)
+    stops = early_stopping and family == "gradient_boosting" and len(folds) > 2
+
+    def scored(params: Mapping) -> Iterator[float]:
+        weight = "weight" if classification and (weighted or params.get("class_weight") in ("balanced", "balanced_subsample")) else None
+        for i, f in enumerate(folds):
+            own = data.where(F.col("fold") != f)
+            learner = estimator(family, params, classification, rows - sizes[f], label, weight, seed)
+            if stops:
+                own, learner = own.withColumn("stop", F.col("fold") == folds[(i + 1) % len(folds)]), learner.setValidationIndicatorCol("stop")
+            yield fold_score(score_rows(learner.fit(own), data.where(F.col("fold") == f), classification), label, scoring)
+
     found: list[Trial] = []
     best, stale = -math.inf, 0
-    for number in range(trials):
-        params = draw(space, rng)
-        weight = "weight" if classification and params.get("class_weight") in ("balanced", "balanced_subsample") else None
-        scores = []
-        for f, held in sorted(sizes.items()):
-            model = estimator(family, params, classification, rows - held, label, weight, seed).fit(data.where(F.col("fold") != f))
-            scores.append(fold_score(score_rows(model, data.where(F.col("fold") == f), classification), label, scoring))
-        known = [s for s in scores if s == s]
-        mean = float(np.mean(known)) if known else float("nan")
-        found.append(Trial(family, number, params, mean, float(np.std(known)) if known else float("nan")))
-        best, stale = (mean, 0) if mean > best else (best, stale + 1)
-        if stale >= patience:
-            break
+    with Trials(df.sparkSession, parallel, budget) as running:
+        for number, scores in running.results([partial(scored, p) for p in drawn]):
+            known = [s for s in scores if s == s]
+            mean = float(np.mean(known)) if known else float("nan")
+            found.append(Trial(family, number, drawn[number], mean, float(np.std(known)) if known else float("nan")))
+            best, stale = (mean, 0) if mean > best else (best, stale + 1)
+            if stale >= patience:
+                break
     data.unpersist()
     return found
 
 
+class Trials:
+    """Runs steps that submit Spark jobs on a few threads, under one job tag; leaving it ends whatever still runs."""
+
+    def __init__(self, spark, parallel: int, budget: float | None):
+        self.spark, self.tag = spark, f"trials-{uuid.uuid4().hex}"
+        self.ends = math.inf if budget is None else time.monotonic() + budget
+        self.over = threading.Event()
+        self.pool = ThreadPoolExecutor(max(1, parallel))
+
+    def __enter__(self) -> Trials:
+        return self
+
+    def results(self, steps: Sequence[Callable[[], Iterator[float]]]) -> Iterator[tuple[int, list[float]]]:
+        """(number, values) of the steps in their order, up to the end of the budget."""
+        waiting = [self.pool.submit(inheritable_thread_target(self.spark)(partial(self._run, s))) for s in steps]
+        for number, future in enumerate(waiting):
+            try:
+                yield number, future.result(None if self.ends == math.inf else max(0.0, self.ends - time.monotonic()))
+            except (FutureTimeout, Ended):
+                # a later draw may have ended in time
+                self.stop()
+
+    def _run(self, step: Callable[[], Iterator[float]]) -> list[float]:
+        out: list[float] = []
+        try:
+            if self.over.is_set():
+                raise Ended
+            self.spark.sparkContext.addJobTag(self.tag)
+            for value in step():
+                out.append(value)
+                if self.over.is_set():
+                    raise Ended
+            return out
+        except Exception as stopped:
+            # a cancelled job fails in a way of its own
+            raise (Ended() if self.over.is_set() else stopped)
+        finally:
+            self.spark.sparkContext.removeJobTag(self.tag)
+
+    def stop(self) -> None:
+        self.over.set()
+        self.spark.sparkContext.cancelJobsWithTag(self.tag)
+
+    def __exit__(self, *_) -> None:
+        self.over.set()
+        self.pool.shutdown(wait=False, cancel_futures=True)
+        while any(t.is_alive() for t in self.pool._threads):
+            # a fit submits its next job right after a cancelled one
+            self.spark.sparkContext.cancelJobsWithTag(self.tag)
+            time.sleep(0.05)
+
+
+class Ended(Exception):
+    """A step was given up."""
+
+
 def trial_table(spark, trials: Sequence[Trial]) -> DataFrame:
     import json
 
@@ -268,10 +359,12 @@ def cv_summary(scores: DataFrame, by: Sequence[str], score: str = "score") -> Da
 # ---- fitting, scoring, importance -------------------------------------------------------------------------
 
 
-def fit(df: DataFrame, features: Sequence[str], label: str, family: str, params: Mapping, classification: bool, weight: str | None = None, seed: int = 42) -> PipelineModel:
+def fit(df: DataFrame, features: Sequence[str], label: str, family: str, params: Mapping, classification: bool, weight: str | None = None, seed: int = 42, stop: str | None = None) -> PipelineModel:
+    """A fitted pipeline; boosted trees stop growing when the rows marked in ``stop``, left out of the fit, gain no more."""
     assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
-    data = spread(assembler.transform(df).select("features", label, *([weight] if weight else [])))
-    model = estimator(family, params, classification, data.count(), label, weight, seed).fit(data)
+    data = spread(assembler.transform(df).select("features", label, *[c for c in (weight, stop) if c]))
+    learner = estimator(family, params, classification, data.count(), label, weight, seed)
+    model = (learner.setValidationIndicatorCol(stop) if stop else learner).fit(data)
     data.unpersist()
     return PipelineModel([assembler, model])
 
@@ -362,8 +455,14 @@ def auto_train(
     families: Sequence[str] | None = None,
     overrides: Mapping[str, Mapping] | None = None,
     seed: int = 42,
+    budget: float | None = None,
+    parallel: int = 4,
 ) -> tuple[PipelineModel, DataFrame, DataFrame, float | None]:
-    """Profile, strategy, search per family, best one, final fit: (model, trials, validation metrics, threshold)."""
+    """Profile, strategy, search per family, best one, final fit: (model, trials, validation metrics, threshold).
+
+    ``budget`` seconds are the most that one family may search; a family that ends no draw in them is left out. The
+    strategy's class ratio weighs class 1 of two in boosted trees, its early stopping ends their growth.
+    """
     spark = df.sparkSession
     about = dataset.with_strategy(dataset.profile(df, features, target)).first()
     classification, category = about["is_classification"], about["category"]
@@ -374,17 +473,25 @@ def auto_train(
     names = [f for f in (families or about["strategy_families"]) if f in (CLASSIFIERS if classification else REGRESSORS)]
     if classification and about["n_classes"] > 2:
         names = [f for f in names if f != "gradient_boosting"]  # boosted trees take two classes only
+    stops = about["early_stopping_rounds"] is not None
     found: list[Trial] = []
     for family in names:
         changed = {**dataset.OVERRIDES[category].get(family, {}), **(overrides or {}).get(family, {})}
-        found += search(folded, features, target, family, classification, about["strategy_scoring"], trials, changed, seed=seed)
+        ratio = classification and about["n_classes"] == 2 and family == "gradient_boosting" and about["strategy_spw"] != 1.0
+        found += search(
+            folded, features, target, family, classification, about["strategy_scoring"], trials, changed,
+            seed=seed, parallel=parallel, budget=budget, weighted=ratio, early_stopping=stops,
+        )
+    if not any(t.mean == t.mean for t in found):
+        raise TimeoutError(f"no draw of {', '.join(names)} gave a score within its budget")
     table = trial_table(spark, found)
     row = best_family(table).first()
     pick = next(t for t in found if t.family == row["family"] and t.number == row["trial"])
     weight = None
     if classification and about["n_classes"] == 2 and (pick.params.get("class_weight") or about["use_sample_weight"]):
-        training, weight = dataset.with_class_weights(training, target, "balanced_weight"), "weight"
-    model = fit(training, features, target, pick.family, pick.params, classification, weight, seed)
+        folded, weight = dataset.with_class_weights(folded, target, "balanced_weight"), "weight"
+    stop = "stop" if stops and pick.family == "gradient_boosting" else None
+    model = fit(folded.withColumn("stop", F.col("fold") == 0), features, target, pick.family, pick.params, classification, weight, seed, stop)
     scored = score_rows(model, validation, classification)
     threshold = None
     if classification:

@@ -1,5 +1,7 @@
 """Dataset profile, metrics, comparison, decisions."""
 
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -163,3 +165,46 @@ def test_auto_train_picks_a_threshold(spark):
     over = {"logistic_regression": {"max_iter": [10], "penalty": ["l2"], "C": [1.0]}}
     model, trials, metrics, threshold = train.auto_train(df, ["a", "b"], "y", ["id"], trials=1, families=["logistic_regression"], overrides=over)
     assert trials.count() == 1 and metrics.first().accuracy > 0.8 and 0.05 <= threshold <= 0.95
+
+
+def test_ranks_follow_the_hash_in_classes_that_need_three_digits(spark):
+    df = spark.range(3000).select("id", F.when(F.col("id") < 2600, "big").when(F.col("id") < 2990, "small").when(F.col("id") < 2999, "tiny").alias("c"))
+    got = train.ranked(df, "c", ["id"], 7, bucket_rows=2)  # 2600 rows: three digits
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    rows = got.withColumn("h", train.hash_order(["id"], 7)).toPandas()
+    for c, own in rows.groupby(rows["c"].fillna("none")):
+        want = own.sort_values(["h", "id"]).reset_index(drop=True)
+        assert (want["__rank"] == np.arange(1, len(own) + 1)).all() and (own["__size"] == len(own)).all(), c
+    plain = train.ranked(df, None, ["id"], 7).toPandas().set_index("id")["__rank"]
+    cut = train.ranked(df, None, ["id"], 7, bucket_rows=5).toPandas().set_index("id")["__rank"]
+    assert plain.sort_index().equals(cut.sort_index()) and train.digits_for(2600, 2) == 3 and train.digits_for(0, 2) == 0
+    assert train.ranked(df.limit(0), "c", ["id"], 7).count() == 0
+
+
+def search_table(spark):
+    rows = [(float(i % 7), float(i % 5), int(i % 7 + i % 5 > 5), i % 3) for i in range(200)]
+    return spark.createDataFrame(rows, "a double, b double, y int, fold int").cache()
+
+
+def test_trials_side_by_side_find_what_one_after_another_finds(spark):
+    over = {"max_iter": [5], "penalty": ["l2"]}
+    one, four = (train.search(search_table(spark), ["a", "b"], "y", "logistic_regression", True, "accuracy", 5, over, patience=2, parallel=p) for p in (1, 4))
+    assert [(t.number, t.params, t.mean) for t in one] == [(t.number, t.params, t.mean) for t in four] and one
+
+
+def test_a_budget_ends_a_family(spark):
+    df, over = search_table(spark), {"n_estimators": [400], "max_depth": [5]}
+    start = time.monotonic()
+    found = train.search(df, ["a", "b"], "y", "gradient_boosting", True, "accuracy", 30, over, budget=2.0)
+    assert len(found) < 30 and time.monotonic() - start < 60
+    assert not spark.sparkContext.statusTracker().getActiveJobsIds()
+    assert spark.range(10).count() == 10  # the session goes on
+    with pytest.raises(TimeoutError):
+        train.auto_train(df.withColumn("id", F.monotonically_increasing_id()), ["a", "b"], "y", ["id"], families=["gradient_boosting"], overrides={"gradient_boosting": over}, budget=0.01)
+
+
+def test_boosting_stops_early(spark):
+    noisy = F.when(F.pmod(F.xxhash64("a", "b", "y", F.monotonically_increasing_id()), F.lit(3)) == 0, 1 - F.col("y")).otherwise(F.col("y"))
+    df = search_table(spark).withColumn("y", noisy).withColumn("stop", F.col("fold") == 0)
+    grown, stopped = (train.fit(df, ["a", "b"], "y", "gradient_boosting", {"n_estimators": 60, "max_depth": 3}, True, stop=s).stages[-1].getNumTrees for s in (None, "stop"))
+    assert stopped < grown == 60
