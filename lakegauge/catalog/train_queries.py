@@ -113,7 +113,7 @@ KEY = ["l_orderkey", "l_linenumber", "l_partkey"]
 @query("scoring_with_probabilities")
 def scoring_with_probabilities(t: Tables):
     df = labelled(t)
-    model = train.fit(df, FEATURES, "y", "logistic_regression", {"C": 1.0, "max_iter": 20}, True)
+    model = train.fit(df, FEATURES, "y", "logistic_regression", {"C": 1.0}, True)
     scored = train.score_rows(model, df, probabilities=True)
     return rounded(scored.groupBy("y").agg(F.count("*").alias("n"), F.avg("prob_1").alias("mean_probability"), F.avg("pred").alias("flagged")), 3)
 
@@ -122,27 +122,24 @@ def scoring_with_probabilities(t: Tables):
 def family_models(t: Tables):
     """One model per family on the whole table, scored in sample."""
     df, out = labelled(t), None
-    small = {"n_estimators": 5, "max_depth": 4}
-    for family, params in (("random_forest", small), ("gradient_boosting", small), ("logistic_regression", {"C": 1.0, "max_iter": 20})):
+    trees = {"n_estimators": 100, "max_depth": 5}
+    for family, params in (("random_forest", trees), ("gradient_boosting", trees), ("logistic_regression", {"C": 1.0})):
         scored = train.score_rows(train.fit(df, FEATURES, "y", family, params, True), df)
         part = evaluate.classification_metrics(scored, "y", "pred").select(F.lit(family).alias("family"), "n", "accuracy", "f1")
         out = part if out is None else out.unionByName(part)
     return rounded(out, 3)
 
 
-SEARCH_OVERRIDES = {"logistic_regression": {"max_iter": [20], "penalty": ["l2"]}, "random_forest": {"n_estimators": [5], "max_depth": [3, 4]}}
-
-
 @query("random_search")
 def random_search(t: Tables):
     folded = train.with_folds(labelled(t), KEY, 3, "y")
-    found = train.search(folded, FEATURES, "y", "logistic_regression", True, "accuracy", trials=2, overrides=SEARCH_OVERRIDES["logistic_regression"])
+    found = train.search(folded, FEATURES, "y", "logistic_regression", True, "accuracy")
     return rounded(train.trial_table(t.spark, found), 3)
 
 
 @query("auto_train")
 def auto_train(t: Tables):
-    _, trials, metrics, threshold = train.auto_train(labelled(t), FEATURES, "y", KEY, trials=1, families=["logistic_regression"], overrides=SEARCH_OVERRIDES)
+    _, trials, metrics, threshold = train.auto_train(labelled(t), FEATURES, "y", KEY, families=["logistic_regression"], budget=60)
     best = train.best_family(trials).first()
     out = metrics.select("n", "accuracy", "f1", "f1_macro", F.lit(best["family"]).alias("family"), F.lit(float(threshold)).alias("threshold"))
     return rounded(out, 3)
@@ -151,7 +148,7 @@ def auto_train(t: Tables):
 @query("balanced_bags")
 def balanced_bags(t: Tables):
     df = labelled(t)
-    scored = train.bagged_probability(df, df, FEATURES, "y", KEY, 2, {"C": 1.0, "max_iter": 10})
+    scored = train.bagged_probability(df, df, FEATURES, "y", KEY, 10, {"C": 1.0})
     return rounded(scored.groupBy("y").agg(F.count("*").alias("n"), F.avg("prob").alias("mean_probability")), 3)
 
 
