@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from cases import documents, nothing, order, prose, texts
@@ -258,6 +259,35 @@ def test_lattice_links_equal_brute_force(spark, large):
     assert lattice.embedding_links(df.where("false")).count() == 0
 
 
+def test_lattice_keeps_rows_of_one_id_apart_and_labels_as_they_are(spark):
+    x, y = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0]
+    near_x, near_y = [1.0, 0.01, 0.0, 0.0], [0.01, 1.0, 0.0, 0.0]
+    rows = [(1, x, "a"), (1, y, "a"), (2, near_x, "a"), (3, near_y, "a"), (4, x, "b")]
+    got = lattice.embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"))
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True)]
+    rows = [(1, x, 1.2), (2, near_x, 1.4), (3, near_x, 1.2)]
+    got = lattice.embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label double"))
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 1, True), (2, 0, 2, True), (3, 1, 1, False)]
+
+
+def test_triples_of_a_text_that_repeats_itself_stay_few():
+    def own(hashes):
+        rows = []
+        for f in range(compact_windows.FUNCTIONS):
+            _, left, c, right, key = compact_windows.windows(hashes, np.array([0, len(hashes)]), f)
+            rows += [{"key": k, "c": x, "l": a, "r": b, "loose": True} for k, x, a, b in zip(key.tolist(), c.tolist(), left.tolist(), right.tolist())]
+        kind = pa.struct([("key", pa.int64()), ("c", pa.int32()), ("l", pa.int32()), ("r", pa.int32()), ("loose", pa.bool_())])
+        return pa.array([rows], pa.list_(kind))
+
+    one = np.full(1000, 7, dtype=np.uint64)
+    found = [t for _, t, _, _ in compact_windows.triples(own(one))]
+    assert sum(map(len, found)) == 20  # of six functions three
+    few = np.tile(np.arange(30, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), 40)
+    seen = {t for _, ts, _, _ in compact_windows.triples(own(few)) for t in ts.tolist()}
+    short = {t for _, ts, _, _ in compact_windows.triples(own(few[:120])) for t in ts.tolist()}
+    assert short <= seen and len(seen) == 20
+
+
 def test_lattice_decoder_finds_the_nearest_point():
     rng = np.random.default_rng(1)
     y = rng.normal(size=(200, 8)) * 2
