@@ -60,7 +60,7 @@ def cell_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(rep, n, label, vector) -> a row for each table and cell: the own one, and the probed ones."""
     neighbours = roots()
     for batch in batches:
-        label = batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint64)
+        label = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
         column = batch.column(3)
         lengths = np.diff(np.asarray(column.offsets))
         for d in np.unique(lengths):
@@ -203,24 +203,28 @@ def dealt(cells: DataFrame, large: int) -> DataFrame:
 def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", large: int = LARGE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row: links at a cosine of 0.93 or more between rows of an equal label.
 
+    Labels are compared as they are, of whatever type. Rows that repeat an id with another vector are rows of their own.
     Vectors that are null, empty, zero or hold null or non-finite components, and rows without a label, link with nothing
     and stay. Equal vectors of a label are one row with a count before anything is compared. Links inside a cell are
     counted where they are found, without listing them; only links that no table has in one cell are listed. Cells of any
     size are compared whole.
     """
-    rows = vectors.select(id_key(F.col(id_col)).alias("vec_id"), F.col(vector_col).alias("embedding"), F.col(label_col).cast("long").alias("label"))
+    rows = vectors.select(id_key(F.col(id_col)).alias("vec_id"), F.col(vector_col).alias("embedding"), F.col(label_col).alias("label"))
     single = rows.schema["embedding"].dataType.elementType.simpleString() == "float"
     sound = F.forall("embedding", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))) & F.exists("embedding", lambda x: x != 0)
     rows = rows.withColumn("sound", F.coalesce(F.col("label").isNotNull() & sound, F.lit(False))).withColumn("class", F.when(F.col("sound"), F.struct("label", "embedding")))
-    classes = rows.where("sound").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
-    classes = materialize(classes, "lattice-classes")
-    cells = classes.select("rep", "n", "label", "embedding").mapInArrow(cell_batches, CELLS).withColumn("single", F.lit(single))
+    classes = rows.where("sound").groupBy("label", "embedding").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("n"))
+    # ids may repeat with other vectors: classes go by numbers of their own
+    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "lattice-classes")
+    cells = classes.select("rep", "n", F.xxhash64("label").alias("label"), "embedding").mapInArrow(cell_batches, CELLS).withColumn("single", F.lit(single))
     found = materialize(dealt(cells, large).repartition("key").sortWithinPartitions("key").mapInArrow(link_batches, FOUND), "lattice-links")
     probed = found.where("kind = 2").select("a", "b", "n_a", "n_b").distinct()
     ends = probed.select(F.col("a").alias("rep"), F.col("n_b").alias("k")).union(probed.select("b", "n_a"))
     links = found.where("kind = 0").select(F.col("a").alias("rep"), F.col("n_a").alias("k")).union(ends).groupBy("rep").agg(F.sum("k").alias("links"))
     joined = components(found.where("kind > 0").select("a", "b"), "lattice-components").withColumnRenamed("node", "rep")
     named = classes.join(links, "rep", "left").join(joined, "rep", "left")
-    named = named.select(F.struct("label", "embedding").alias("class"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component"))
+    named = named.select(F.struct("label", "embedding").alias("class"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.col("component").alias("joined"), "first_id")
+    smallest = named.where("joined is not null").groupBy("joined").agg(F.min("first_id").alias("least"))
+    named = named.join(smallest, "joined", "left").select("class", "links", F.coalesce("least", "first_id").alias("component"))
     out = rows.select("vec_id", "class").join(named, "class", "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component"))
     return out.select(null_again(F.col("vec_id")).alias("vec_id"), "n_links", null_again(F.col("component")).alias("component_id"), (F.col("component") == F.col("vec_id")).alias("kept"))
