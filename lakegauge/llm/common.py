@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterable, Iterator
@@ -24,6 +25,15 @@ def worker_cache(name: str, make: Callable[[], object]):
     return getattr(home, name)
 
 
+def drop_worker_cache() -> None:
+    """Lets go of what earlier operators kept in a reused worker; for tasks that keep nothing and need the memory."""
+    home = sys.modules.get("lakegauge_worker_cache")
+    if home is not None and len(vars(home)) > len(vars(types.ModuleType("empty"))):
+        sys.modules.pop("lakegauge_worker_cache")
+        del home
+        gc.collect()
+
+
 def whole_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` and ``text`` only, so that no other column can clash; a null text is an empty one."""
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

@@ -6,7 +6,7 @@ import numpy as np
 from cases import documents, nothing, order, prose, texts
 
 import corpus_pipeline
-from lakegauge.llm import kneser_ney
+from lakegauge.llm import common, kneser_ney
 
 
 def plain_model(raw: list[bytes]):
@@ -48,6 +48,15 @@ def bits_of(p, text: bytes) -> float:
     return sum(-math.log2(p(padded[i : i + n])) for i in range(len(text)))
 
 
+def test_a_worker_lets_go_of_what_others_kept():
+    made = []
+    keep = lambda: common.worker_cache("probe", lambda: made.append(1) or object())
+    assert keep() is keep() and len(made) == 1
+    common.drop_worker_cache()
+    common.drop_worker_cache()
+    assert keep() is keep() and len(made) == 2
+
+
 def test_scores_equal_the_definition(spark):
     docs = documents(spark).where("doc_id <> 80")
     ids = np.array(sorted({i for i, _ in texts() if i is not None and i < 30}), dtype=np.int64)
