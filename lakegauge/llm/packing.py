@@ -27,17 +27,15 @@ Pattern = tuple[int, tuple[tuple[int, int], ...]]
 def piece_batches(path: str, capacity: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        last = np.array([end], dtype="<u4").tobytes()
         for batch in batches:
             rows: list[tuple[int, int, int, int, int]] = []
-            for i, text in enumerate(batch.column(1)):
-                ids = enc.ids(text.as_py()) + last
-                n = len(ids) // 4
-                start, piece = 0, 0
-                while start < n:
-                    length = (n - start) % capacity or capacity
-                    rows.append((i, piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
-                    start, piece = start + length, piece + 1
+            for first, ids, at in enc.batch(batch.column(1), end):
+                for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist()), first):
+                    start, piece = 0, 0
+                    while start < b - a:
+                        length = (b - a - start) % capacity or capacity
+                        rows.append((i, piece, start, length, zlib.crc32(ids[a + start : a + start + length])))
+                        start, piece = start + length, piece + 1
             cols = [np.array(c, dtype=np.int64) for c in zip(*rows)] if rows else [np.zeros(0, np.int64)] * 5
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(cols[0])), pa.array(cols[1].astype(np.int32)), *map(pa.array, cols[2:])], names=["doc_id", "piece", "start", "length", "ids_crc32"]

@@ -165,28 +165,18 @@ def id_batches(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        enc, squeeze = encoder(path), zstandard.ZstdCompressor(1)
-        last, counts = np.array([end], dtype="<u4").tobytes(), np.zeros(0, np.int64)
+        enc, squeeze, counts = encoder(path), zstandard.ZstdCompressor(1), np.zeros(0, np.int64)
         for batch in batches:
-            sizes, packed, fresh = [], [], []
-
-            def count() -> None:
-                nonlocal counts
-                found = np.bincount(np.concatenate(fresh), minlength=len(counts))
+            for first, ids, at in enc.batch(batch.column(1), end):
+                found = np.bincount(ids, minlength=len(counts))
                 found[: len(counts)] += counts
                 counts = found
-                fresh.clear()
-
-            for text in batch.column(1):
-                ids = np.frombuffer(enc.ids(text.as_py()) + last, dtype="<u4")
-                fresh.append(ids)
-                if len(fresh) == 500:
-                    count()
-                sizes.append(len(ids))
-                packed.append((b"\x02" if ids.max() < 65536 else b"\x04") + squeeze.compress(ids.astype("<u2" if ids.max() < 65536 else "<u4").tobytes()))
-            if fresh:
-                count()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary()), pa.nulls(len(batch), pa.binary())], names=["doc_id", "text_hash", "n", "ids", "counts"])
+                narrow = ids.max() < 65536
+                ids = ids.astype("<u2" if narrow else "<u4")
+                mark, n = b"\x02" if narrow else b"\x04", len(at) - 1
+                packed = [mark + squeeze.compress(ids[a:b].tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+                rows = batch.slice(first, n)
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(np.diff(at)), pa.array(packed, pa.binary()), pa.nulls(n, pa.binary())], names=["doc_id", "text_hash", "n", "ids", "counts"])
         kind = pa.int64()
         yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, kind), pa.array([0], kind), pa.nulls(1, pa.binary()), pa.array([counts.astype("<i8").tobytes()], pa.binary())], names=["doc_id", "text_hash", "n", "ids", "counts"])
 

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from .common import worker_cache
+from .common import column_bytes, slices, worker_cache
 
 #: The white space of the pre-tokenizer's pattern, and the pattern with it spelled out.
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
@@ -15,7 +19,9 @@ PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{
 
 #: Cached units of a worker, beyond which the cache starts anew, and the longest unit worth a place: they bound memory and
 #: change no result.
-CACHED, LONGEST = 400_000, 12
+CACHED, LONGEST = 800_000, 12
+#: Bytes of text whose units are numbered at a time, and units whose ids are put together at a time; a longer text stands alone.
+PIECE, AT_ONCE = 1 << 22, 1 << 20
 
 
 class Units(dict):
@@ -53,8 +59,8 @@ class Words(dict):
         self.shown = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
     def tokenize(self, word: str) -> bytes:
-        tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.shown))
-        return np.array([t.id for t in tokens], dtype="<u4").tobytes()
+        shown = word.replace(" ", self.shown[32]) if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.shown)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def __missing__(self, word: str) -> bytes:
         ids = self.tokenize(word)
@@ -81,6 +87,7 @@ class Encoder:
         self.cut = re.compile(r"(?<=\S) ")
         self.added = {text: np.array([i], dtype="<u4").tobytes() for text, i in self.words.added.items()}
         self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
+        self.apart = rf"[{SPACE}\x1c-\x1f] " + "".join(f"|{re.escape(t)}" for t in self.added)
         self.spaces = tuple(f"{c} " for c in " \n\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
 
     def ids(self, text: str) -> bytes:
@@ -88,18 +95,58 @@ class Encoder:
             return b"".join(self.added[p] if p in self.added else self.plain(p) for p in self.at_added.split(text))
         return self.plain(text)
 
-    def plain(self, text: str) -> bytes:
-        if not text:
-            return b""
+    def forget(self) -> None:
         if len(self.units) > CACHED or len(self.words) > CACHED:
             self.units.clear()
             self.words.clear()
+
+    def plain(self, text: str) -> bytes:
+        if not text:
+            return b""
+        self.forget()
         odd = any(s in text for s in self.spaces) if text.isascii() else self.odd.search(text)
         parts = self.cut.split(text) if odd else text.split(" ")
         if parts[0] == "" and len(parts) > 1:  # the text starts with a space: it belongs to the next unit
             return b"".join(map(self.units.__getitem__, parts[1:]))
         return self.words.several(parts[0]) + b"".join(map(self.units.__getitem__, parts[1:]))
 
+    def batch(self, texts: pa.Array, end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first row, ids end to end, offsets of the rows into them) of pieces of a column of texts; ``end`` closes each row."""
+        _, offsets = column_bytes(texts)
+        for a, b in slices(offsets, PIECE):
+            self.forget()
+            ids, at = self.piece(texts.slice(a, b - a))
+            yield a, np.insert(ids, at[1:], end), at + np.arange(len(at))
+
+    def piece(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts, end to end, and their offsets: every distinct unit is looked up once, ids are gathered by its number.
+
+        Texts with several spaces in a row or added tokens are taken one by one.
+        """
+        apart = pc.match_substring_regex(texts, self.apart)
+        lists = pc.split_pattern(pc.if_else(apart, "", texts), " ")
+        flat, ends = lists.flatten(), lists.offsets.to_numpy()
+        first = np.zeros(len(flat), bool)
+        first[ends[:-1]] = True  # nothing stands in front of a text's first unit
+        later, start = flat.filter(pa.array(~first)).dictionary_encode(), flat.filter(pa.array(first)).dictionary_encode()
+        own = list(map(self.units.__getitem__, later.dictionary.to_numpy(zero_copy_only=False)))
+        code = np.empty(len(flat), dtype=np.int64)
+        code[~first] = later.indices.to_numpy()
+        code[first] = start.indices.to_numpy() + len(own)
+        own += map(self.words.several, start.dictionary.to_numpy(zero_copy_only=False))
+        alone = np.flatnonzero(apart.to_numpy(zero_copy_only=False))
+        code[ends[alone]] = np.arange(len(alone)) + len(own)
+        own += (self.ids(texts[int(i)].as_py()) for i in alone)
+        size = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) // 4
+        known, begin = np.frombuffer(b"".join(own), dtype="<u4"), np.cumsum(size) - size
+        total = np.concatenate([[0], np.cumsum(size[code])])
+        out = np.empty(total[-1], dtype="<u4")
+        for a in range(0, len(code), AT_ONCE):
+            c = code[a : a + AT_ONCE]
+            low, high = total[a], total[a + len(c)]
+            out[low:high] = known[np.arange(low, high) + np.repeat(begin[c] - total[a : a + len(c)], size[c])]
+        return out, total[ends]
+
 
 def encoder(path: str) -> Encoder:
     return worker_cache(f"encoder_{path}", lambda: Encoder(path))

@@ -5,11 +5,12 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from cases import documents, nothing, order, texts
 from tokenizers import Tokenizer
 
-from lakegauge.llm import fertility, packing, piece_codec, rans_files, secret_scan
+from lakegauge.llm import fertility, packing, piece_codec, rans_files, secret_scan, tokens
 from lakegauge.llm.tokens import encoder
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -62,10 +63,17 @@ def tokenizer():
     return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
-def test_cached_encoder_equals_the_tokenizer():
+def test_cached_encoder_equals_the_tokenizer(monkeypatch):
     t, e = tokenizer(), encoder(public_tokenizers.path("byte_bpe_50k.json"))
-    for s in [x or "" for _, x in texts()] + ["a  b", " a", "a ", "\n a\n\nb", "don't we'll", "<|endoftext|> x", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>\n y", "<|endoftext| >", "x\x1c y²½ ", "　a  b"]:
-        assert np.frombuffer(e.ids(s), "<u4").tolist() == t.encode(s, add_special_tokens=False).ids
+    cases = [x or "" for _, x in texts()] + ["a  b", " a", "a ", "\n a\n\nb", "don't we'll", "<|endoftext|> x", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>\n y", "<|endoftext| >", "x\x1c y²½ ", "　a  b", " ", "a b ", "nospace" * 2000, "w x " * 5000 + "é"]
+    want = [t.encode(s, add_special_tokens=False).ids for s in cases]
+    for s, ids in zip(cases, want):
+        assert np.frombuffer(e.ids(s), "<u4").tolist() == ids
+    for piece, at_once in ((1 << 22, 1 << 20), (64, 7)):
+        monkeypatch.setattr(tokens, "PIECE", piece)
+        monkeypatch.setattr(tokens, "AT_ONCE", at_once)
+        got = [ids[a:b].tolist() for _, ids, at in e.batch(pa.array(["left out", *cases], pa.string()).slice(1), 7) for a, b in zip(at, at[1:])]
+        assert got == [[*ids, 7] for ids in want]
 
 
 def test_packing_places_every_piece_once(spark):
