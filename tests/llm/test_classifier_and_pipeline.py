@@ -98,6 +98,31 @@ def test_held_out_accuracy_and_kept_documents(spark):
     assert out.columns == docs.columns and {r["doc_id"] for r in out.collect()} >= {400, 401, None}
 
 
+def test_kept_documents_equal_a_plain_version(spark, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "ENOUGH", 10)
+    docs, labels = labelled(spark)
+    rows = [(r["doc_id"], (r["text"] or "").encode(), r["lang"]) for r in docs.collect()]
+    model, held = kneser_ney.trusted_ids(labels)
+    trusted = dict.fromkeys(model.tolist(), True) | dict.fromkeys(held.tolist(), False)
+    assert set(trusted) == {i for i in range(300) if i % 10}
+    p = plain_model([t for i, t, _ in rows if trusted.get(i)])
+    bits = {(i, t): bits_of(p, t) for i, t, _ in rows}
+    judged = {}
+    for lang in ("en", "de", None):
+        own = [(t, bits[i, t]) for i, t, x in rows if trusted.get(i) is False and lang in (x, None)]
+        usual = sum(b for _, b in own) / sum(len(t) for t, _ in own)
+        means = sorted((b + kneser_ney.PRIOR * usual) / (len(t) + kneser_ney.PRIOR) for t, b in own)
+        judged[lang] = usual, means[math.ceil(kneser_ney.QUANTILE * len(means)) - 1] + kneser_ney.SLACK
+    got = {(r["doc_id"], r["n_bytes"]): r for r in kneser_ney.classify(docs, labels).collect()}
+    assert len(got) == len(rows)
+    for i, t, lang in rows:
+        usual, limit = judged.get(lang, judged[None])
+        score = (bits[i, t] + kneser_ney.PRIOR * usual) / (len(t) + kneser_ney.PRIOR)
+        r = got[i, len(t)]
+        assert math.isclose(r["score"], score, abs_tol=1e-3) and math.isclose(r["limit"], limit, abs_tol=1e-3)
+        assert abs(score - limit) < 2e-3 or r["kept"] == (score <= limit)
+
+
 def test_without_trusted_text_all_stay(spark):
     docs, labels = labelled(spark)
     assert kneser_ney.classify(docs, labels.where("false")).where("not kept").count() == 0
