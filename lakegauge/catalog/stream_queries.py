@@ -255,7 +255,7 @@ LABELS_SQL = f"""{PRED_SQL}, {FEED_SQL}, labels AS (SELECT * FROM feed UNION ALL
 def stream_last_labels(t: Tables):
     first = feedback_stream(t)
     again = feedback_stream(t).where(F.col("request_id").endswith("3")).select("request_id", (1 - F.col("ground_truth")).alias("ground_truth"), (F.col("feedback_at") + F.expr("INTERVAL 1 HOUR")).alias("feedback_at"))
-    out = streams.drain(stateful.last_label_stream(prediction_stream(t), first.unionByName(again)), "labels")
+    out = stateful.last_unmatched(streams.drain(stateful.last_label_stream(prediction_stream(t), first.unionByName(again)), "labels"))
     alone = F.col("status") == "unmatched_feedback"
     return out.withColumn("ground_truth", F.when(~alone, F.col("ground_truth"))).groupBy("status", "model_version", "prediction", "ground_truth").agg(F.count("*").alias("n"))
 

@@ -76,3 +76,15 @@ def test_last_label_wins_and_all_outcomes_come_out(spark, tmp_path):
     feed(spark, f, [[("a", 0, at(day)), ("ghost", 1, at(day)), ("c", 1, at(8 * day))], [("a", 1, at(2 * day)), ("none", 1, None)], [("y", 1, at(30 * day))], [("y2", 1, at(60 * day))]], fs)
     got = streams.drain(stateful.last_label_stream(read(spark, p, ps), read(spark, f, fs))).where("request_id NOT IN ('y', 'z')").collect()
     assert sorted((r.request_id, r.status, r.ground_truth) for r in got) == [("a", "matched", 1), ("b", "unlabelled", None), ("c", "unlabelled", None), ("c", "unmatched_feedback", 1), ("ghost", "unmatched_feedback", 1)]
+
+
+def test_last_labels_are_joined_by_the_stream_itself(spark, tmp_path):
+    ps, fs = "request_id string, prediction int, model_version string, timestamp timestamp", "request_id string, ground_truth int, feedback_at timestamp"
+    p, f = str(tmp_path / "p"), str(tmp_path / "f")
+    feed(spark, p, [[("a", 1, "v", at(0))], [("z", 1, "v", at(9_000_000))]], ps)
+    feed(spark, f, [[("ghost", 1, at(50)), ("a", 0, at(60))], [("ghost", 0, at(90)), ("y", 1, at(9_000_000))]], fs)
+    stream = stateful.last_label_stream(read(spark, p, ps), read(spark, f, fs))
+    # one round trip to a Python worker for each request was too slow
+    assert "Pandas" not in stream._jdf.queryExecution().analyzed().toString()
+    got = stateful.last_unmatched(streams.drain(stream)).where("request_id not in ('y', 'z')").collect()
+    assert sorted((r.request_id, r.status, r.ground_truth) for r in got) == [("a", "matched", 0), ("ghost", "unmatched_feedback", 0)]
