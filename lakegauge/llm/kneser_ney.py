@@ -22,9 +22,8 @@ from lakegauge.session import materialize
 from .common import column_bytes, drop_worker_cache, id_key, slices
 
 ORDER = 5
-#: Most labelled documents that the model and the limits are fitted on, those with the smallest hash of their id. A
-#: documented bound: their ids go to every task.
-TRUSTED = 100_000
+#: Trusted ids up to this number go to every task; more of them meet the texts in a join by shuffle. All are used.
+SMALL_IDS = 5_000_000
 #: One in so many trusted documents is kept out of the model; the limits come from these.
 HELD_OUT = 5
 #: Texts are judged by their mean with so many bytes of usual text added, as short ones say little.
@@ -50,19 +49,14 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def model_batches(trusted: np.ndarray):
-    """(doc_id, text) -> (k, c) of the trusted documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drop_worker_cache()
-        for batch in batches:
-            own = batch.filter(pa.array(np.isin(batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False), trusted)))
-            data, offsets = column_bytes(own.column(1))
-            for a, b in slices(offsets, PIECE):
-                k, c = np.unique(grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], names=["k", "c"])
-
-    return run
+def model_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text) -> (k, c) of the trusted documents."""
+    drop_worker_cache()
+    for batch in batches:
+        data, offsets = column_bytes(batch.column(0))
+        for a, b in slices(offsets, PIECE):
+            k, c = np.unique(grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], names=["k", "c"])
 
 
 def request_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +78,7 @@ def request_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def pack_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, doc_id, text_hash, lang, text) -> (block, texts): the rows of a block as compressed pieces."""
-    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=7))
     for batch in batches:
         blocks = batch.column(0).to_numpy(zero_copy_only=False)
         for block in np.unique(blocks):
@@ -165,13 +159,16 @@ def answers(asked: DataFrame, tables: list[tuple[DataFrame, DataFrame]]) -> Data
     return rows.select("k", (-F.log2(F.coalesce("p", F.col("w") / 256))).alias("bits"))
 
 
-def trusted_ids(labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Ids for the model, and held-out ids for the limits: of good quality and not toxic; at most TRUSTED of them."""
+def trusted(labels: DataFrame) -> DataFrame:
+    """(doc_id, held) of all documents of good quality that are not toxic: held-out ones set the limits, the others make the model."""
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    ids = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED).toArrow()["doc_id"].to_numpy()
-    ids = np.array(ids, dtype=np.int64)
-    held = np.arange(len(ids)) % HELD_OUT == 0
-    return np.sort(ids[~held]), np.sort(ids[held])
+    return good.withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0)
+
+
+def trusted_ids(labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of ``trusted`` as arrays, for small tables: those of the model and the held-out ones."""
+    rows = trusted(labels).collect()
+    return tuple(np.array(sorted(r["doc_id"] for r in rows if r["held"] == held), dtype=np.int64) for held in (False, True))
 
 
 def blocked(docs: DataFrame) -> DataFrame:
@@ -184,10 +181,14 @@ def blocked(docs: DataFrame) -> DataFrame:
     return rows.select(F.xxhash64("file", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(parts))).alias("block"), "doc_id", "text_hash", "lang", "text")
 
 
-def scores(docs: DataFrame, model_ids: np.ndarray) -> DataFrame:
-    """(doc_id, text_hash, lang, n_bytes, bits) of every row under a model of the texts of ``model_ids``."""
+def scores(docs: DataFrame, model_ids: DataFrame | np.ndarray) -> DataFrame:
+    """(doc_id, text_hash, lang, n_bytes, bits) of every row under a model of the texts of ``model_ids``: a table of ``doc_id`` or an array."""
+    if not isinstance(model_ids, DataFrame):
+        model_ids = local_frame(docs.sparkSession, [(int(i),) for i in model_ids], "doc_id long")
     rows = blocked(docs)
-    counted = rows.select("doc_id", "text").mapInArrow(model_batches(model_ids), "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
+    own = F.broadcast(model_ids) if model_ids.limit(SMALL_IDS + 1).count() <= SMALL_IDS else model_ids
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    counted = texts.join(own, "doc_id", "left_semi").select("text").mapInArrow(model_batches, "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
     tables = model_tables(counted)
     asked = materialize(rows.select("block", "text").mapInArrow(request_batches, "block long, k long").distinct(), "kn-asked")
     found = materialize(answers(asked.select("k").distinct(), tables), "kn-answers")
@@ -220,10 +221,9 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     has few trusted ones, or of none, are held against the limit of all languages. Empty and null texts have perplexity 1
     and stay. Without any trusted text all documents stay.
     """
-    spark = docs.sparkSession
-    model, held = trusted_ids(labels)
-    scored = scores(docs, model)
-    own = limits(scored, local_frame(spark, [(int(i),) for i in held], "doc_id long"))
+    ids = materialize(trusted(labels), "kn-trusted")
+    scored = scores(docs, ids.where("not held").select("doc_id"))
+    own = limits(scored, ids.where("held").select("doc_id"))
     general = own.where("lang is null").select(F.col("usual").alias("any_usual"), F.col("limit").alias("any_limit"))
     # one row, or none without trusted text
     rows = scored.join(F.broadcast(own.where("lang is not null")), "lang", "left").join(F.broadcast(general), F.lit(True), "left")

@@ -123,6 +123,15 @@ def test_kept_documents_equal_a_plain_version(spark, monkeypatch):
         assert abs(score - limit) < 2e-3 or r["kept"] == (score <= limit)
 
 
+def test_all_trusted_documents_count_however_many(spark, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "TRUSTED", 10, raising=False)  # the former bound
+    docs, labels = labelled(spark)
+    assert {i for ids in kneser_ney.trusted_ids(labels) for i in ids.tolist()} == {i for i in range(300) if i % 10}
+    small = order((r["doc_id"], r["n_bytes"], round(r["score"], 6), r["kept"]) for r in kneser_ney.classify(docs, labels).collect())
+    monkeypatch.setattr(kneser_ney, "SMALL_IDS", 5)  # joined by shuffle
+    assert order((r["doc_id"], r["n_bytes"], round(r["score"], 6), r["kept"]) for r in kneser_ney.classify(docs, labels).collect()) == small
+
+
 def test_without_trusted_text_all_stay(spark):
     docs, labels = labelled(spark)
     assert kneser_ney.classify(docs, labels.where("false")).where("not kept").count() == 0
