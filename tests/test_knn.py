@@ -50,3 +50,20 @@ def test_matches_brute_force(spark, monkeypatch, block_rows, task_rows):
 def test_single_column_takes_the_mean(spark):
     df = spark.createDataFrame([(1.0,), (3.0,), (None,)], "a double")
     assert sorted(r.a for r in knn_impute(df, df, ["a"]).collect()) == [1.0, 2.0, 3.0]
+
+
+def test_one_known_value_is_searched_in_order(spark, monkeypatch):
+    """Ties and copies on a line of blocks; no row meets the donors of a block one by one."""
+    rng = np.random.default_rng(8)
+    d = np.column_stack([rng.integers(0, 9, 400), rng.integers(0, 60, 400)]).astype(float)
+    q = np.column_stack([np.full(90, np.nan), rng.integers(-5, 70, 90) + rng.choice([0.0, 0.5], 90)])
+    want = brute_force(q, d, 5)
+    frame = lambda x: spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"]).assign(id=range(len(x)))).replace(float("nan"), None)
+    for block_rows in (10_000, 20, 3):
+        got = knn_impute(frame(q), frame(d), ["a", "b"], block_rows=block_rows).orderBy("id").toPandas()[["a", "b"]].to_numpy()
+        assert np.allclose(got, want)
+    seen = []
+    donors = np.arange(100_000.0)
+    monkeypatch.setattr(np, "clip", lambda v, *a, _clip=np.clip: seen.append(np.size(v)) or _clip(v, *a))
+    knn.along_line(np.arange(50.0) * 1000 + 0.4, donors, donors, np.ones(100_000, dtype=int), 5, 2)
+    assert seen and sum(seen) < 50 * 100
