@@ -208,3 +208,18 @@ def test_boosting_stops_early(spark):
     df = search_table(spark).withColumn("y", noisy).withColumn("stop", F.col("fold") == 0)
     grown, stopped = (train.fit(df, ["a", "b"], "y", "gradient_boosting", {"n_estimators": 60, "max_depth": 3}, True, stop=s).stages[-1].getNumTrees for s in (None, "stop"))
     assert stopped < grown == 60
+
+
+def test_boosting_reads_bins_instead_of_rows(spark, monkeypatch):
+    """Equal rows are one of their weight: as many fitted rows as cells, the predictions of a fit on all rows."""
+    noisy = F.when(F.pmod(F.xxhash64("a", "b", "id"), F.lit(4)) == 0, 1).otherwise(F.col("y"))
+    df = search_table(spark).crossJoin(spark.range(5)).withColumn("y", noisy)
+    fitted, spread = [], train.spread
+    monkeypatch.setattr(train, "spread", lambda d, rows=None: fitted.append(d.count()) or spread(d, rows))
+    params = {"n_estimators": 10, "max_depth": 3}
+    merged = train.fit(df, ["a", "b"], "y", "gradient_boosting", params, True)
+    monkeypatch.setattr(train, "by_weight", lambda *a: False)
+    plain = train.fit(df, ["a", "b"], "y", "gradient_boosting", params, True)
+    assert fitted[0] <= 7 * 5 * 2 and fitted[1] == 1000
+    got, want = (train.score_rows(m, df).groupBy("a", "b").agg(F.avg("prob").alias("p")).orderBy("a", "b").toPandas()["p"].to_numpy() for m in (merged, plain))
+    assert np.allclose(got, want)
