@@ -11,6 +11,7 @@ children in a group. Then all slices are replayed side by side.
 from __future__ import annotations
 
 import json
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -42,16 +43,29 @@ def bucket_units(scope: str) -> tuple[int, int]:
 
 
 def bucket_replay(times: np.ndarray, tokens: int, capacity: int, rate: int) -> tuple[np.ndarray, int]:
-    """Which requests pass, and the tokens after the last; ``tokens`` holds at the first request, refilled."""
-    allowed = np.zeros(len(times), dtype=bool)
-    last = int(times[0]) if len(times) else 0
-    for i, now in enumerate(times.tolist()):
+    """Which requests pass, and the tokens after the last; ``tokens`` holds at the first request, refilled.
+
+    Requests that find less than a token change nothing: the next one that can pass is found by binary search.
+    """
+    allowed, stamps = np.zeros(len(times), dtype=bool), times.tolist()
+    last, i, passed = stamps[0] if stamps else 0, 0, []
+    while i < len(stamps):
+        now = stamps[i]
         tokens = min(capacity, tokens + (now - last) * rate)
         last = now
         if tokens >= UNIT:
             tokens -= UNIT
-            allowed[i] = True
-    return allowed, tokens
+            passed.append(i)
+            i += 1
+        else:
+            i = next_full(stamps, i, now, tokens, rate)
+    allowed[passed] = True
+    return allowed, min(capacity, tokens + (stamps[-1] - last) * rate) if stamps else tokens
+
+
+def next_full(stamps: list[int], i: int, now: int, tokens: int, rate: int) -> int:
+    """The first request behind ``i`` at which ``tokens`` left at ``now`` make a whole one."""
+    return bisect_left(stamps, now + -((tokens - UNIT) // rate), i + 1) if rate > 0 else len(stamps)
 
 
 def bucket_transfer(times: np.ndarray, capacity: int, rate: int) -> list[list[int]]:
@@ -59,31 +73,50 @@ def bucket_transfer(times: np.ndarray, capacity: int, rate: int) -> list[list[in
 
     Pieces ``[low, kind, value]`` from x = low on: kind 0 is x + value, kind 1 is the constant value. Refills
     move a piece, the capacity turns its upper part constant and a request splits it at one token.
+    Once less than a token is left of every x, requests between which less than a token comes in leave the fraction of
+    a token: such a run of them is one step.
     """
-    low, kind, value = np.array([0], dtype=np.int64), np.array([0], dtype=np.int8), np.array([0], dtype=np.int64)
-    last = int(times[0])
-
-    def split(at: np.ndarray) -> None:
-        """Insert piece borders at the given x positions (one per piece, clipped into the piece)."""
-        nonlocal low, kind, value
-        high = np.append(low[1:], capacity + 1)
-        cut = (kind == 0) & (at > low) & (at < high)
-        if cut.any():
-            where = np.flatnonzero(cut) + 1
-            low, kind, value = np.insert(low, where, at[cut]), np.insert(kind, where, 0), np.insert(value, where, value[cut])
-
-    for now in times.tolist():
-        value = value + (now - last) * rate
-        last = now
-        split(capacity - value)
-        full = np.where(kind == 0, low + value >= capacity, value >= capacity)
-        kind, value = np.where(full, 1, kind).astype(np.int8), np.where(full, capacity, value)
-        split(UNIT - value)
-        spend = np.where(kind == 0, low + value >= UNIT, value >= UNIT)
-        value = value - np.where(spend, UNIT, 0)
-        keep = np.append(True, (kind[1:] != kind[:-1]) | (value[1:] != value[:-1]))
-        low, kind, value = low[keep], kind[keep], value[keep]
-    return [[int(a), int(b), int(c)] for a, b, c in zip(low, kind, value)]
+    pieces, stamps = [[0, 0, 0]], times.tolist()
+    last, i = stamps[0], 0
+    wide = [*np.flatnonzero(np.diff(times) * rate > UNIT).tolist(), len(stamps) - 1]
+
+    def after(refill: int) -> list[list[int]]:
+        """The pieces after a refill and a request."""
+        out: list[list[int]] = []
+
+        def add(low: int, kind: int, value: int) -> None:
+            if not out or out[-1][1] != kind or out[-1][2] != value:
+                out.append([low, kind, value])
+
+        full = capacity - UNIT if capacity >= UNIT else capacity
+        for p, (low, kind, value) in enumerate(pieces):
+            high = pieces[p + 1][0] if p + 1 < len(pieces) else capacity + 1
+            value += refill
+            if kind:
+                value = min(capacity, value)
+                add(low, 1, value - UNIT if value >= UNIT else value)
+                continue
+            top = min(max(capacity - value, low), high)
+            whole = min(max(UNIT - value, low), top)
+            if low < whole:
+                add(low, 0, value)
+            if whole < top:
+                add(whole, 0, value - UNIT)
+            if top < high:
+                add(top, 1, full)
+        return out
+
+    while i < len(stamps):
+        pieces = after((stamps[i] - last) * rate)
+        last = stamps[i]
+        highs = [p[0] - 1 for p in pieces[1:]] + [capacity]
+        most = max(value if kind else high + value for (_, kind, value), high in zip(pieces, highs))
+        end = wide[bisect_left(wide, i)]  # the last request of the run
+        if most < UNIT and capacity >= 2 * UNIT and end > i:
+            pieces = after((stamps[end] - last) * rate % UNIT)
+            last, i = stamps[end], end
+        i += 1
+    return pieces
 
 
 def apply_transfer(pieces: list[list[int]], x: int) -> int:
@@ -283,14 +316,16 @@ def numbered_slices(keys: list[str], most: int):
         for pdf in frames:
             if pdf.empty:
                 continue
-            names = pdf[keys].agg(tuple, axis=1).to_numpy() if len(keys) > 1 else pdf[keys[0]].to_numpy()
-            change = np.empty(len(pdf), dtype=bool)
-            change[0], change[1:] = seq < 0 or names[0] != last, names[1:] != names[:-1]
+            names = [pdf[k].to_numpy() for k in keys]
+            change = np.zeros(len(pdf), dtype=bool)
+            change[0] = seq < 0 or [v[0] for v in names] != last
+            for v in names:
+                change[1:] |= v[1:] != v[:-1]
             at = np.arange(len(pdf))
             place = at - np.maximum.accumulate(np.where(change, at, -held if not change[0] else 0))
             number = seq + np.cumsum(place % most == 0)
             yield pdf.assign(slice=(part << 32) + number)
-            last, held, seq = names[-1], int(place[-1]) + 1, int(number[-1])
+            last, held, seq = [v[-1] for v in names], int(place[-1]) + 1, int(number[-1])
 
     return run
 

@@ -1,5 +1,7 @@
 """Sequential rules: the sliced replay must equal the plain one."""
 
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -118,3 +120,28 @@ def test_newest_rows_by_threshold(spark):
     plain = {r.request_id for r in monitor.newest(log, 100).collect()}
     cut = monitor.newest(log, 100, small_rows=10).collect()
     assert len(cut) == 100 and {r.request_id for r in cut} == plain
+
+
+def test_refused_requests_cost_next_to_nothing():
+    """Transfers and replays against a plain loop; a burst of refused requests is passed over."""
+    rng = np.random.default_rng(4)
+
+    def plain(times, tokens, capacity, rate):
+        allowed, last = [], times[0]
+        for now in times:
+            tokens, last = min(capacity, tokens + (now - last) * rate), now
+            allowed.append(tokens >= replay.UNIT)
+            tokens -= replay.UNIT * allowed[-1]
+        return allowed, tokens
+
+    for capacity, rate, gap in ((500_000_000, 17, 2_000_000), (500_000_000, 17, 9_000_000), (250_000_001, 100, 700_000), (50_000_000, 17, 5_000_000), (500_000_000, 0, 100)):
+        times = np.cumsum(rng.integers(0, gap, 300))
+        pieces = replay.bucket_transfer(times, capacity, rate)
+        for x in [0, capacity, *rng.integers(0, capacity + 1, 40).tolist(), *[p[0] for p in pieces]]:
+            allowed, tokens = replay.bucket_replay(times, x, capacity, rate)
+            assert (allowed.tolist(), tokens) == plain(times.tolist(), x, capacity, rate)
+            assert replay.apply_transfer(pieces, x) == tokens
+    burst = np.arange(200_000) * 400
+    start = time.process_time()
+    replay.bucket_transfer(burst, 500_000_000, 17)
+    assert time.process_time() - start < 1.0
