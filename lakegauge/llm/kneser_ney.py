@@ -190,8 +190,8 @@ def scores(docs: DataFrame, model_ids: DataFrame | np.ndarray) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     counted = texts.join(own, "doc_id", "left_semi").select("text").mapInArrow(model_batches, "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
     tables = model_tables(counted)
-    asked = materialize(rows.select("block", "text").mapInArrow(request_batches, "block long, k long").distinct(), "kn-asked")
-    found = materialize(answers(asked.select("k").distinct(), tables), "kn-answers")
+    asked = materialize(rows.select("block", "text").mapInArrow(request_batches, "block long, k long").distinct().sortWithinPartitions("block", "k"), "kn-asked", "zstd")  # sorted numbers take less disk
+    found = materialize(answers(asked.select("k").distinct(), tables), "kn-answers", "zstd")
     texts = rows.mapInArrow(pack_batches, "block long, texts binary")
     result = "doc_id long, text_hash long, lang string, n_bytes long, bits double"
     return materialize(texts.groupBy("block").cogroup(asked.join(found, "k").groupBy("block")).applyInArrow(score_block, result), "kn-scores")

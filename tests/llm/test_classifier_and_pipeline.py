@@ -161,3 +161,24 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert "abcdefghijklmnop123" not in steps["secret_scan"].where("doc_id = 601").first()["text"]
     assert ids["best_fit_packing"] == ids["secret_scan"]
     assert order(corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "piece", "length").collect()) == order(rows.select("doc_id", "piece", "length").collect())
+
+
+def test_questions_are_written_in_order(spark, monkeypatch):
+    """The numbers that blocks ask for are sorted within each file and compressed well: they are most of what is written."""
+    from lakegauge.llm import kneser_ney
+    from lakegauge.session import materialize
+
+    kept = {}
+
+    def watched(df, label, *compression):
+        kept[label] = materialize(df, label, *compression)
+        return kept[label]
+
+    monkeypatch.setattr(kneser_ney, "materialize", watched)
+    docs = spark.createDataFrame([(i, f"text {i} of {i * i} words", "en") for i in range(60)], "doc_id long, text string, lang string").repartition(4)
+    kneser_ney.scores(docs, np.arange(30)).count()
+    files = kept["kn-asked"].inputFiles()
+    assert files and all(".zstd." in f for f in files)
+    for f in files:
+        rows = [tuple(r) for r in spark.read.parquet(f).coalesce(1).collect()]
+        assert rows == sorted(rows)
