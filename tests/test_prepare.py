@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lakegauge.operators import clean, profile, transform
 from lakegauge.operators.profile import ColumnConfig
+from lakegauge.plans import cycle
 
 
 @pytest.fixture(scope="module")
@@ -77,6 +78,27 @@ def test_keep_first_takes_the_target_along(spark):
     assert sorted(clean.keep_first(df, ["x"], ["o"]).collect()) == [(1, "b", 3), (2, "c", 1)]
 
 
+def test_keep_first_of_one_other_column_takes_null_first_without_sorting(spark):
+    df = spark.createDataFrame([(1, "a", 5), (1, "a", 3), (2, "c", 1), (2, "c", None), (3, None, 7)], "x int, s string, y int")
+    got = clean.keep_first(df, ["x", "s"], ["x", "s", "y"])
+    assert sorted(got.collect(), key=lambda r: r.x) == [(1, "a", 3), (2, "c", None), (3, None, 7)]
+    assert "SortAggregate" not in got._jdf.queryExecution().toString()
+
+
+def test_a_cycle_computes_its_tables_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(400).select("id", (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 2).cast("int").alias("y"))
+    prod = rows.where("id < 120").mapInArrow(seen, rows.schema)  # too few rows and another mean: the cycle ends after validation
+    out = cycle.run_cycle(rows, prod.withColumn("a", F.col("a") + 100), "y", ["id"], "m", "v", rows, "2023-01-01", "2024-01-01")
+    assert out.steps == [("validate", "invalid")] and made.value == 120
+
+
 def test_unknown_strategy_is_refused(spark, tables):
     ref, _, _ = tables
     with pytest.raises(ValueError, match="unknown strategy"):
