@@ -109,6 +109,25 @@ def decode_segment(n: int, lanes: int, words: np.ndarray, at: int, state: np.nda
     return out
 
 
+def decode_segments(steps: int, words: np.ndarray, at: np.ndarray, state: np.ndarray, table: Table) -> np.ndarray:
+    """The ids of whole segments side by side, each from its own restart: rows of ``state`` are segments of ``steps`` times its
+    lanes. The same ids as segment by segment, in fewer and larger steps."""
+    at, x = at.copy(), state.copy()
+    out = np.empty((len(x), steps, x.shape[1]), dtype=np.uint32)
+    mask, shift, scale, low = np.uint64((1 << SCALE) - 1), np.uint64(WORD), np.uint64(SCALE), np.uint64(LOW)
+    for t in range(steps):
+        place = x & mask
+        s = table.symbol[place]
+        out[:, t] = s
+        x = table.freq[s] * (x >> scale) + place - table.below[s]
+        need = x < low
+        k = np.count_nonzero(need, axis=1)
+        taken = np.arange(k.sum()) + np.repeat(at - (np.cumsum(k) - k), k)
+        x[need] = (x[need] << shift) | words[taken]
+        at += k
+    return out.reshape(-1)
+
+
 def write_block(doc_ids: list[int | None], ids: list[np.ndarray], table: Table, lanes: int = LANES, every: int = EVERY) -> bytes:
     flat = np.concatenate(ids).astype(np.uint32) if ids else np.zeros(0, np.uint32)
     lanes = max(1, min(lanes, len(flat) // every))
@@ -153,7 +172,12 @@ class Block:
         return decode_segment(min(size, self.n - k * size), self.lanes, self.words, at, state, self.table)
 
     def ids(self) -> np.ndarray:
-        out = np.concatenate([self.segment(k) for k in range(len(self.marks))]) if self.marks else np.zeros(0, np.uint32)
+        whole = self.n // (self.lanes * self.every)
+        parts = [np.zeros(0, np.uint32), *[self.segment(k) for k in range(whole, len(self.marks))]]
+        if whole:
+            at, state = (np.array([m[i] for m in self.marks[:whole]]) for i in (0, 1))
+            parts[0] = decode_segments(self.every, self.words, at, state, self.table)
+        out = np.concatenate(parts)
         if zlib.crc32(out.astype("<u4").tobytes()) != self.crc:
             raise BadBlock("checksum of the ids")
         return out
@@ -255,7 +279,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
     ordered.mapInArrow(block_batches(freq), "part int, block long, n_docs long, n_tokens long, payload binary").write.option("compression", "none").parquet(f"{folder}/blocks")
 
 
-def decode_batches(freq: bytes):
+def decode_batches(freq: bytes, digest: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table(np.frombuffer(freq, dtype="<i8"))
         for batch in batches:
@@ -264,25 +288,28 @@ def decode_batches(freq: bytes):
                 ids = block.ids().astype("<u4")
                 ends = np.cumsum(block.lengths)
                 n = len(ends)
+                own = [ids[b - k : b] for b, k in zip(ends.tolist(), block.lengths.tolist())]
+                last = pa.array([zlib.crc32(i) for i in own], pa.int64()) if digest else pa.array([i.tobytes() for i in own], pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(block.doc_ids, pa.int64()), pa.array([part] * n, pa.int32()), pa.array([number] * n, pa.int64()), pa.array(ends - block.lengths), pa.array(block.lengths),
-                        pa.array([ids[b - k : b].tobytes() for b, k in zip(ends, block.lengths)], pa.binary()),
+                        last,
                     ],
-                    names=["doc_id", "part", "block", "within", "n_tokens", "ids"],
+                    names=["doc_id", "part", "block", "within", "n_tokens", "ids_crc32" if digest else "ids"],
                 )
 
     return run
 
 
-def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
+def read_token_files(spark: SparkSession, folder: str, digest: bool = False) -> DataFrame:
     """(doc_id, part, block, within, n_tokens, ids) of every document; ids are little-endian unsigned 32-bit integers.
 
-    Every block is checked against its checksums and decodes on its own.
+    Every block is checked against its checksums and decodes on its own. With ``digest`` the decoded ids stay in their task and
+    their CRC-32, ``ids_crc32``, takes their place.
     """
     freq = bytes(spark.read.parquet(f"{folder}/table").first()["frequencies"])
     blocks = spark.read.schema("part int, block long, n_docs long, n_tokens long, payload binary").parquet(f"{folder}/blocks")
-    return blocks.select("part", "block", "payload").mapInArrow(decode_batches(freq), "doc_id long, part int, block long, within long, n_tokens long, ids binary")
+    return blocks.select("part", "block", "payload").mapInArrow(decode_batches(freq, digest), f"doc_id long, part int, block long, within long, n_tokens long, {'ids_crc32 long' if digest else 'ids binary'}")
 
 
 def block_starts(spark: SparkSession, folder: str) -> DataFrame:
@@ -303,5 +330,5 @@ def token_file_report(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     folder = scratch_path(spark, "token-files")
     write_token_files(docs, folder)
-    rows = read_token_files(spark, folder).select("doc_id", "part", "block", "within", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    rows = read_token_files(spark, folder, digest=True)
     return rows.join(block_starts(spark, folder), ["part", "block"]).select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")

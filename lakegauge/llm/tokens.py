@@ -96,8 +96,9 @@ class Encoder:
         return self.plain(text)
 
     def forget(self) -> None:
-        if len(self.units) > CACHED or len(self.words) > CACHED:
+        if len(self.units) > CACHED:
             self.units.clear()
+        if len(self.words) > CACHED // 2:  # outlive units, which are put together from them
             self.words.clear()
 
     def plain(self, text: str) -> bytes:
@@ -119,7 +120,7 @@ class Encoder:
             yield a, np.insert(ids, at[1:], end), at + np.arange(len(at))
 
     def piece(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of texts, end to end, and their offsets: every distinct unit is looked up once, ids are gathered by its number.
+        """The ids of texts, end to end, and their offsets: every distinct unit is looked up once, its ids are taken by its number.
 
         Texts with several spaces in a row or added tokens are taken one by one.
         """
@@ -137,15 +138,12 @@ class Encoder:
         alone = np.flatnonzero(apart.to_numpy(zero_copy_only=False))
         code[ends[alone]] = np.arange(len(alone)) + len(own)
         own += (self.ids(texts[int(i)].as_py()) for i in alone)
-        size = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) // 4
-        known, begin = np.frombuffer(b"".join(own), dtype="<u4"), np.cumsum(size) - size
-        total = np.concatenate([[0], np.cumsum(size[code])])
-        out = np.empty(total[-1], dtype="<u4")
+        known, parts, total = pa.array(own, pa.large_binary()), [], np.zeros(len(code) + 1, dtype=np.int64)
         for a in range(0, len(code), AT_ONCE):
-            c = code[a : a + AT_ONCE]
-            low, high = total[a], total[a + len(c)]
-            out[low:high] = known[np.arange(low, high) + np.repeat(begin[c] - total[a : a + len(c)], size[c])]
-        return out, total[ends]
+            data, offsets = column_bytes(known.take(pa.array(code[a : a + AT_ONCE])))
+            parts.append(data.view("<u4"))
+            total[a + 1 : a + len(offsets)] = total[a] + offsets[1:] // 4
+        return np.concatenate(parts) if parts else np.zeros(0, dtype="<u4"), total[ends]
 
 
 def encoder(path: str) -> Encoder:

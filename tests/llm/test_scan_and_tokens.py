@@ -8,6 +8,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 from cases import documents, nothing, order, texts
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lakegauge.llm import fertility, packing, piece_codec, rans_files, secret_scan, tokens
@@ -76,6 +77,37 @@ def test_cached_encoder_equals_the_tokenizer(monkeypatch):
         assert got == [[*ids, 7] for ids in want]
 
 
+def test_words_outlive_the_units_made_of_them(monkeypatch):
+    e = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    want = e.ids("several(words) in-one")
+    monkeypatch.setattr(tokens, "CACHED", 3)
+    e.units.update({str(i): b"" for i in range(4)})
+    known = dict(list(e.words.items())[:1])
+    e.words.clear()
+    e.words.update(known)
+    e.forget()
+    assert not e.units and e.words == known and e.ids("several(words) in-one") == want
+
+
+def test_digests_are_those_of_the_ids_read_back(spark, tmp_path):
+    rans_files.write_token_files(documents(spark), str(tmp_path))
+    columns = ["doc_id", "part", "block", "within", "n_tokens", "ids_crc32"]
+    plain = rans_files.read_token_files(spark, str(tmp_path)).withColumn("ids_crc32", F.crc32("ids")).select(columns)
+    digest = rans_files.read_token_files(spark, str(tmp_path), digest=True)
+    assert digest.columns == columns and order(digest.collect()) == order(plain.collect()) and plain.count()
+
+
+def test_segments_side_by_side_decode_like_one_by_one():
+    rng = np.random.default_rng(3)
+    ids = [rng.integers(0, 900, n).astype(np.uint32) for n in (700, 3000, 41)]
+    table = rans_files.Table(rans_files.frequencies(np.bincount(np.concatenate(ids), minlength=1000)))
+    block = rans_files.Block(rans_files.write_block([1, 2, 3], ids, table, lanes=8, every=16), table)
+    at, state = (np.array([m[i] for m in block.marks[:-1]]) for i in (0, 1))
+    one = np.concatenate([block.segment(k) for k in range(len(block.marks))])
+    assert (rans_files.decode_segments(16, block.words, at, state, table) == one[: len(at) * 8 * 16]).all() and len(at) > 20
+    assert (block.ids() == one).all() and (one == np.concatenate(ids)).all()
+
+
 def test_packing_places_every_piece_once(spark):
     rows = packing.pack_documents(documents(spark)).collect()
     t, want = tokenizer(), []
