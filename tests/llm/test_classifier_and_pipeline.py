@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from cases import documents, nothing, order, prose, texts
 
 import corpus_pipeline
@@ -182,3 +183,17 @@ def test_questions_are_written_in_order(spark, monkeypatch):
     for f in files:
         rows = [tuple(r) for r in spark.read.parquet(f).coalesce(1).collect()]
         assert rows == sorted(rows)
+
+
+def test_packed_answers_come_back_by_block(monkeypatch):
+    monkeypatch.setattr(kneser_ney, "HELD", 100)
+    rng = np.random.default_rng(5)
+    block, k, bits = rng.integers(-3, 3, 1000) << 40, rng.permutation(1 << 20)[:1000] << 19, rng.random(1000) * 30
+    whole = pa.RecordBatch.from_arrays([pa.array(block), pa.array(k), pa.array(bits)], names=["block", "k", "bits"])
+    out = pa.Table.from_batches(kneser_ney.answer_batches(iter([whole.slice(a, 70) for a in range(0, 1000, 70)])))
+    assert out.num_rows < 100
+    for b in np.unique(block):
+        got = kneser_ney.unpacked(out.filter(pa.array(out["block"].to_numpy() == b))["answers"])
+        order = np.argsort(k[block == b])
+        assert (got[0] == k[block == b][order]).all() and (got[1] == bits[block == b][order]).all()
+    assert all(len(x) == 0 for x in kneser_ney.unpacked(out["answers"].slice(0, 0))) and not list(kneser_ney.answer_batches(iter([])))
