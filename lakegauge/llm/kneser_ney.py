@@ -21,11 +21,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lakegauge.functions.frames import local_frame
 from lakegauge.session import materialize
 
-from .common import column_bytes, drop_worker_cache, id_key, slices
+from .common import column_bytes, drop_worker_cache, id_key, lean, release_memory, slices
 
 ORDER = 5
 #: Trusted ids up to this number go to every task; more of them meet the texts in a join by shuffle. All are used.
 SMALL_IDS = 5_000_000
+#: Documents to drop up to this number go to every task, so that no text travels; more of them meet the texts in a join by shuffle.
+SMALL_POOR = 1_000_000
 #: One in so many trusted documents is kept out of the model; the limits come from these.
 HELD_OUT = 5
 #: Texts are judged by their mean with so many bytes of usual text added, as short ones say little.
@@ -150,6 +152,12 @@ def unpacked(answers: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 def score_block(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
     """The bits of every document of a block, by its bytes' n-grams."""
     drop_worker_cache()
+    out = block_bits(texts, answers)
+    release_memory()
+    return out
+
+
+def block_bits(texts: pa.Table, answers: pa.Table) -> pa.Table:
     k, bits = unpacked(answers["answers"])
     out = []
     for piece in texts["texts"]:
@@ -242,12 +250,12 @@ def scores(docs: DataFrame, model_ids: DataFrame | np.ndarray) -> DataFrame:
     rows = blocked(docs)
     own = F.broadcast(model_ids) if model_ids.limit(SMALL_IDS + 1).count() <= SMALL_IDS else model_ids
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    counted = texts.join(own, "doc_id", "left_semi").select("text").mapInArrow(model_batches, "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
+    counted = texts.join(own, "doc_id", "left_semi").select("text").mapInArrow(lean(model_batches), "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
     tables = model_tables(counted)
-    asked = materialize(rows.select("block", "text").mapInArrow(request_batches, "block long, k long").distinct().sortWithinPartitions("block", "k"), "kn-asked", "zstd")  # sorted numbers take less disk
+    asked = materialize(rows.select("block", "text").mapInArrow(lean(request_batches), "block long, k long").distinct().sortWithinPartitions("block", "k"), "kn-asked", "zstd")  # sorted numbers take less disk
     found = materialize(answers(asked.select("k").distinct(), tables), "kn-answers", "zstd")
-    texts = rows.mapInArrow(pack_batches, "block long, texts binary")
-    told = asked.join(found, "k").select("block", "k", "bits").mapInArrow(answer_batches, "block long, answers binary")
+    texts = rows.mapInArrow(lean(pack_batches), "block long, texts binary")
+    told = asked.join(found, "k").select("block", "k", "bits").mapInArrow(lean(answer_batches), "block long, answers binary")
     result = "doc_id long, text_hash long, lang string, n_bytes long, bits double"
     return materialize(texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score_block, result), "kn-scores")
 
@@ -294,5 +302,8 @@ def classifier_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_poor(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows and columns of ``docs`` that the classifier keeps, repeated rows included."""
     poor = classify(docs, labels).where(~F.col("kept")).select(id_key(F.col("doc_id")).alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    poor = materialize(poor, "kn-poor")
+    if poor.count() <= SMALL_POOR:
+        poor = F.broadcast(poor)
     own = docs.withColumns({"__id": id_key(F.col("doc_id")), "__hash": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
     return own.join(poor, ["__id", "__hash"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from lakegauge.session import materialize
 
-from .common import components, id_key, key_runs, whole_texts
+from .common import components, id_key, key_runs, lean, whole_texts
 
 BITS, SEED, WORDS = 64, 42, 3
 #: Differing bits up to which two fingerprints link.
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, mark, text_hash) of every row, over whole texts."""
     texts = whole_texts(docs).withColumn("text_hash", F.xxhash64("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(fingerprint_batches, f"doc_id {kind}, mark long, text_hash long")
+    return texts.mapInArrow(lean(fingerprint_batches), f"doc_id {kind}, mark long, text_hash long")
 
 
 def pivots() -> np.ndarray:
@@ -159,12 +159,12 @@ def close_marks(marks: DataFrame, large: int = LARGE) -> DataFrame:
     kind = "key long, path long, mark long, rep long, distances binary"
     rows, level, edges = marks.select(F.lit(0).cast("long").alias("path"), "mark", "rep", F.lit(None).cast("binary").alias("distances")), 0, None
     while True:
-        dealt = rows.mapInArrow(keyed(level), kind)
+        dealt = rows.mapInArrow(lean(keyed(level)), kind)
         last = BITS - max(m.bit_count() for m in equal_bits(level)) <= 16
         hot = None if last else materialize(dealt.groupBy("key").count().where(F.col("count") > large).select("key"), "simhash-hot")
         crowded = hot is not None and not hot.isEmpty()
         calm = dealt.join(hot, "key", "left_anti") if crowded else dealt
-        found = calm.repartition("key").sortWithinPartitions("key").mapInArrow(link_runs, "a long, b long")
+        found = calm.repartition("key").sortWithinPartitions("key").mapInArrow(lean(link_runs), "a long, b long")
         edges = found if edges is None else edges.union(found)
         if not crowded:
             return edges

@@ -58,6 +58,24 @@ def test_a_worker_lets_go_of_what_others_kept():
     assert keep() is keep() and len(made) == 2
 
 
+def test_a_task_leaves_no_free_memory_behind():
+    import gc
+    import re
+    from pathlib import Path
+
+    held = lambda: int(re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1]) / 1024
+    text = pa.array([prose(random.Random(k), 400) for k in range(2000)])
+    batches = lambda: iter([pa.RecordBatch.from_arrays([text], names=["text"])])
+    for batch in common.lean(kneser_ney.model_batches)(batches()):
+        pass
+    before, most = held(), 0
+    for batch in common.lean(kneser_ney.model_batches)(batches()):
+        most = max(most, held())
+    del batch
+    gc.collect()
+    assert most > before + 8 and held() < before + (most - before) / 2
+
+
 def test_scores_equal_the_definition(spark):
     docs = documents(spark).where("doc_id <> 80")
     ids = np.array(sorted({i for i, _ in texts() if i is not None and i < 30}), dtype=np.int64)
@@ -99,6 +117,22 @@ def test_held_out_accuracy_and_kept_documents(spark):
     assert out.columns == docs.columns and {r["doc_id"] for r in out.collect()} >= {400, 401, None}
 
 
+def test_texts_do_not_travel_to_drop_poor_ones(spark, monkeypatch):
+    docs, labels = labelled(spark)
+    docs = docs.union(docs.limit(20))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = kneser_ney.drop_poor(docs, labels)
+        shuffled = [x for x in few._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+        few = order(few.collect())
+        monkeypatch.setattr(kneser_ney, "SMALL_POOR", 0)  # joined by shuffle
+        many = order(kneser_ney.drop_poor(docs, labels).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert not shuffled and few == many and 0 < len(few) < docs.count()
+
+
 def test_kept_documents_equal_a_plain_version(spark, monkeypatch):
     monkeypatch.setattr(kneser_ney, "ENOUGH", 10)
     docs, labels = labelled(spark)
