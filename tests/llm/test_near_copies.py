@@ -198,6 +198,44 @@ def test_edited_passages_are_verified(around):
     assert compact_windows.verified(row([f"a{i}" for i in range(80)]), row([f"b{i}" for i in range(80)])) == []
 
 
+def test_counts_of_hits_find_what_sets_find():
+    rng = np.random.default_rng(5)
+    said = 0
+    for _ in range(300):
+        x = rng.permutation(1000)[: rng.integers(46, 260)]
+        y = x[rng.random(len(x)) < rng.choice([0.7, 0.9, 0.97])]
+        for _ in range(rng.integers(0, 4)):  # new shingles, and a part that stands elsewhere
+            at = rng.integers(0, len(y) + 1)
+            y = np.concatenate([y[:at], 2000 + rng.permutation(1000)[: rng.integers(1, 40)], y[at:]])
+        y = np.roll(y, rng.integers(0, len(y))) if rng.random() < 0.3 else y
+        y = y[np.sort(np.unique(y, return_index=True)[1])]
+        place = np.full(4000, -1)
+        place[y] = np.arange(len(y))
+        want = compact_windows.verified(x, y)
+        assert compact_windows.verified_once(place[x], len(y)) == want
+        said += len(want) > 0
+    assert 60 < said < 290
+
+
+def test_shingles_travel_once_however_many_ranges_ask():
+    words = [f"w{i}" for i in range(300)]
+    text = pa.array([" ".join(words)])
+    wanted = pa.array([[{"p0": a, "p1": a + 60} for a in (0, 5, 9, 20, 200, 280)]], pa.list_(pa.struct([("p0", pa.int64()), ("p1", pa.int64())])))
+    batch = pa.RecordBatch.from_arrays([text, pa.array([7], pa.int64()), wanted], names=["text", "h1", "wanted"])
+    (got,) = compact_windows.fetch_batches(iter([batch]))
+    assert got.column("p0").to_pylist() == [0, 200, 280]
+    assert [len(s) for s in got.column("shingles").to_pylist()] == [81, 61, 16]
+    # a tile of the text and its copy, with candidates that lie in its ranges
+    tile = 5
+    rows = [(tile, t, 0, p, 0, 0, 0, s) for t in (7, 8) for p, s in zip(got.column("p0").to_pylist(), got.column("shingles").to_pylist())]
+    rows += [(tile, 7, 8, 0, 60, 0, 60, None), (tile, 7, 8, 200, 260, 200, 260, None), (tile, 7, 8, 280, 340, 280, 340, None)]
+    kinds = [*[pa.int64()] * 7, pa.list_(pa.int64())]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[*compact_windows.TILED, "shingles"])
+    cuts = iter([batch.slice(0, 4), batch.slice(4, 3), batch.slice(7)])
+    got = [tuple(r.values()) for b in compact_windows.verify_batches(cuts) for r in b.to_pylist()]
+    assert got == [(7, 0, 65, 8, 0, 65, 1.0), (7, 200, 265, 8, 200, 265, 1.0)]
+
+
 def test_passages_around_a_common_line_are_found(spark):
     import random
 
