@@ -3,6 +3,7 @@
 import time
 
 import numpy as np
+import pyarrow as pa
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -223,3 +224,37 @@ def test_boosting_reads_bins_instead_of_rows(spark, monkeypatch):
     assert fitted[0] <= 7 * 5 * 2 and fitted[1] == 1000
     got, want = (train.score_rows(m, df).groupBy("a", "b").agg(F.avg("prob").alias("p")).orderBy("a", "b").toPandas()["p"].to_numpy() for m in (merged, plain))
     assert np.allclose(got, want)
+
+
+def test_forest_reads_cells_instead_of_rows(spark, monkeypatch):
+    """A forest of many rows grows on their cells, weighs them as its bags of rows would and gives rows the model's own answers."""
+    noisy = F.when(F.pmod(F.xxhash64("a", "b", "id"), F.lit(4)) == 0, 1).otherwise(F.col("y"))
+    df = search_table(spark).crossJoin(spark.range(20)).withColumn("y", noisy).cache()
+    params = {"n_estimators": 12, "max_depth": 3}
+    plain = train.fit(df, ["a", "b"], "y", "random_forest", params, True)
+    fitted, spread = [], train.spread
+    monkeypatch.setattr(train, "spread", lambda d, rows=None: fitted.append(d.count()) or spread(d, rows))
+    monkeypatch.setattr(train, "FOREST_ROWS", 100)
+    cells = train.fit(df, ["a", "b"], "y", "random_forest", params, True)
+    assert not fitted and cells.stages[-1].getNumTrees == 12 and len(cells.stages[-1].trees) == 12
+    assert len({t.toDebugString for t in cells.stages[-1].trees}) > 1
+    got, want = (train.score_rows(m, df).groupBy("a", "b").agg(F.avg("prob").alias("p")).orderBy("a", "b").toPandas()["p"].to_numpy() for m in (cells, plain))
+    assert np.abs(got - want).max() < 0.2 and np.abs(got - want).mean() < 0.05
+    odd = df.select("id", "a", "b").limit(5).union(spark.createDataFrame([(101, None, 1.0), (102, float("nan"), 2.0), (103, 9.0, float("inf"))], "id long, a double, b double"))
+    looked = train.score_rows(cells, odd, probabilities=True)
+    assert looked.columns == ["id", "a", "b", "pred", "prob", "prob_0", "prob_1"] and "BroadcastHashJoin" in looked._jdf.queryExecution().toString()
+    monkeypatch.setattr(train, "ANSWERS", 1)
+    assert sorted(map(repr, looked.collect())) == sorted(map(repr, train.score_rows(cells, odd, probabilities=True).collect()))
+    # too many cells: the rows again
+    monkeypatch.setattr(train, "FOREST_CELLS", 1)
+    train.fit(df, ["a", "b"], "y", "random_forest", {"n_estimators": 2, "max_depth": 2}, True)
+    assert fitted == [4000]
+
+
+def test_a_bag_draws_a_cell_as_its_rows():
+    cells = pa.table({"__bin_a": [0.0, 1.0], "__label": [1.0, 0.0], "__each": [1.0, 0.5], "__n": [7, 90000], "__hash": [-5, 11]}).to_batches()[0]
+    (got,), (again,) = (list(train.bags(4000, 3)(iter([c]))) for c in (cells, cells.slice(1)))
+    few, many = (np.array(x) for x in got.column("__draws").to_pylist())
+    assert got.column("__draws").to_pylist()[1] == again.column("__draws").to_pylist()[0]
+    assert abs(few.mean() - 7) < 0.2 and abs(few.var() - 7) < 0.8
+    assert abs(many.mean() - 45000) < 20 and abs((many / 0.5).var() / 90000 - 1) < 0.1
