@@ -236,6 +236,25 @@ def test_shingles_travel_once_however_many_ranges_ask():
     assert got == [(7, 0, 65, 8, 0, 65, 1.0), (7, 200, 265, 8, 200, 265, 1.0)]
 
 
+@pytest.mark.parametrize("meeting", [512, 4])
+def test_texts_of_a_triple_meet_once_wherever_they_are_dealt(spark, monkeypatch, meeting):
+    rng = np.random.default_rng(2)
+    rows = [(int(t), int(h) - 40, int(p), int(p) + 50) for t, h, p in zip(rng.integers(0, 12, 400), rng.integers(0, 80, 400), rng.integers(0, 3, 400))]
+    rows += rows[:50]
+    want = {(x[1], y[1], *x[2:], *y[2:]) for x in rows for y in rows if x[0] == y[0] and x[1] < y[1]}
+    monkeypatch.setattr(compact_windows, "MEETING", meeting)
+    frame = spark.createDataFrame(rows, "triple long, h1 long, p0 long, p1 long")
+    dealt = compact_windows.dealt(frame, frame.groupBy("triple").agg(compact_windows.F.count("*").alias("n")))
+    assert (dealt.where("side >= 0").count() > 0) == (meeting < 40)
+    runs = np.array(sorted(map(tuple, dealt.collect())))
+    cuts = [pa.RecordBatch.from_arrays([pa.array(c) for c in part.T], names=dealt.columns) for part in np.array_split(runs, 7)]
+    got = [tuple(r[c] for c in compact_windows.CANDIDATE) for b in compact_windows.meeting_batches(iter(cuts)) for r in b.to_pylist()]
+    # (a, b, a0, a1, b0, b1); a pair may come of several triples, of one triple once
+    assert set(got) == want
+    once = Counter((x[1], y[1], *x[2:], *y[2:]) for t in range(12) for x in {r for r in rows if r[0] == t} for y in {r for r in rows if r[0] == t} if x[1] < y[1])
+    assert Counter(got) == once
+
+
 def test_passages_around_a_common_line_are_found(spark):
     import random
 
